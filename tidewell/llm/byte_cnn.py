@@ -7,6 +7,7 @@ document are combined into one probability.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,16 +36,24 @@ class Network:
     head: np.ndarray  # 2 * FILTERS
     offset: float
 
+    @functools.cached_property
+    def pairs(self) -> list[np.ndarray]:
+        """Responses to two bytes at once, by their 16-bit number; halves the look-ups."""
+        return [(self.tables[k][:, None] + self.tables[k + 1][None]).reshape(-1, FILTERS) for k in range(0, WIDTH, 2)]
+
     def segments(self, data: np.ndarray) -> np.ndarray:
         """Maximal responses in each segment of data, whose length is a multiple of SEGMENT."""
         out = np.empty((len(data) // SEGMENT, FILTERS), np.float32)
-        padded = np.concatenate([data, np.zeros(WIDTH, np.uint8)])
+        padded = np.concatenate([data, np.zeros(WIDTH, np.uint8)]).astype(np.int64)
+        two = (padded[:-1] << 8) | padded[1:]
+        sums, more = (np.empty((BLOCK * SEGMENT, FILTERS), np.float32) for _ in range(2))
         for start in range(0, len(data), BLOCK * SEGMENT):
             stop = min(len(data), start + BLOCK * SEGMENT)
-            sums = self.tables[0][padded[start:stop]]
-            for k in range(1, WIDTH):
-                sums += self.tables[k][padded[start + k : stop + k]]
-            out[start // SEGMENT : stop // SEGMENT] = sums.reshape(-1, SEGMENT, FILTERS).max(1)
+            n = stop - start
+            np.take(self.pairs[0], two[start:stop], 0, sums[:n], "clip")
+            for k in range(1, WIDTH // 2):
+                sums[:n] += np.take(self.pairs[k], two[start + 2 * k : stop + 2 * k], 0, more[:n], "clip")
+            out[start // SEGMENT : stop // SEGMENT] = sums[:n].reshape(-1, SEGMENT, FILTERS).max(1)
         return np.maximum(out + self.bias, 0)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:

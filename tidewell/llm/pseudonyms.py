@@ -230,5 +230,5 @@ def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, back: bool = False) ->
 
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("found", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.expr(f"cast(size(filter(found, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in KINDS]
     return moved.select("doc_id", F.size("found").cast("long").alias("n_found"), *counts, "text")
