@@ -1,3 +1,6 @@
 """Whole queries over the test tables; importing this package registers them."""
-def flagship(spark, d):
-    return spark.read.parquet(f"{d}/nation.parquet")
+
+from . import technical
+from .backtests import flagship
+
+__all__ = ["flagship", "technical"]
