@@ -1,6 +1,6 @@
 """Whole queries over the test tables; importing this package registers them."""
 
-from . import technical
+from . import ingest, relational, technical
 from .backtests import flagship
 
-__all__ = ["flagship", "technical"]
+__all__ = ["flagship", "ingest", "relational", "technical"]
