@@ -1,6 +1,6 @@
 """Whole queries over the test tables; importing this package registers them."""
 
-from . import ingest, relational, studies, technical
+from . import ingest, relational, statistics, studies, technical
 from .backtests import flagship
 
-__all__ = ["flagship", "ingest", "relational", "studies", "technical"]
+__all__ = ["flagship", "ingest", "relational", "statistics", "studies", "technical"]
