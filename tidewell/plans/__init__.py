@@ -1,6 +1,6 @@
 """Whole queries over the test tables; importing this package registers them."""
 
-from . import accounts, formulas, ingest, relational, statistics, studies, technical
+from . import accounts, evidence, formulas, ingest, relational, statistics, studies, technical
 from .backtests import flagship
 
-__all__ = ["accounts", "flagship", "formulas", "ingest", "relational", "statistics", "studies", "technical"]
+__all__ = ["accounts", "evidence", "flagship", "formulas", "ingest", "relational", "statistics", "studies", "technical"]
