@@ -59,7 +59,7 @@ def cross_validated(df: DataFrame, features: list[str], target: str, folds: int
     forest = RandomForestClassifier(numTrees=10, seed=1)
     grid = ParamGridBuilder().addGrid(forest.maxDepth, list(depths)).build()
     tuned = CrossValidator(estimator=Pipeline(stages=[*prepared(features), forest]), estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), numFolds=folds, seed=1).fit(data)
-    return list(zip(depths, tuned.avgMetrics, strict=True))
+    return [(d, float(a)) for d, a in zip(depths, tuned.avgMetrics, strict=True)]
 
 
 def clusters(df: DataFrame, features: list[str], k: int = 3) -> tuple[DataFrame, float]:
