@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec  # noqa: F401
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .definitions import period
+
 Name = Column | str
 
 
@@ -30,7 +32,7 @@ def so_far() -> WindowSpec:
 
 def roll(function, x: Name, n: int, frame: WindowSpec | None = None) -> Column:
     """function over the last n rows; null until n of them have a value."""
-    frame = frame or last_rows(n)
+    frame = frame or last_rows(period(n))
     return F.when(F.count(col(x)).over(frame) == n, function(col(x)).over(frame))
 
 

@@ -1,6 +1,6 @@
 """Whole queries over the test tables; importing this package registers them."""
 
-from . import accounts, evidence, facts, formulas, ingest, models, relational, retrieval, statistics, streams, studies, technical
+from . import accounts, evidence, facts, filing_tables, formulas, ingest, models, relational, retrieval, statistics, streams, studies, technical
 from .backtests import flagship
 
-__all__ = ["accounts", "evidence", "facts", "flagship", "formulas", "ingest", "models", "relational", "retrieval", "statistics", "streams", "studies", "technical"]
+__all__ = ["accounts", "evidence", "facts", "filing_tables", "flagship", "formulas", "ingest", "models", "relational", "retrieval", "statistics", "streams", "studies", "technical"]
