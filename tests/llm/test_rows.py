@@ -1,0 +1,223 @@
+"""Operators on single documents: rules, pages, pseudonyms, scores, token counts."""
+
+import random
+import re
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidewell.llm import byte_cnn, html_extract, pseudonyms, quality_rules, token_counts
+
+SCHEMA = "doc_id long, text string"
+SF = "/root/testdata/sf0.01"
+
+
+def test_measures_equal_brute_force(spark):
+    rng = random.Random(3)
+    docs = []
+    for i in range(60):
+        w = [rng.choice(("the", "a", "und", "x#", "é*", "1", "|")) for _ in range(rng.choice((0, 5, 8, 19, 20, 40, 90)))]
+        if i % 3 == 0:
+            w += w[:12]
+        docs.append((i, "".join(x + rng.choice((" ", "\n", "\t ", "\r\n", "\n\n")) for x in w)))
+    docs += [(90, None), (91, ""), (92, "\x0b\x0c"), (93, "a b c d"), (94, "same line here\n" * 30), (95, "one " * 30)]
+    out = quality_rules.apply_rules(spark.createDataFrame(docs, SCHEMA)).collect()
+    found = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in out}
+    assert found == {d: brute.measures(t) for d, t in docs}
+    for r in out:
+        failed = r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words
+        assert r.base_failed == failed
+        assert not (failed and r.kept)
+
+
+def test_rules_edges(spark):
+    docs = spark.createDataFrame([("x", "a " * 5)], "n_words string, text string")
+    assert quality_rules.keep_good(docs).columns == docs.columns
+    assert quality_rules.keep_good(docs).collect() == []
+    assert quality_rules.apply_rules(spark.createDataFrame([], SCHEMA)).collect() == []
+    plan = quality_rules.apply_rules(spark.createDataFrame([(1, "a")], SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_rules_keep_prose_and_drop_junk(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
+    rates = {r.quality: r.k for r in quality_rules.apply_rules(docs).groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
+    assert rates[1] > 0.97
+    assert rates[0] < 0.75
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body>
+<nav><ul><li><a href=/>Home</a><li><a href=/b>News</a></ul></nav>
+<div class="cookie-banner"><p>We use cookies, many of them, to please you.</p></div>
+<div id=main><h1>Head &amp; line</h1><p>First   paragraph, with commas, and &eacute;clat, long enough to
+ count as text, surely.<script>var x = "<p>no</p>";</script></p><p>Second, with <b>bold</b> and <a href=x>a link</a>, too.</p>
+<ul><li>point one, small<li>point two, small</ul><!-- hidden --><pre>code  here</pre></div>
+<aside><p>Related, stories, and, more.</p></aside><div class="comments"><p>I say, this is, well, nice.</p></div>
+<form><p>Sign up</p></form><footer><p>Imprint, address, and so on.</p></footer></body></html>"""
+
+
+def test_page_text():
+    lines = html_extract.main_text(PAGE).split("\n")
+    assert lines == ["Head & line", "First paragraph, with commas, and éclat, long enough to count as text, surely.", "Second, with bold and a link, too.", "point one, small", "point two, small", "code here"]
+
+
+@pytest.mark.parametrize("html", [None, "", "   ", "<", "<p", "<div><div><p>a", "</p></div>", "<script>x", "&#0;&bogus;&amp", "<p>" * 3000, "a" * 100_000, "<a b='>'>x</a>"])
+def test_broken_pages(html):
+    assert isinstance(html_extract.main_text(html), str)
+
+
+def test_extract_rows(spark):
+    pages = spark.createDataFrame([(1, "u", PAGE, "old"), (2, None, None, None), (2, None, None, None)], "page_id long, url string, html string, text string")
+    out = html_extract.extract(pages)
+    assert out.columns == ["page_id", "url", "text", "n_chars"]
+    assert [(r.page_id, r.n_chars) for r in out.orderBy("page_id").collect()][1:] == [(2, 0), (2, 0)]
+    assert html_extract.extract(pages.limit(0)).collect() == []
+
+
+def test_every_test_page_has_text(spark):
+    out = html_extract.op6_html_extract(spark, SF)
+    text = out.where("n_chars = 0").count()
+    assert text <= out.count() // 20
+    assert out.where(F.length("text") != F.col("n_chars")).count() == 0
+    assert out.where(F.col("text").rlike("(?i)<(script|style|div|p)[ >]|cookie")).count() == 0
+
+
+PERSONAL = "Mail jo.Doe7@example.org or +1 415-555-0134; card 4111 1111 1111 1111, IBAN GB82 WEST 1234 5698 7654 32, ip 192.168.4.20, ssn 123-45-6789, born 1990-02-28 or 03.04.1999, token=0123456789abcdef99. Not: 999.1.1.1, 2021-02-30, 31.02.2001."
+
+
+def test_pseudonyms_keep_formats_and_undo():
+    there, back = pseudonyms.Pseudonyms(b"k"), pseudonyms.Pseudonyms(b"k", back=True)
+    text, found = there(PERSONAL)
+    assert {k for k, _, _ in found} == {"email", "phone", "card", "iban", "ip", "ssn", "date", "secret"}
+    assert back(text)[0] == PERSONAL
+    assert text != PERSONAL and "999.1.1.1" in text and "2021-02-30" in text and "31.02.2001" in text
+    shape = lambda s: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", s)))
+    card = re.search(r"card ([\d ]+)", text)[1].replace(" ", "")
+    assert pseudonyms._luhn(card[:-1]) == int(card[-1])
+    iban = re.search(r"IBAN ([A-Z0-9 ]+),", text)[1].replace(" ", "")
+    assert pseudonyms._mod97(iban[:2], iban[4:]) == int(iban[2:4])
+    assert shape(text.split("@")[0]) == shape(PERSONAL.split("@")[0])
+    assert pseudonyms.Pseudonyms(b"other")(PERSONAL)[0] != text
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 9, 100, 257])
+def test_permutation_is_one(n):
+    p = pseudonyms.Permutation(b"k", "date")
+    moved = [p(x, n) for x in range(n)]
+    assert sorted(moved) == list(range(n))
+    assert [p(x, n, True) for x in moved] == list(range(n))
+
+
+def test_pseudonyms_link_values(spark):
+    docs = spark.createDataFrame([(1, PERSONAL, "a"), (2, "again: jo.Doe7@example.org", "b"), (3, None, None), (4, "", "c"), (4, "clean", "c")], "doc_id long, text string, found string")
+    out = {(r.doc_id, r.text): r for r in pseudonyms.pseudonymise(docs).collect()}
+    mails = [m for _, t in out if t for m in re.findall(r"[\w.]+@example.org", t)]
+    assert len(mails) == 2 and len(set(mails)) == 1
+    assert out[(3, None)].found == [] and (4, "clean") in out
+    undone = pseudonyms.pseudonymise(pseudonyms.pseudonymise(docs), back=True)
+    assert sorted((r.doc_id, r.text or "") for r in undone.collect()) == sorted((r.doc_id, r.text or "") for r in docs.collect())
+    assert pseudonyms.pseudonymise(docs.limit(0)).collect() == []
+
+
+def test_round_trip_of_all_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    undone = pseudonyms.pseudonymise(pseudonyms.pseudonymise(docs).drop("found"), back=True).select("doc_id", F.col("text").alias("t"))
+    assert docs.join(undone, "doc_id").where("text <> t").count() == 0
+
+
+def auc(y, p):
+    order = np.argsort(p)
+    rank = np.empty(len(p))
+    rank[order] = np.arange(1, len(p) + 1)
+    y = np.array(y)
+    return (rank[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (len(y) - y.sum()))
+
+
+def test_classifier_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    out = byte_cnn.classify(docs, labels)
+    rows = out.join(labels, "doc_id").where("held_out").select("quality", "score", "predicted").collect()
+    assert len(rows) > 400
+    assert auc([r.quality for r in rows], [r.score for r in rows]) > 0.9
+    bad, good = ([r.predicted for r in rows if r.quality == q] for q in (0, 1))
+    assert np.mean(good) > 0.85 and np.mean(bad) < 0.35
+
+
+def test_convolution_equals_plain_loop():
+    rng = np.random.default_rng(1)
+    net = byte_cnn.fit([b"abc" * 30, b"xyz" * 40, b"abd", b"xx"], [1, 0, 1, 0], epochs=1)
+    texts = [b"", b"a", bytes(rng.integers(1, 255, 63)), bytes(rng.integers(1, 255, 64)), bytes(rng.integers(1, 255, 5000)), bytes(rng.integers(1, 255, 20_000))]
+    for text, got in zip(texts, net.scores(texts), strict=True):
+        n = -(-(len(text) + byte_cnn.WIDTH - 1) // byte_cnn.SEGMENT)
+        data = np.frombuffer(text.ljust(n * byte_cnn.SEGMENT + byte_cnn.WIDTH, b"\0"), np.uint8)
+        at = np.stack([sum(net.tables[k][data[i + k]] for k in range(byte_cnn.WIDTH)) for i in range(n * byte_cnn.SEGMENT)])
+        # Windows that begin in a text's last bytes see the next text; they are compared away from the seam.
+        if len(text) < 64:
+            continue
+        seg = np.maximum(at.reshape(n, byte_cnn.SEGMENT, -1).max(1) + net.bias, 0)
+        chunks = max(1, -(-(n - byte_cnn.CHUNK) // byte_cnn.STEP) + 1)
+        pooled = np.stack([seg[c * byte_cnn.STEP : c * byte_cnn.STEP + byte_cnn.CHUNK].max(0) for c in range(chunks)])
+        z = np.concatenate([pooled.mean(0), pooled.max(0)]) @ net.head + net.offset
+        assert abs(1 / (1 + np.exp(-z)) - got) < 1e-3
+
+
+def test_scores_do_not_depend_on_neighbours():
+    net = byte_cnn.fit([b"abc" * 30, b"xyz" * 40, b"abd", b"xx"], [1, 0, 1, 0], epochs=1)
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(1, 255, n)) for n in (0, 3, 59, 60, 61, 64, 700, 9000)]
+    alone = [net.scores([t])[0] for t in texts]
+    assert np.allclose(net.scores(texts), alone) and np.allclose(net.scores(texts[::-1])[::-1], alone)
+    long = b"abc " * 30_000
+    assert net.scores([long + b"xyz" * 9000])[0] != net.scores([long])[0]
+
+
+def test_classifier_edges(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (2, ""), (None, "x")], SCHEMA)
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    out = byte_cnn.classify(docs, labels).collect()
+    assert len(out) == 4 and all(0 <= r.score <= 1 for r in out) and not next(r for r in out if r.doc_id is None).held_out
+    assert byte_cnn.classify(docs.limit(0), labels).collect() == []
+
+
+@pytest.fixture(scope="module")
+def unigram():
+    """The public library's own unigram search over the same pieces."""
+    import sentencepiece
+    from tokenizers import Tokenizer, models
+
+    m = sentencepiece.SentencePieceProcessor(model_file=token_counts.TOKENIZER)
+    vocab = [(m.id_to_piece(i), m.get_score(i)) for i in range(m.get_piece_size())]
+    drop = {i for i in range(len(vocab)) if m.is_control(i) or m.is_byte(i) or m.is_unknown(i)}
+    kept = [("<unk>", 0.0)] + [(p, s) for i, (p, s) in enumerate(vocab) if i not in drop]
+    return Tokenizer(models.Unigram(kept, 0, False))
+
+
+def test_counts_equal_the_library(unigram):
+    scores, _ = token_counts.vocabulary(token_counts.TOKENIZER)
+    counter = token_counts.Counter(scores, False)
+    rng = random.Random(4)
+    letters = "abcdefgh  the in er on é ü ñ 你 ☃\U0001f600 \n\t 0 1 .,▁"
+    for _ in range(400):
+        text = "".join(rng.choice(letters) for _ in range(rng.randrange(1, 120)))
+        plain = token_counts.SPACE + text.replace(" ", token_counts.SPACE)
+        assert counter(text)[0] == len(unigram.encode(plain).ids), text
+
+
+def test_bytes_stand_for_unknown_characters():
+    scores, has_bytes = token_counts.vocabulary(token_counts.TOKENIZER)
+    counter = token_counts.Counter(scores, has_bytes)
+    assert has_bytes
+    assert counter("\U00012000") == (5, 1) and counter("\U00012000\U00012001") == (9, 2)
+    whole = token_counts.Counter(scores, has_bytes)
+    whole.segments = None
+    for text in ("a  b", " lead", "tail ", "x▁y", "über alles 你好 \U0001f600\U0001f600 end"):
+        assert counter(text) == whole(text)
+
+
+def test_count_rows(spark):
+    docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "the cat", 5), (3, "the cat", 6)], "doc_id long, text string, n_tokens int")
+    out = [(r.doc_id, r.n_chars, r.n_tokens) for r in token_counts.count_tokens(docs).orderBy("doc_id").collect()]
+    assert out[:2] == [(1, 0, 0), (2, 0, 0)] and out[2] == out[3] and out[2][1] == 7
+    assert token_counts.count_tokens(docs.limit(0)).collect() == []
