@@ -17,6 +17,8 @@ from .common import SPACE, cut, table
 BUCKETS = 1024
 #: Slots that one row stands for before they are spread over tasks.
 STRIDE = 16_384
+#: Strides that a task spreads, and the most tasks that do so.
+TASK_STRIDES, MOST_TASKS = 4, 20_000
 #: Rounds of a permutation.
 ROUNDS = 24
 #: Up to so many sources their table is broadcast (under 100 bytes each); beyond, it is joined by shuffle.
@@ -120,7 +122,9 @@ class Mix:
     def slots(self) -> DataFrame:
         held = self.sources.where("slots > 0")
         strides = held.withColumn("stride", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {STRIDE}"))))
-        strides = strides.repartition("source_id", "stride")
+        # A fixed number of tasks: few bytes stand for many slots, so sizes must not merge them.
+        n = held.agg(F.sum(F.expr(f"(slots - 1) div {STRIDE} + 1"))).first()[0] or 1
+        strides = strides.repartition(min(n // TASK_STRIDES + 1, MOST_TASKS), "source_id", "stride")
         numbers = F.sequence(F.col("stride") * STRIDE, F.least(F.col("slots"), (F.col("stride") + 1) * STRIDE) - 1)
         each = strides.select("source_id", "blocks", "first_slot", "all_slots", F.explode(numbers).alias("q"))
         each = each.withColumns({"epoch": F.expr("q div blocks"), "_i": F.expr("q % blocks")})
@@ -137,13 +141,14 @@ class Mix:
     def blocks(self) -> DataFrame:
         """The output: shard, slot, source_id, block and the pieces of documents in it, in order."""
         content = self.pieces.groupBy("source_id", "block").agg(F.sort_array(F.collect_list(F.struct("start", "doc_id", "size", "words"))).alias("pieces"))
-        return self.slots.join(content, ["source_id", "block"])
+        return self.slots.join(content.hint("merge"), ["source_id", "block"])
 
     @property
     def taken(self) -> DataFrame:
         """doc_id, source, size, source_size, target and taken of every row of the documents."""
         times = self.slots.groupBy("source_id", "block").agg(F.count("*").alias("times"))
-        took = self.pieces.join(times, ["source_id", "block"], "left").groupBy("doc_id", "source_id", "size", "start")
+        # The planner takes the slots for as few as the sources they come from, so the hint keeps them from being broadcast.
+        took = self.pieces.join(times.hint("merge"), ["source_id", "block"], "left").groupBy("doc_id", "source_id", "size", "start")
         took = took.agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken")).drop("start")
         empty = self.rows.where("size = 0").join(self.by_source(["source", "source_id"]).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
         empty = empty.select("doc_id", "source_id", "size", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("taken")).withColumn("taken", F.lit(0).cast("long"))
