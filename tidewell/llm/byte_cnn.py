@@ -41,8 +41,14 @@ class Network:
         """Responses to two bytes at once, by their 16-bit number; halves the look-ups."""
         return [(self.tables[k][:, None] + self.tables[k + 1][None]).reshape(-1, FILTERS) for k in range(0, WIDTH, 2)]
 
-    def segments(self, data: np.ndarray) -> np.ndarray:
-        """Maximal responses in each segment of data, whose length is a multiple of SEGMENT."""
+    def segments(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Maximal responses in each segment of data, whose length is a multiple of SEGMENT.
+
+        The last places before a text's end, which would reach into the next text, respond
+        as to zero bytes, so that a score depends on its own text only.
+        """
+        seams = (ends[:, None] - np.arange(WIDTH - 1, 0, -1)).ravel()
+        nothing = sum((p[0] for p in self.pairs[1:]), self.pairs[0][0].copy())
         out = np.empty((len(data) // SEGMENT, FILTERS), np.float32)
         padded = np.concatenate([data, np.zeros(WIDTH, np.uint8)]).astype(np.int64)
         two = (padded[:-1] << 8) | padded[1:]
@@ -53,6 +59,8 @@ class Network:
             np.take(self.pairs[0], two[start:stop], 0, sums[:n], "clip")
             for k in range(1, WIDTH // 2):
                 sums[:n] += np.take(self.pairs[k], two[start + 2 * k : stop + 2 * k], 0, more[:n], "clip")
+            a, b = np.searchsorted(seams, (start, stop))
+            sums[seams[a:b] - start] = nothing
             out[start // SEGMENT : stop // SEGMENT] = sums[:n].reshape(-1, SEGMENT, FILTERS).max(1)
         return np.maximum(out + self.bias, 0)
 
@@ -60,7 +68,7 @@ class Network:
         data, counts = layout(texts)
         if not len(data):
             return np.empty(0)
-        found = self.segments(data)
+        found = self.segments(data, np.cumsum(counts) * SEGMENT)
         starts = np.cumsum([0, *counts[:-1]])
         chunks = np.maximum(1, -(-(counts - CHUNK) // STEP) + 1)
         first = np.concatenate([s + STEP * np.arange(c) for s, c in zip(starts, chunks, strict=True)])
