@@ -6,8 +6,10 @@ file, a directory or a stream of files goes through the same code.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MINUTE = 60_000_000
 
@@ -110,9 +112,19 @@ def parser_of(path: Column, strict: bool = True) -> Column:
     return F.coalesce(found, F.raise_error(F.concat(F.lit("no parser for "), path)).cast("string")) if strict else found
 
 
-def decoded(content: Column) -> Column:
-    """Text of bytes: UTF-8, or where they are none the Korean code page 949."""
-    return F.when(F.is_valid_utf8(content), F.decode(content, "UTF-8")).otherwise(F.decode(content, "x-windows-949"))
+@F.pandas_udf(StringType())
+def decoded(content: pd.Series) -> pd.Series:
+    """Text of files' bytes: UTF-8, or where they are none the Korean code page 949."""
+
+    def one(body: bytes | None) -> str | None:
+        if body is None:
+            return None
+        try:
+            return bytes(body).decode("utf-8")
+        except UnicodeDecodeError:
+            return bytes(body).decode("cp949", errors="replace")
+
+    return content.map(one)
 
 
 def verified(files: DataFrame, sums: DataFrame) -> DataFrame:
