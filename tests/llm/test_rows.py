@@ -102,6 +102,19 @@ def test_pseudonyms_keep_formats_and_undo():
     assert pseudonyms.Pseudonyms(b"other")(PERSONAL)[0] != text
 
 
+@pytest.mark.parametrize("said", ["4111 1111 1111 1112", "9807915762804490", "0000000000000000", "7536784127813050", "release 1.2.3", "12:30", "call 555"])
+def test_other_numbers_stay(said):
+    assert pseudonyms.Pseudonyms(b"k")(said) == (said, [])
+
+
+@pytest.mark.parametrize("said", ['TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"!!', 'token = "abe29cfcdae4f03e1e339fcaa4c5bb6c83baff71"', "4736962573099581", "key: 1234567890123456"])
+def test_values_in_either_case(said):
+    text, found = pseudonyms.Pseudonyms(b"k")(said)
+    assert text != said and len(found) == 1
+    assert pseudonyms.Pseudonyms(b"k", back=True)(text)[0] == said
+    assert text.isupper() == said.isupper()
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 9, 100, 257])
 def test_permutation_is_one(n):
     p = pseudonyms.Permutation(b"k", "date")

@@ -76,7 +76,7 @@ class Pseudonyms:
 
     FOUND = re.compile(
         r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
-        r"|(?P<secret>(?i:token|secret|password|api[_-]?key|key)\s*[=:]\s*[\"']?(?P<hex>[0-9a-f]{16,}))"
+        r"|(?P<secret>(?i:token|secret|password|api[_-]?key|key)\s*[=:]\s*[\"']?(?P<hex>[0-9a-f]{16,}+(?![A-F])|[0-9A-F]{16,}))"
         r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?\b)"
         r"|(?P<date>(?<![0-9.])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./](?:19|20)[0-9]{2})(?![0-9]|\.[0-9]))"
         r"|(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))"
@@ -111,8 +111,10 @@ class Pseudonyms:
         return "".join(reversed(out)) + at + rest
 
     def secret(self, value: str) -> str:
-        start = re.search("[0-9a-f]{16,}$", value).start()
-        return value[:start] + self._digits("secret", value[start:], 16)
+        start = re.search("(?:[0-9a-f]+|[0-9A-F]+)$", value).start()
+        digits = value[start:]
+        moved = self._digits("secret", digits.lower(), 16)
+        return value[:start] + (moved if digits == digits.lower() else moved.upper())
 
     def iban(self, value: str) -> str | None:
         plain = value.replace(" ", "")
@@ -130,18 +132,11 @@ class Pseudonyms:
 
     def card(self, value: str) -> str | None:
         digits = re.sub("[ -]", "", value)
-        if digits[0] == "0":
+        # Payment cards start with 2 to 6; other numbers, and those with a wrong check digit, are no cards.
+        if digits[0] not in "23456" or _luhn(digits[:-1]) != int(digits[-1]):
             return None
-        if _luhn(digits[:-1]) == int(digits[-1]):  # the issuer's first digit stays
-            body = digits[0] + self._digits("card", digits[1:-1])
-            return _refill(value, DIGITS, body + str(_luhn(body)))
-        if len(digits) != 16 or digits[0] not in "23456":
-            return None
-        # In a card's format but with a wrong check digit: moved within the wrong ones, so it stays one.
-        wrong = (int(digits[-1]) - _luhn(digits[:-1])) % 10 - 1
-        x = self._moved("card", int(digits[1:-1]) * 9 + wrong, 9 * 10**14)
-        body = digits[0] + f"{x // 9:014d}"
-        return _refill(value, DIGITS, body + str((_luhn(body) + x % 9 + 1) % 10))
+        body = digits[0] + self._digits("card", digits[1:-1])
+        return _refill(value, DIGITS, body + str(_luhn(body)))
 
     def ip(self, value: str) -> str | None:
         parts = [int(p) for p in value.split(".")]
@@ -204,8 +199,7 @@ def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, back: bool = False) ->
 
     docs needs text; all columns stay, and one named found is replaced. Values that fail
     their check stay as they are: octets above 255, days of no calendar, wrong IBAN
-    check numbers. A 16-digit number in a card's format with a wrong Luhn digit is
-    moved among such numbers. Null text stays null with nothing found; empty and clean
+    check numbers, card numbers with a wrong Luhn digit. Null text stays null with nothing found; empty and clean
     texts stay. Equal values become equal pseudonyms in all rows. back=True with the same
     key restores the texts. Empty tables give empty results; nothing is shuffled.
     """
