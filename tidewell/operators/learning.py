@@ -71,12 +71,21 @@ def clusters(df: DataFrame, features: list[str], k: int = 3) -> tuple[DataFrame,
 
 
 def outliers(df: DataFrame, features: list[str], key: str, eps: float) -> DataFrame:
-    """key and outlier: no other row of a small table lies within eps in standardised features."""
-    everything = Window.partitionBy(F.lit(1))
-    scaled = df.select(key, *[F.try_divide(F.col(f) - F.avg(f).over(everything), F.stddev_pop(f).over(everything)).alias(f) for f in features])
-    other = scaled.select(F.col(key).alias("_k"), *[F.col(f).alias(f"_{f}") for f in features])
-    square = sum((F.pow(F.coalesce(F.col(f) - F.col(f"_{f}"), F.lit(0.0)), 2) for f in features), F.lit(0.0))
-    near = scaled.join(F.broadcast(other), (F.col(key) != F.col("_k")) & (F.sqrt(square) <= eps), "left_semi").select(key, F.lit(False).alias("outlier"))
+    """key and outlier: no other row lies within eps in standardised features.
+
+    Rows meet only in cells of width eps of the first two features and their neighbours;
+    means and deviations are one aggregated row. A row without a feature counts as at its mean.
+    """
+    stats = df.agg(*[F.avg(f).alias(f"_m_{f}") for f in features], *[F.stddev_pop(f).alias(f"_s_{f}") for f in features])
+    scaled = df.crossJoin(F.broadcast(stats)).select(key, *[F.coalesce(F.try_divide(F.col(f) - F.col(f"_m_{f}"), F.col(f"_s_{f}")), F.lit(0.0)).alias(f) for f in features])
+    cells = [F.floor(F.col(f) / eps) for f in features[:2]]
+    placed = scaled.withColumns({f"_c{i}": x for i, x in enumerate(cells)})
+    near_ = scaled.select(F.col(key).alias("_k"), *[F.col(f).alias(f"_{f}") for f in features], *[x.alias(f"_b{i}") for i, x in enumerate(cells)])
+    for i in range(len(cells)):
+        near_ = near_.withColumn(f"_c{i}", F.explode(F.array(*[F.col(f"_b{i}") + d for d in (-1, 0, 1)]))).drop(f"_b{i}")
+    square = sum((F.pow(F.col(f) - F.col(f"_{f}"), 2) for f in features), F.lit(0.0))
+    pairs = placed.join(near_, [f"_c{i}" for i in range(len(cells))]).where((F.col(key) != F.col("_k")) & (F.sqrt(square) <= eps))
+    near = pairs.select(key).distinct().withColumn("outlier", F.lit(False))
     return scaled.select(key).join(near, key, "left").select(key, F.coalesce("outlier", F.lit(True)).alias("outlier"))
 
 

@@ -169,8 +169,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         changed = after.alias("n").join(labels.alias("o"), "node").where("n.component <> o.component").limit(1).count()
         labels = after
         if not changed:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def capped_assignment(sizes: list[tuple[str, int]], caps: dict[str, int], seed: int) -> dict[str, str]:

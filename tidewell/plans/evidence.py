@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.catalog import query
@@ -212,13 +213,16 @@ def tx26(spark, d):
     return claims(spark, d).select("run_id", "idx", "part", "latency_ms", label.alias("label"))
 
 
-@query("tx27_queue", f"WITH {RUNS}, p AS (SELECT * FROM runs WHERE status = 'running') SELECT run_id, started < TIMESTAMP '2001-07-01' - INTERVAL 60 SECOND AS stale, row_number() OVER (ORDER BY started, run_id) - 1 AS ahead FROM p WHERE started >= TIMESTAMP '2001-01-01'")
+@query("tx27_queue", f"WITH {RUNS}, p AS (SELECT * FROM runs WHERE status = 'running' AND started >= TIMESTAMP '2001-01-01') SELECT run_id, started < TIMESTAMP '2001-07-01' - INTERVAL 60 SECOND AS stale, row_number() OVER (ORDER BY started, run_id) - 1 AS ahead FROM p")
 def tx27(spark, d):
     """Runs that wait: whether they are stale, and how many wait before them."""
-    from pyspark.sql import Window
-
-    p = runs(spark, d).where("status = 'running' and started >= '2001-01-01'")
-    return p.select("run_id", (c("started") < F.expr("timestamp_ntz '2001-07-01' - interval 60 seconds")).alias("stale"), (F.row_number().over(Window.orderBy("started", "run_id")) - 1).alias("ahead"))
+    p = runs(spark, d).where("status = 'running' and started >= '2001-01-01'").withColumn("day", F.to_date("started"))
+    # Only the days' counts are summed in one place; places within a day are the day's own.
+    days = p.groupBy("day").agg(F.count("*").alias("n"))
+    before = days.select("day", F.coalesce(F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    place = F.row_number().over(Window.partitionBy("day").orderBy("started", "run_id")) - 1
+    stale = c("started") < F.expr("timestamp_ntz '2001-07-01' - interval 60 seconds")
+    return p.withColumn("place", place).join(before, "day").select("run_id", stale.alias("stale"), (c("earlier") + c("place")).alias("ahead"))
 
 
 @query("tx28_snapshot_diff", "WITH b AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN sha256(lang) ELSE sha256(text) END AS h FROM documents WHERE doc_id % 5 <> 0) SELECT b.doc_id, CASE WHEN n.h IS NULL THEN 'gone' WHEN n.h = b.h THEN 'same' ELSE 'replaced' END AS state FROM b LEFT JOIN n USING (doc_id)")
