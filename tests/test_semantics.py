@@ -252,3 +252,9 @@ def test_empty_inputs(spark):
     assert indicators.macd(empty).collect() == []
     assert patterns.candle_patterns(empty).collect() == []
     assert backtest.metrics(backtest.equity(backtest.held(empty.withColumn("position", F.lit(1))))).collect() == []
+
+
+def test_warm_up_days():
+    from tidewell.plans.backtests import warm_up_days
+
+    assert warm_up_days("hold") == warm_up_days("instalments") == 0 and warm_up_days("momentum", 60) > 60

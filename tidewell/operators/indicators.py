@@ -66,9 +66,10 @@ def ema(df: DataFrame, spans: dict[str, int], x: str = "close") -> DataFrame:
 
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, x: str = "close") -> DataFrame:
-    """df with macd, macd_signal and macd_hist; both steps stay within one partitioning by symbol."""
-    line = ema(df, {"_fast": fast, "_slow": slow}, x).withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
-    return ewm(line, {"macd_signal": ("macd", 2 / (signal + 1))}).withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+    """df with macd, macd_signal and macd_hist, from one pass over each symbol."""
+    alpha = lambda span: 2 / (span + 1)
+    steps = {"_fast": (x, alpha(fast)), "_slow": (x, alpha(slow)), "macd": lambda rows: rows["_fast"] - rows["_slow"], "macd_signal": ("macd", alpha(signal))}
+    return ewm(df, steps).drop("_fast", "_slow").withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
 
 
 def bollinger(df: DataFrame, n: int = 20, k: float = 2.0, x: str = "close", population: bool = False) -> DataFrame:

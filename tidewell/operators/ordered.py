@@ -45,16 +45,21 @@ def fold(df: DataFrame, keys: list[str], order: list[str], added: str, segment:
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
-def ewm(df: DataFrame, smooth: dict[str, tuple[str, float]], keys: tuple[str, ...] = ("symbol",), order: tuple[str, ...] = ("time",)) -> DataFrame:
+def ewm(df: DataFrame, smooth: dict[str, tuple[str, float] | Callable[[pd.DataFrame], pd.Series]], keys: tuple[str, ...] = ("symbol",), order: tuple[str, ...] = ("time",)) -> DataFrame:
     """Exponential means: for each (output, (input, alpha)), y = (1 - alpha) * y_before + alpha * x.
 
     The first value of a key is its own mean; nulls before it give null, a later null
-    keeps the mean. Outputs may be inputs of later ones.
+    keeps the mean. An output may be an input of later ones, and a function of the rows in
+    between makes a column from them, so that chains need one pass and one shuffle.
     """
 
     def segment(state, rows):
         state, rows = dict(state or {}), rows.copy()
-        for name, (source, alpha) in smooth.items():
+        for name, how in smooth.items():
+            if callable(how):
+                rows[name] = how(rows)
+                continue
+            source, alpha = how
             x = pd.to_numeric(rows[source], errors="coerce").astype("float64")
             before = state.get(name)
             y = (pd.concat([pd.Series([before]), x]) if before is not None else x).ewm(alpha=alpha, adjust=False, ignore_na=True).mean()

@@ -240,3 +240,10 @@ def agg14(spark, d):
     return I.features(candles(spark, d)).groupBy("symbol").agg(*[F.round(F.avg(x), 6).alias(x) for x in I.FEATURES])
 
 
+
+
+@query("ev09_seeded_sample", f"{B},{EVENTS} SELECT symbol, bar FROM evt ORDER BY sha256('7:' || symbol || ':' || bar) LIMIT 30")
+def ev09(spark, d):
+    """A sampling operator: 30 events in the order of a seeded hash, whatever the partitioning."""
+    key = F.sha2(F.concat_ws(":", F.lit("7"), "symbol", "bar"), 256)
+    return _events(spark, d).select("symbol", "bar").orderBy(key).limit(30)
