@@ -142,7 +142,8 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     near = may_be_in(known, F.col("doc_id"), spots, F.col("doc_id")).where("maybe").drop("maybe")
     near = near.mapInArrow(_with_hash, "doc_id long, body binary, t long").join(spots, ["doc_id", "t"])
     windows = cut(near.select("doc_id", "body", "spots").mapInArrow(_windows(window), "w1 long, w2 long, doc_id long, pos int"))
-    owners = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("w1", "w2", "owner")
+    # A table of its own: adaptive execution splits a hot window only in a join of two plain shuffles.
+    owners = cut(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("w1", "w2", "owner"))
     starts = windows.join(owners, ["w1", "w2"]).where("owner < doc_id").groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
 
     own = spots.select("doc_id", "t").join(starts, "doc_id").withColumn("copy", F.lit(False))
