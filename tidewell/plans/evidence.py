@@ -91,8 +91,9 @@ def _pairs(spark, d):
     """Claims with the passages that share their first word: a key join, not all pairs."""
     first = F.lower(F.get(F.split("text", " "), F.lit(0)))
     cl = table(spark, d, "benchmark").select("item_id", X.bigrams(c("text")).alias("b"), first.alias("w"))
-    ps = table(spark, d, "documents").select("doc_id", c("text"), first.alias("w"))
-    return cl.join(ps, "w").select("item_id", "doc_id", F.round(X.recall(c("b"), X.bigrams(c("text"))), 8).alias("score"))
+    ps = table(spark, d, "documents").select("doc_id", X.bigrams(c("text")).alias("p"), first.alias("w"))
+    # Bigrams are taken once a text, below the join.
+    return cl.join(ps, "w").select("item_id", "doc_id", F.round(X.recall(c("b"), c("p")), 8).alias("score"))
 
 
 @query("tx11_lexical_best", f"WITH {_PAIRS} SELECT item_id, max(score) AS score, arg_max(doc_id, row(score, -doc_id)) AS best FROM pr GROUP BY 1")
