@@ -134,11 +134,11 @@ def jon18(spark, d):
     return n.join(r, n.n_regionkey == r.r_regionkey).join(live, "n_nationkey", "left").select("n_nationkey", "n_name", "r_name", F.coalesce("suppliers", F.lit(0)).alias("suppliers"))
 
 
-@query("agg01_person_credit", "SELECT c_mktsegment AS seg, c_nationkey AS nation, count(*) AS cnt, round(sum(CASE WHEN c_custkey % 9 = 0 THEN 0 ELSE c_acctbal END) / count(*), 2) AS score FROM customer GROUP BY 1, 2")
+@query("agg01_person_credit", "SELECT c_mktsegment AS seg, c_nationkey AS nation, count(*) AS cnt, round(sum(CASE WHEN c_custkey % 9 = 0 THEN 0 ELSE round(c_acctbal * 100)::BIGINT END)::DOUBLE / count(*) / 100, 4) AS score FROM customer GROUP BY 1, 2")
 def agg01(spark, d):
     """A null counts as 0 in the sum and as a row in the denominator."""
-    x = F.when(c("c_custkey") % 9 != 0, c("c_acctbal"))
-    return table(spark, d, "customer").groupBy(c("c_mktsegment").alias("seg"), c("c_nationkey").alias("nation")).agg(F.count("*").alias("cnt"), F.round(G.mean_of_all(x), 2).alias("score"))
+    x = F.when(c("c_custkey") % 9 != 0, F.round(c("c_acctbal") * 100).cast("long"))
+    return table(spark, d, "customer").groupBy(c("c_mktsegment").alias("seg"), c("c_nationkey").alias("nation")).agg(F.count("*").alias("cnt"), F.round(G.mean_of_all(x) / 100, 4).alias("score"))
 
 
 @query("agg02_company_credit", "SELECT p_brand AS brand, count(*) AS cnt, round(sum(CASE WHEN p_size < 40 THEN p_size ELSE 0 END) / count(*), 6) AS grade, round(sum(p_retailprice) / count(*), 2) AS price FROM part GROUP BY 1")
