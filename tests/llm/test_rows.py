@@ -115,6 +115,44 @@ def test_values_in_either_case(said):
     assert text.isupper() == said.isupper()
 
 
+@pytest.mark.parametrize(
+    ("said", "values"),
+    [
+        ("4111 1111 1111 1111 12/27", ["4111 1111 1111 1111"]),
+        ("4111111111111111 12 eur", ["4111111111111111"]),
+        ("row 12 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+        ("123456 4111-1111-1111-1111 12", ["4111-1111-1111-1111"]),
+        ("3782 822463 10005 12/27", ["3782 822463 10005"]),
+        ("BE68 5390 0754 7034 2024", ["BE68 5390 0754 7034"]),
+        ("BE68539007547034 EUR", ["BE68539007547034"]),
+        ("XX12 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+        ("0049 170 1234 5678", ["0049 170 1234 5678"]),
+        ("row 1234 123-45-6789", ["123-45-6789"]),
+        ("5500 0000 0000 0004 4111 1111 1111 1111 12", ["5500 0000 0000 0004", "4111 1111 1111 1111"]),
+    ],
+)
+def test_values_beside_other_numbers(said, values):
+    for key in map(str, range(60)):
+        text, found = pseudonyms.Pseudonyms(key.encode())(said)
+        assert [said[a:b] for _, a, b in found] == values
+        assert not any(v in text for v in values)
+        assert pseudonyms.Pseudonyms(key.encode(), back=True)(text)[0] == said
+
+
+def test_numbers_in_a_row_can_be_undone():
+    rng = random.Random(4)
+    for i in range(300):
+        body = "4" + "".join(rng.choices("0123456789", k=14))
+        card = body + str(pseudonyms._luhn(body))
+        card = " ".join(card[k : k + 4] for k in range(0, 16, 4)) if i % 2 else card
+        others = ["".join(rng.choices("0123456789", k=rng.choice((2, 3, 4, 6)))) for _ in range(rng.randrange(6))]
+        said = rng.choice((" ", "-")).join(sorted([card, *others], key=lambda _: rng.random()))
+        said += rng.choice(("", " BE68 5390 0754 7034 2024", " 1.2.3.4"))
+        text, found = pseudonyms.Pseudonyms(b"k")(said)
+        assert found
+        assert pseudonyms.Pseudonyms(b"k", back=True)(text)[0] == said
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 9, 100, 257])
 def test_permutation_is_one(n):
     p = pseudonyms.Permutation(b"k", "date")

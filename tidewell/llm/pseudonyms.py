@@ -3,7 +3,9 @@
 Found values are checked (Luhn, mod 97, calendar, octets), ranked within their
 format, permuted by a keyed Feistel network with cycle walking over exactly the
 values of that format, and written back in the separators they came in. Equal values
-get equal pseudonyms in every document, and the key undoes them.
+get equal pseudonyms in every document, and the key undoes them. Only where a value's
+pseudonym would make a longer or earlier number beside it pass its check, another one
+is taken, as the key couldn't undo it else.
 """
 
 from __future__ import annotations
@@ -68,6 +70,20 @@ def _refill(value: str, symbols: str, fresh: str) -> str:
 
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Characters of an IBAN by country, from the public register.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+#: Groups of digits a card number has at most where it is a part of a longer run.
+CARD_GROUPS = 5
+#: Characters around a value in which a match that overlaps it may lie; steps of a permutation until none of these passes.
+REACH, MOST_WALKS = 64, 1000
 DAYS = (date(1900, 1, 1), date(2099, 12, 31))
 
 
@@ -81,17 +97,27 @@ class Pseudonyms:
         r"|(?P<date>(?<![0-9.])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./](?:19|20)[0-9]{2})(?![0-9]|\.[0-9]))"
         r"|(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))"
         r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
-        r"|(?P<card>(?<![0-9+])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))"
-        r"|(?P<phone>(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9+])\+[0-9]{8,15}(?![0-9]))"
+        r"|(?P<card>(?<![0-9+])[0-9](?:[0-9]|[ -](?!(?:[0-9]{1,3}\.){3}[0-9])[0-9]){12,18}(?![0-9]))"
+        r"|(?P<phone>(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-](?!(?:[0-9]{1,3}\.){3}[0-9]))?[0-9]{3,4}[ .-](?!(?:[0-9]{1,3}\.){3}[0-9])[0-9]{3,4}(?![0-9])|(?<![0-9+])\+[0-9]{8,15}(?![0-9]))"
     )
     MARK = re.compile("[0-9@]")
+    RUN = re.compile(r"[0-9](?:[0-9]|[ -](?!(?:[0-9]{1,3}\.){3}[0-9])[0-9])*")
+    #: A phone number with a trunk or international prefix, as it is looked for in a digit run that is no card.
+    TRUNK = re.compile(r"0[0-9]{1,4}(?:[ -][0-9]{2,4}){2,5}")
 
     def __init__(self, key: bytes = DEMO_KEY, back: bool = False):
-        self.back = back
+        self.back, self.checking = back, False
         self.permutations = {k: Permutation(key, k) for k in KINDS}
 
     def _moved(self, kind: str, x: int, n: int) -> int:
-        return self.permutations[kind](x, n, self.back)
+        return x if self.checking else self.permutations[kind](x, n, self.back)
+
+    def _passes(self, kind: str, value: str) -> bool:
+        make: Callable[[str], str | None] = getattr(self, kind)
+        self.checking = True
+        passed = make(value) is not None
+        self.checking = False
+        return passed
 
     def _digits(self, kind: str, digits: str, base: int = 10) -> str:
         n = base ** len(digits)
@@ -177,18 +203,91 @@ class Pseudonyms:
         """The text with pseudonyms, and (kind, start, end) of each in the input."""
         if not self.MARK.search(text):
             return text, []
-        found: list[tuple[str, int, int]] = []
-
-        def swap(m: re.Match) -> str:
-            kind = m.lastgroup if m.lastgroup != "hex" else "secret"
-            make: Callable[[str], str | None] = getattr(self, kind)
-            new = make(m[0])
-            if new is None:
-                return m[0]
-            found.append((kind, m.start(), m.end()))
-            return new
-
-        return self.FOUND.sub(swap, text), found
+        found = self._found(text)
+        return self._replaced(text, found), [(kind, start, end) for kind, start, end, _, _ in found]
+
+    def _ends(self, kind: str, value: str) -> Iterator[int]:
+        """Lengths at which a value of the kind may end within the match, the likeliest first."""
+        if kind == "iban":
+            marks = [i + 1 for i, c in enumerate(value) if c != " "]
+            length = IBAN_LENGTHS.get(value[:2])
+            if length and length < len(marks) and not value[marks[length - 1] : marks[length - 1] + 1].isalnum():
+                yield marks[length - 1]
+            yield len(value)
+            if not length:
+                yield from (m.start() for m in reversed(list(re.finditer(" ", value))) if sum(x <= m.start() for x in marks) >= 15)
+            return
+        yield len(value)
+        if kind == "card":
+            for n, gap in reversed(list(enumerate(re.finditer("[ -]", value), 1))):
+                if n <= CARD_GROUPS and gap.start() - n + 1 >= 13:
+                    yield gap.start()
+
+    def _found(self, text: str, at: int = 0, run: int = 0) -> list[tuple[str, int, int, bool, int]]:
+        """(kind, start, end, tangled, run) of each value from `at` on.
+
+        Where a match fails its check, its shorter and later groups are tried in turn.
+        A value is tangled if a failed match overlaps it; run is the end of the last digit run
+        that began as no card, in which a phone number must have its prefix and reach the end.
+        """
+        found, reach = [], 0
+        while m := self.FOUND.search(text, at):
+            kind, start, at = m.lastgroup if m.lastgroup != "hex" else "secret", m.start(), m.end()
+            if kind == "phone" and start < run:
+                end = None
+            else:
+                end = next((start + n for n in self._ends(kind, m[0]) if self._passes(kind, text[start : start + n])), None)
+            if end is None and kind == "card" and start >= run:
+                run = self.RUN.match(text, start).end()
+            if end is None and start < run and (trunk := self.TRUNK.fullmatch(text, start, run)) and self._passes("phone", trunk[0]):
+                kind, end = "phone", run
+            if end is None:
+                reach = max(reach, at)
+                if kind in ("iban", "card") or start < run:
+                    at = start + 1
+            else:
+                found.append((kind, start, end, start < reach or end != m.end(), run))
+                reach, at = max(reach, m.end()), end
+        return found
+
+    def _replaced(self, text: str, found: list[tuple[str, int, int, bool, int]]) -> str:
+        """text with its values replaced so that they are found again in the same places.
+
+        A tangled value is permuted on until no failed match that overlaps it passes. The values'
+        order is turned round on the way back, so that each is judged among the same neighbours.
+        """
+        values = [text[start:end] for _, start, end, _, _ in found]
+        edges = [0, *(x for f in found for x in f[1:3]), len(text)]
+        gaps = [text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+
+        def same(i: int, value: str) -> bool:
+            first = i
+            while first and found[first][1] - found[first - 1][2] < REACH and found[i][1] - found[first - 1][2] < REACH:
+                first -= 1
+            window, spans, after = gaps[first][-REACH:], [], i + 1
+            at = max(0, len(window) - REACH + 2) if first == 0 or len(gaps[first]) >= REACH else 0
+            shift = found[first][1] - len(window)
+            for j in range(first, i + 1):
+                window += gaps[j] if j > first else ""
+                spans.append((found[j][0], len(window), len(window) + len(value if j == i else values[j])))
+                window += value if j == i else values[j]
+            stop, tail = len(window), gaps[i + 1]
+            while len(tail) < REACH and after < len(found):
+                tail += values[after] + gaps[after + 1]
+                after += 1
+            seen = self._found(window + tail[:REACH], at, max(0, found[first][4] - shift) if found[first][4] > found[first][1] else 0)
+            return [f[:3] for f in seen if f[1] < stop] == spans
+
+        for i in range(len(found))[:: -1 if self.back else 1]:
+            make: Callable[[str], str] = getattr(self, found[i][0])
+            new = make(values[i])
+            if found[i][3] and same(i, values[i]):
+                for _ in range(MOST_WALKS):
+                    if same(i, new):
+                        break
+                    new = make(new)
+            values[i] = new
+        return "".join(x for pair in zip(gaps, [*values, ""], strict=True) for x in pair)
 
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -198,7 +297,7 @@ def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, back: bool = False) ->
     """docs with text pseudonymised and found: the kind, start and end of each value in the input text.
 
     docs needs text; all columns stay, and one named found is replaced. Values that fail
-    their check stay as they are: octets above 255, days of no calendar, wrong IBAN
+    their check, and hold no shorter or later value that passes, stay as they are: octets above 255, days of no calendar, wrong IBAN
     check numbers, card numbers with a wrong Luhn digit. Null text stays null with nothing found; empty and clean
     texts stay. Equal values become equal pseudonyms in all rows. back=True with the same
     key restores the texts. Empty tables give empty results; nothing is shuffled.
