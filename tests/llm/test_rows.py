@@ -63,6 +63,29 @@ def test_page_text():
     assert lines == ["Head & line", "First paragraph, with commas, and éclat, long enough to count as text, surely.", "Second, with bold and a link, too.", "point one, small", "point two, small", "code here"]
 
 
+BODY = "<p>" + "Long sentences, with commas, and more words, to fill it, as they do. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("html", "kept", "gone"),
+    [
+        (f"<div><div>{BODY * 3}</div><div><p>a short closing section</p></div></div>", ["a short closing section"], []),
+        (f"<div><p>short lead</p><div>{BODY * 3}</div><ul><li>point<li>other</ul><table><tr><td>cell</table>loose end</div>", ["short lead", "point", "other", "cell", "loose end"], []),
+        (f"<div><div><div>{BODY * 3}</div><p>caption</p></div><div><p>next part</p></div></div>", ["caption", "next part"], []),
+        (f"<div><div><a href=/a>Home</a> <a href=/b>News</a></div><div>{BODY * 3}</div><div>closing</div></div>", ["closing"], ["Home"]),
+        (f"<div><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul>{BODY * 3}<ul><li><a href=/r>Reference one</a><li><a href=/s>Reference two</a></ul>{BODY}</div>", ["Reference one", "Reference two"], ["Home"]),
+        (f"<article>{BODY * 3}<p><a href=/r>First</a> <a href=/s>Second</a></p></article>", ["First Second"], []),
+        (f"<article>{BODY}<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2tex</annotation></math> holds.</p></article>", ["So x=2 holds."], ["tex"]),
+    ],
+)
+def test_all_of_the_article_is_kept(html, kept, gone):
+    text = html_extract.main_text(f"<html><body>{html}</body></html>")
+    lines = text.split("\n")
+    assert "Long sentences" in text
+    assert all(x in lines for x in kept), lines
+    assert not any(x in text for x in gone), lines
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<", "<p", "<div><div><p>a", "</p></div>", "<script>x", "&#0;&bogus;&amp", "<p>" * 3000, "a" * 100_000, "<a b='>'>x</a>"])
 def test_broken_pages(html):
     assert isinstance(html_extract.main_text(html), str)

@@ -1,8 +1,10 @@
 """Main text of HTML pages by tree scoring.
 
 Paragraphs pass points for their length and commas to their ancestors, less at each
-level; a container's points are discounted by its link density. The best container
-and the siblings that read like it are kept.
+level; a container's points are discounted by its link density. An <article> or <main>
+around the best container is kept with the siblings that read like it. Without one, the
+text of all that stands beside the best container is kept, level by level, up to where
+links prevail.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from .common import pieces, table
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed".split())
-GONE = frozenset("head script style noscript template iframe object svg math canvas audio video form button select option textarea input nav footer aside menu dialog title link meta".split())
+GONE = frozenset("head script style noscript template iframe object svg canvas audio video form button select option textarea input nav footer aside menu dialog title link meta annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What an open element's start tag ends: a paragraph any block, others their own kind within a list or table.
@@ -174,8 +176,17 @@ def _menu(node: Node) -> bool:
     return node.name in ("ul", "ol", "div", "section", "table", "dl", "p") and node.chars > 0 and node.linked > 0.8 * node.chars and sum(1 for c in node.children if not isinstance(c, str)) > 1
 
 
-def _blocks(node: Node, out: list[list[str]]) -> None:
-    """Texts of the blocks below node in page order; an iterative walk, as trees may be deep."""
+def _prose(node: Node) -> bool:
+    if node.name not in BLOCK or node.name in HEADING or not node.chars or _density(node) >= 0.5:
+        return False
+    return node.name in ("p", "li", "td", "dd", "pre", "blockquote") or any(isinstance(c, str) and c.strip() for c in node.children)
+
+
+def _blocks(node: Node, out: list[list[str]], skip: frozenset[int] | set[int] = frozenset(), lists: bool = True) -> None:
+    """Texts of the blocks below node in page order, without the nodes to skip; an iterative walk, as trees may be deep.
+
+    Unless `lists`, lists of links go that come before all prose, as menus do.
+    """
     stack: list = [node]
     while stack:
         item = stack.pop()
@@ -183,9 +194,10 @@ def _blocks(node: Node, out: list[list[str]]) -> None:
             out.append([])
         elif isinstance(item, str):
             out[-1].append(item)
-        elif item is not node and _menu(item):
+        elif id(item) in skip or (not lists and item is not node and _menu(item)):
             out.append([])
         else:
+            lists = lists or _prose(item)
             block = item.name in BLOCK
             if block:
                 out.append([])
@@ -193,6 +205,21 @@ def _blocks(node: Node, out: list[list[str]]) -> None:
             stack.extend(reversed(item.children))
 
 
+def _around(best: Node) -> tuple[Node, set[int]]:
+    """The highest ancestor up to which text rather than links stands beside best, and the nodes below it that are mostly links."""
+    top, skip, node = best, set(), best
+    while (parent := node.parent) is not None:
+        others = [c for c in parent.children if not isinstance(c, str) and c is not node and c.chars]
+        chars = sum(c.chars for c in others) + sum(len(c.strip()) for c in parent.children if isinstance(c, str))
+        if top is not best and 2 * sum(c.linked for c in others) > chars:
+            break
+        if chars:
+            top = parent
+            skip.update(id(c) for c in others if c.name not in HEADING and (_density(c) >= 0.5 or _menu(c)))
+        node = parent
+    return top, skip
+
+
 def main_text(html: str | None) -> str:
     """The main text: blocks in page order joined by newlines, white space in a block single; empty if none."""
     if not html:
@@ -206,24 +233,21 @@ def main_text(html: str | None) -> str:
     up = best
     while up is not None and up.name not in ("article", "main"):
         up = up.parent
-    if up is not None:
+    out: list[list[str]] = [[]]
+    if up is None:
+        top, skip = _around(best)
+        _blocks(top, out, skip, lists=False)
+    else:
         best = up  # the page itself says how far its article reaches
-    kept = [best]
-    if best.parent is not None:
         limit = max(2.0, 0.2 * best.score)
         for c in best.parent.children:
-            if isinstance(c, str) or c is best or _menu(c):
+            if isinstance(c, str) or (c is not best and _menu(c)):
                 continue
             reads = c.score * (1 - _density(c)) >= limit
             paragraph = c.name == "p" and _density(c) < 0.25 and (c.chars > 80 or (c.chars > 0 and _density(c) == 0))
-            if reads or paragraph or (c.name in HEADING and best.name not in ("article", "main")):
-                kept.append(c)
-    chosen = {id(n) for n in kept}
-    parts = [n for n in (best.parent.children if best.parent is not None else [best]) if id(n) in chosen]
-    out: list[list[str]] = [[]]
-    for n in parts:
-        out.append([])
-        _blocks(n, out)
+            if c is best or reads or paragraph:
+                out.append([])
+                _blocks(c, out)
     lines = (WHITE.sub(" ", "".join(b)).strip() for b in out)
     return "\n".join(x for x in lines if x)
 
