@@ -64,6 +64,30 @@ def test_mix_output_is_gapless(spark):
         assert sum(p.words for p in r.pieces) <= 16
 
 
+def test_mix_output_holds_the_words(spark):
+    rng = random.Random(5)
+    rows = [(i, s, " ".join(f"{i}.{k}" for k in range(n))) for i, (s, n) in enumerate([(rng.choice(("a", "b", None)), rng.choice((0, 1, 7, 16, 200))) for _ in range(80)])]
+    rows += [(None, "a", "x  y\tz"), (99, "a", "one two"), (99, "a", "one two"), (99, "a", "three four"), (98, None, None)]
+    mix = mixing.Mix(spark.createDataFrame(rows, SCHEMA), block=16)
+    texts = collections.defaultdict(list)
+    for d, _, t in rows:
+        texts[d].append((t or "").split())
+    took, blocks = collections.Counter(), {}
+    for r in mix.blocks.collect():
+        at = r.block * 16
+        for p in r.pieces:
+            words = p.text.split(" ")
+            assert p.words == len(words) and max(p.start, r.block * 16) == at
+            k = at - p.start
+            assert any(words == t[k : k + len(words)] and len(t) == p.size for t in texts[p.doc_id])
+            took[(p.doc_id, p.text)] += len(words)
+            at += len(words)
+        assert blocks.setdefault((r.source_id, r.block), r.pieces) == r.pieces
+    assert took[(99, "three four")] + took[(99, "one two")] > 0
+    assert sum(took.values()) == sum(r.taken for r in mix.taken.collect())
+    assert sorted(map(str, mix.taken.collect())) == sorted(map(str, mix.counted.collect()))
+
+
 def test_mix_edges(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert mixing.Mix(empty).taken.collect() == []

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, table
+from .common import SPACE, cut, table, words_of
 
 #: Hash buckets of each source in which running sums of sizes are taken.
 BUCKETS = 1024
@@ -69,6 +69,8 @@ class Mix:
     sources: source, source_size, source_id, weight, target, blocks, slots, first_slot.
     pieces: doc_id, source_id, size, start, block, words: the words of each document's row in each block.
     slots: source_id, block, epoch, and shard and slot, the place in the output.
+    blocks: the output, a row for each slot with its pieces of text.
+    taken and counted: how many words of each row the output holds, counted in its texts or from slots and pieces alone.
 
     docs needs doc_id, source and text; other columns are ignored. A size is the number
     of white-space separated words, 0 for null or empty text; such documents are in no
@@ -83,6 +85,7 @@ class Mix:
     """
 
     def __init__(self, docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, block: int = 64, shard_slots: int = 65_536, seed: int = 11):
+        self.docs = docs
         self.block, self.shard_slots, self.seed, self.cap = block, shard_slots, seed, cap
         size = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), SPACE), lambda w: w != "")).cast("long")
         rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"))
@@ -102,7 +105,8 @@ class Mix:
         return F.broadcast(part) if self.small else part
 
     @property
-    def pieces(self) -> DataFrame:
+    def placed(self) -> DataFrame:
+        """self.rows that have words, with at, the place of the first of their copies in the source."""
         ids = self.by_source(["source", "source_id"]).withColumnRenamed("source", "_source")
         rows = self.rows.join(ids, F.col("source").eqNullSafe(F.col("_source"))).where("size > 0").drop("source", "_source")
         rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(BUCKETS)))
@@ -110,14 +114,45 @@ class Mix:
         upto = Window.partitionBy("source_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         offsets = sums.select("source_id", "bucket", F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("offset"))
         inside = Window.partitionBy("source_id", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-        placed = rows.join(offsets, ["source_id", "bucket"]).withColumn("at", F.col("offset") + F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0)))
-        each = placed.select("doc_id", "source_id", "size", "at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("nth"))
-        each = each.select("doc_id", "source_id", "size", (F.col("at") + F.col("nth") * F.col("size")).alias("start"))
+        return rows.join(offsets, ["source_id", "bucket"]).withColumn("at", F.col("offset") + F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0)))
+
+    @property
+    def each(self) -> DataFrame:
+        """doc_id, source_id, size and start of each document's row that has words."""
+        each = self.placed.select("doc_id", "source_id", "size", "at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("nth"))
+        return each.select("doc_id", "source_id", "size", (F.col("at") + F.col("nth") * F.col("size")).alias("start"))
+
+    @property
+    def pieces(self) -> DataFrame:
         first, last = F.expr(f"start div {self.block}"), F.expr(f"(start + size - 1) div {self.block}")
-        spread = each.withColumn("block", F.explode(F.sequence(first, last)))
+        spread = self.each.withColumn("block", F.explode(F.sequence(first, last)))
         words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * self.block) - F.greatest("start", F.col("block") * self.block)
         return spread.withColumn("words", words)
 
+    @property
+    def texts(self) -> DataFrame:
+        """The pieces with their text, the piece's words joined by single spaces."""
+        ids = self.by_source(["source", "source_id"]).withColumnRenamed("source", "_source")
+        docs = self.docs.select("doc_id", F.col("source").cast("string").alias("source"), "text", F.size(words_of(F.col("text"))).cast("long").alias("size"))
+        docs = docs.join(ids, F.col("source").eqNullSafe(F.col("_source")))
+        # In a struct nulls are equal; of one type on both sides, so that window and join share one exchange of the texts.
+        key = F.struct("doc_id", F.coalesce("size", F.lit(0).cast("long")).alias("size")).alias("_k")
+        docs = docs.select("source_id", key, "text")
+        docs = docs.withColumn("nth", F.row_number().over(Window.partitionBy("source_id", "_k").orderBy("text")) - 1)
+        places = self.placed.select("source_id", key, "at")
+        rows = docs.join(places.hint("merge"), ["source_id", "_k"])
+        rows = rows.select("source_id", F.col("_k.doc_id").alias("doc_id"), F.col("_k.size").alias("size"), (F.col("at") + F.col("nth") * F.col("_k.size")).alias("start"), "text")
+
+        def piece(words: Column, b: Column) -> Column:
+            low, high = F.greatest(F.col("start"), b * self.block), F.least(F.col("start") + F.col("size"), (b + 1) * self.block)
+            text = F.array_join(F.slice(words, (low - F.col("start") + 1).cast("int"), (high - low).cast("int")), " ")
+            return F.struct(b.alias("block"), (high - low).alias("words"), text.alias("text"))
+
+        numbers = F.sequence(F.expr(f"start div {self.block}"), F.expr(f"(start + size - 1) div {self.block}"))
+        # The words are a variable of the outer function, so that a text is split once and not for each piece.
+        parts = F.transform(F.array(words_of(F.col("text"))), lambda words: F.transform(numbers, lambda b: piece(words, b)))[0]
+        return rows.select("doc_id", "source_id", "size", "start", F.inline(parts))
+
     @property
     def slots(self) -> DataFrame:
         held = self.sources.where("slots > 0")
@@ -139,30 +174,42 @@ class Mix:
 
     @property
     def blocks(self) -> DataFrame:
-        """The output: shard, slot, source_id, block and the pieces of documents in it, in order."""
-        content = self.pieces.groupBy("source_id", "block").agg(F.sort_array(F.collect_list(F.struct("start", "doc_id", "size", "words"))).alias("pieces"))
+        """The output: shard, slot, source_id, block and the pieces of documents in it with their text, in order."""
+        content = self.texts.groupBy("source_id", "block").agg(F.sort_array(F.collect_list(F.struct("start", "doc_id", "size", "words", "text"))).alias("pieces"))
         return self.slots.join(content.hint("merge"), ["source_id", "block"])
 
     @property
     def taken(self) -> DataFrame:
-        """doc_id, source, size, source_size, target and taken of every row of the documents."""
+        """doc_id, source, size, source_size, target and taken of every row of the documents, counted in the texts of the output."""
+        text = F.col("p.text")
+        words = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
+        held = self.blocks.select("source_id", F.explode("pieces").alias("p")).groupBy("source_id", F.col("p.start").alias("start")).agg(F.sum(words).alias("words"))
+        took = self.each.join(held.hint("merge"), ["source_id", "start"], "left")
+        return self._described(took.select("doc_id", "source_id", "size", F.coalesce("words", F.lit(0)).cast("long").alias("taken")))
+
+    @property
+    def counted(self) -> DataFrame:
+        """taken without the output: slots counted by block, and the pieces' words."""
         times = self.slots.groupBy("source_id", "block").agg(F.count("*").alias("times"))
         # The planner takes the slots for as few as the sources they come from, so the hint keeps them from being broadcast.
         took = self.pieces.join(times.hint("merge"), ["source_id", "block"], "left").groupBy("doc_id", "source_id", "size", "start")
         took = took.agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken")).drop("start")
+        return self._described(took)
+
+    def _described(self, took: DataFrame) -> DataFrame:
         empty = self.rows.where("size = 0").join(self.by_source(["source", "source_id"]).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
         empty = empty.select("doc_id", "source_id", "size", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("taken")).withColumn("taken", F.lit(0).cast("long"))
         return took.unionByName(empty).join(self.by_source(["source_id", "source", "source_size", "target"]), "source_id").drop("source_id")
 
 
 def mix_documents(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """Documents repeated as the mix takes their words: taken / size times on average, 0 to cap.
+    """Whole documents, not packed, repeated as the mix takes their words: taken / size times on average, 0 to cap.
 
     The part of a pass that remains is rounded by a hash of the doc_id. Documents
     without words come once. Equal doc_ids with one size share what they take evenly.
     """
     mix = Mix(docs, seed=seed)
-    rate = mix.taken.where("size > 0").groupBy("doc_id", "source", "size").agg(F.avg(F.col("taken") / F.col("size")).alias("_rate"))
+    rate = mix.counted.where("size > 0").groupBy("doc_id", "source", "size").agg(F.avg(F.col("taken") / F.col("size")).alias("_rate"))
     rate = rate.select(F.col("doc_id").alias("_doc"), F.col("source").alias("_from"), F.col("size").alias("_size"), "_rate")
     size = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), SPACE), lambda w: w != "")).cast("long")
     on = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_from")) & (F.col("_words") == F.col("_size"))
