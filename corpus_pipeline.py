@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm import decontaminate, mixing, ngram_join, quality_rules, sharding
-from tidewell.llm.common import cut, table
+from tidewell.llm.common import cut, mark, release, table
 
 SHARDS = 40
 
@@ -46,7 +46,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in their order over documents, each but the last written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), mark()
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
+        release(spark, since, keep=1)  # what the stage wrote for itself, and its input
     return STAGES[-1][1](spark, docs, sf_dir)
