@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import brute
 import numpy as np
@@ -86,6 +87,73 @@ def test_all_of_the_article_is_kept(html, kept, gone):
     assert not any(x in text for x in gone), lines
 
 
+@pytest.mark.parametrize("wrapper", ['class="content has-sidebar"', 'class="post comments-open"', 'class="no-ads"', 'class="sidebar-layout"', 'id="widget"', 'class="nav"'])
+def test_a_wrapper_is_no_noise(wrapper):
+    text = html_extract.main_text(f"<html><body><nav><a href=x>Home</a></nav><div {wrapper}><h1>Title</h1>{BODY * 3}</div></body></html>")
+    assert text.startswith("Title\nLong") and text.count("\n") == 3
+
+
+SMALL = "<article><h1>Title</h1><p>The only paragraph, of the article.</p><p class='alert'>Take care.</p></article>"
+THREAD = "".join(f"<div class=entry><b>Name {i}</b> <span>12:3{i}</span><p>{'I say, this is, all in all, good. ' * 9}</p></div>" for i in range(4))
+
+
+@pytest.mark.parametrize(
+    ("html", "lines"),
+    [
+        (f"{SMALL}<section id='reader-opinions'>{BODY * 5}</section>", ["Title", "The only paragraph, of the article.", "Take care."]),
+        (f"<div>{SMALL}<div class='post-comments'>{BODY * 5}</div></div>", ["Title", "The only paragraph, of the article.", "Take care."]),
+        (f"<div><h1>Title</h1><p>One paragraph, and no more than that.</p></div><div>{THREAD}</div>", ["Title", "One paragraph, and no more than that."]),
+        (f"<form><h1>Title</h1>{BODY}</form>", None),
+        (f"<article><h1>Title</h1>{BODY}<form><p>Sign up, for our mails, now.</p></form><div class='share-buttons'><p>Tell others</p></div></article>", None),
+    ],
+)
+def test_comments_and_forms_go(html, lines):
+    found = html_extract.main_text(f"<html><body>{html}</body></html>").split("\n")
+    assert found == (lines or ["Title", re.sub("<[^>]*>", "", BODY).strip()])
+
+
+def test_scores_equal_plain_recursion():
+    """Random trees: each paragraph's points reach its ancestors, half at each level."""
+    rng = random.Random(8)
+
+    def grown(depth):
+        if depth == 0 or rng.random() < 0.4:
+            text, link = "word, " * rng.randrange(1, 60), "link " * rng.choice((0, 0, 1, 9))
+            return ("p", text.strip(), link.strip())
+        return ("div", [grown(depth - 1) for _ in range(rng.randrange(1, 4))])
+
+    def html(t):
+        return f"<p>{t[1]}<a>{t[2]}</a></p>" if t[0] == "p" else "<div>" + "".join(map(html, t[1])) + "</div>"
+
+    def points(t, level=0):
+        if t[0] == "div":
+            return sum(points(x, level + 1) for x in t[1])
+        own = len(t[1]) + len(t[2])
+        return (1 + t[1].count(",") + min(own / 100, 3)) * (1 - len(t[2]) / own) / 2 ** (level - 1) if level else 0.0
+
+    def divs(t):
+        return [t] + [d for x in t[1] for d in divs(x)] if t[0] == "div" else []
+
+    for _ in range(60):
+        tree = ("div", [grown(4) for _ in range(3)])
+        order = html_extract._order(html_extract.parse(html(tree)))
+        html_extract._measure(order)
+        assert sorted(n.score for n in order if n.name == "div") == pytest.approx(sorted(points(d) for d in divs(tree)))
+
+
+HOSTILE = {
+    "deep": "<div>" * 100_000 + "x", "spans": "<span>" * 20_000 + "<p>a</p>" * 20_000, "items": "<div>" * 20_000 + "<li>a" * 20_000, "cdata": "<![CDATA[ " * 100_000, "quote": '<a "' * 250_000,
+    "value": '<a b="' * 150_001, "ends": "<div>" * 50_000 + "</x>" * 50_000, "number": "&#" + "9" * 1_000_000 + ";", "less": "<" * 1_000_000, "tag": "<a" * 500_000, "comment": "<!--" * 200_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_take_linear_time(name):
+    started = time.process_time()
+    assert isinstance(html_extract.main_text(HOSTILE[name]), str)
+    assert time.process_time() - started < 6
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<", "<p", "<div><div><p>a", "</p></div>", "<script>x", "&#0;&bogus;&amp", "<p>" * 3000, "a" * 100_000, "<a b='>'>x</a>"])
 def test_broken_pages(html):
     assert isinstance(html_extract.main_text(html), str)
