@@ -109,6 +109,18 @@ def test_removal_edges(spark):
     assert out == [(-1, 0), (4, 0), (4, 0), (6, 60)]
 
 
+def test_texts_under_one_doc_id_lose_their_own_words(spark):
+    """Two texts of one doc_id share passages with a smaller document at different places, and copies come in a large group."""
+    rng = random.Random(11)
+    one, two, fill = (words(rng, n, 10**6) for n in (60, 70, 200))
+    docs = [(1, " ".join(one + ["x"] + two)), (5, " ".join(fill + one)), (5, " ".join(two)), (5, " ".join(words(rng, 90, 10**6)))]
+    docs += [(100 + i, docs[1][1]) for i in range(300)] + [(99, " ".join(words(rng, 3, 10**6) * 20_000))]
+    out = substring_dedup.remove_repeats(spark.createDataFrame(docs, SCHEMA)).collect()
+    want = {(5, 260): 60, (5, 70): 70, (5, 90): 0, (1, 131): 0, (99, 60_000): 0}
+    assert {(r.doc_id, r.n_words): r.n_removed for r in out if r.doc_id < 100} == want
+    assert all(r.n_removed == 260 for r in out if r.doc_id >= 100) and len(out) == len(docs)
+
+
 def test_every_shift_shares_an_anchor(spark):
     """A passage of exactly the window's length is found wherever it starts in both documents."""
     rng = random.Random(5)

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Rolling, WordHashes, cut, encoded, may_be_in, pieces, table
@@ -26,8 +26,8 @@ assert {(a - b) % PERIOD for a in COVER for b in COVER} == set(range(PERIOD))
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def _text_hash(words: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
+def _text_hash(words: list[bytes], seed: int = 0) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(words), seed) - (1 << 63)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -35,22 +35,23 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _anchors(window: int):
-    """A row for each document: t, which stands for its word sequence, its length and its anchors in order."""
+    """A row for each document: t and u, 128 bits that stand for its word sequence, its length and its anchors in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, rolling = WordHashes(), Rolling(window - PERIOD + 1, BASES[0])
         cover = np.isin(np.arange(PERIOD), COVER)
         for piece in pieces(batches):
-            texts, sizes, parts = [], [], []
+            texts, others, sizes, parts = [], [], [], []
             for body in piece.column("body").to_pylist():
                 words = body.split()
                 found = rolling(hashes(words)) if len(words) >= window else np.empty(0, np.uint64)
                 texts.append(_text_hash(words))
+                others.append(_text_hash(words, 1))
                 sizes.append(len(words))
                 parts.append(found[np.flatnonzero(cover[np.arange(len(found)) % PERIOD])])
             ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
             anchors = pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(np.concatenate(parts))))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(texts, pa.int64()), pa.array(sizes, pa.int64()), anchors], ["doc_id", "t", "n_words", "anchors"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(x, pa.int64()) for x in (texts, others, sizes)), anchors], ["doc_id", "t", "u", "n_words", "anchors"])
 
     return run
 
@@ -61,7 +62,7 @@ def _with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(window: int):
-    """128-bit hashes of the windows that hold an anchor at one of a document's positions."""
+    """128-bit hashes of the windows that hold an anchor at one of a text's positions; place is the text's number under its doc_id and the position, in 32 bits each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(), WordHashes(1)
@@ -69,7 +70,7 @@ def _windows(window: int):
         reach = PERIOD - 1
         for piece in pieces(batches):
             parts = []
-            for doc_id, body, spots in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "body", "spots")), strict=True):
+            for doc_id, nth, body, spots in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "nth", "body", "spots")), strict=True):
                 words = body.split()
                 n = len(words) - window + 1
                 if n <= 0:
@@ -81,10 +82,10 @@ def _windows(window: int):
                 np.add.at(edge, np.minimum(spots + 1, n), -1)
                 at = np.flatnonzero(np.cumsum(edge[:n]) > 0)
                 one, two = (_signed(r(h(words))[at]) for r, h in zip(rolling, hashes, strict=True))
-                parts.append((one, two, np.full(len(at), doc_id), at))
+                parts.append((one, two, np.full(len(at), doc_id), (nth << 32) + at))
             if parts:
                 a, b, d, p = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d), pa.array(p.astype(np.int32))], ["w1", "w2", "doc_id", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d), pa.array(p.astype(np.int64))], ["w1", "w2", "doc_id", "place"])
 
     return run
 
@@ -125,29 +126,32 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     a null doc_id neither lose words nor take them from others. Rows that share one
     doc_id do not take words from each other. An empty table gives an empty result.
 
-    Texts whose whole word sequence equals that of a smaller document are found by a
-    64-bit hash of the sequence, windows by 128 bits. Groups of copies meet in partial
-    aggregations only; a joined hot key is split by adaptive execution.
+    Word sequences and windows are known by 128-bit hashes. Groups of copies meet in
+    partial aggregations only. Owners of anchors, texts and windows are tables of their
+    own: adaptive execution splits a hot key only in a join of two plain shuffles.
     """
     docs = docs.select("doc_id", "text")
     known = encoded(docs.where("doc_id is not null"), F.col("doc_id").cast("long").alias("doc_id"))
-    hashed = cut(known.mapInArrow(_anchors(window), "doc_id long, t long, n_words long, anchors array<long>").where(F.col("n_words") >= window))
-    thin = hashed.select("doc_id", "t").distinct()
-    first = thin.groupBy("t").agg(F.min("doc_id").alias("first"))
-    anchors = hashed.select("doc_id", "t", F.posexplode("anchors").alias("k", "anchor"))
-    shared = anchors.groupBy("anchor").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a < b").select("anchor")
-    spots = anchors.join(shared, "anchor").groupBy("doc_id", "t").agg(F.collect_set("k").alias("spots"))
-    spots = cut(spots.join(first, "t").where(F.col("doc_id") == F.col("first")).select("doc_id", "t", "spots"))
+    hashed = cut(known.mapInArrow(_anchors(window), "doc_id long, t long, u long, n_words long, anchors array<long>").where(F.col("n_words") >= window))
+    thin = hashed.select("doc_id", "t", "u").distinct()
+    first = cut(thin.groupBy("t", "u").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
+    anchors = hashed.select("doc_id", "t", "u", F.posexplode("anchors").alias("k", "anchor"))
+    own = F.xxhash64("t", "u", "anchor")
+    shared = cut(anchors.groupBy("anchor").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a < b").select("anchor"))
+    spots = anchors.select("doc_id", "t", "k", "anchor").join(shared, "anchor").groupBy("doc_id", "t").agg(F.collect_set("k").alias("spots"))
+    firsts = first.select(F.col("first").alias("doc_id"), "t").distinct()
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("t")).cast("long") - 1
+    spots = cut(spots.join(firsts, ["doc_id", "t"], "left_semi").withColumn("nth", nth))
 
     near = may_be_in(known, F.col("doc_id"), spots, F.col("doc_id")).where("maybe").drop("maybe")
     near = near.mapInArrow(_with_hash, "doc_id long, body binary, t long").join(spots, ["doc_id", "t"])
-    windows = cut(near.select("doc_id", "body", "spots").mapInArrow(_windows(window), "w1 long, w2 long, doc_id long, pos int"))
-    # A table of its own: adaptive execution splits a hot window only in a join of two plain shuffles.
+    windows = cut(near.select("doc_id", "nth", "body", "spots").mapInArrow(_windows(window), "w1 long, w2 long, doc_id long, place long"))
     owners = cut(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("w1", "w2", "owner"))
-    starts = windows.join(owners, ["w1", "w2"]).where("owner < doc_id").groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
+    starts = windows.join(owners, ["w1", "w2"]).where("owner < doc_id").groupBy("doc_id", F.shiftright("place", 32).alias("nth"))
+    starts = starts.agg(F.collect_set(F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("starts"))
 
-    own = spots.select("doc_id", "t").join(starts, "doc_id").withColumn("copy", F.lit(False))
-    copies = thin.join(first, "t").where("first < doc_id").select("doc_id", "t", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy"))
+    own = spots.select("doc_id", "t", "nth").join(starts, ["doc_id", "nth"]).select("doc_id", "t", "starts", F.lit(False).alias("copy"))
+    copies = thin.join(first.where("first < last"), ["t", "u"]).where("first < doc_id").select("doc_id", "t", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy"))
     losses = cut(own.unionByName(copies))
 
     marked = may_be_in(encoded(docs, F.col("doc_id").cast("long").alias("doc_id")), F.col("doc_id"), losses, F.col("doc_id"))
