@@ -4,6 +4,7 @@ import random
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.llm import decontaminate, ngram_join, substring_dedup
 
@@ -45,7 +46,7 @@ def test_join_equals_brute_force(spark, seed, shingle, percent):
 
 
 def test_join_with_frequent_tokens(spark):
-    """Tokens in more rows than RARE_ROWS are indexed in pairs; no link is lost by it."""
+    """Tokens in more sets than the rare ones are indexed in combinations; no link is lost by it."""
     rng = random.Random(9)
     common = words(rng, 120, 10**6)
     docs = []
@@ -58,6 +59,51 @@ def test_join_with_frequent_tokens(spark):
     assert {(r.doc_id, r.n, r.component_id) for r in members.collect()} == set(brute.similar(docs, 4, 85))
 
 
+@pytest.mark.parametrize(("rows", "percent"), [((1, 3), 85), ((2, 6), 80), ((0, 0), 85), ((1, 1), 70)])
+def test_join_with_many_classes_of_tokens(spark, monkeypatch, rows, percent):
+    """Small bounds of the classes bring pairs and triples, and all levels, into play; headers are hot."""
+    monkeypatch.setattr(ngram_join, "CLASS_ROWS", rows)
+    rng = random.Random(percent + rows[0])
+    head, docs = words(rng, 30, 10**6), []
+    for _ in range(9):
+        base = words(rng, rng.choice((5, 8, 14, 40, 160)), 10**6)
+        base = head[: rng.choice((0, len(base), 3 * len(base)))] + base
+        for _ in range(rng.randrange(1, 9)):
+            copy = list(base)
+            for _ in range(rng.randrange(4)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(9)}"
+            docs.append(" ".join(copy))
+    rng.shuffle(docs)
+    docs = list(enumerate(docs))
+    members, _ = ngram_join.similar_classes(spark.createDataFrame(docs, SCHEMA), 3, percent)
+    assert {(r.doc_id, r.n, r.component_id) for r in members.collect()} == set(brute.similar(docs, 3, percent))
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_candidates_of_a_shared_half_are_linear(spark, percent):
+    """Documents that share half of their words but do not link give no bucket that grows with their number."""
+    rng = random.Random(6)
+    half = words(rng, 60, 10**9)
+    docs = spark.createDataFrame([(i, " ".join(half + words(rng, 60, 10**9))) for i in range(600)], SCHEMA).cache()
+    pairs = []
+    for n in (150, 600):
+        part = docs.where(f"doc_id < {n}")
+        sets = part.select("doc_id", F.encode("text", "utf-8").alias("body")).mapInArrow(ngram_join._sets(4), "doc_id long, sid long, sid2 long, n long, tokens array<long>, bits array<long>")
+        signatures = ngram_join._signatures(sets.withColumnRenamed("doc_id", "node"), part, 4, percent)
+        sizes = [r["count"] for r in signatures.groupBy("signature").count().collect()]
+        pairs.append(sum(x * (x - 1) // 2 for x in sizes))
+    assert pairs[1] <= 4.5 * pairs[0] + 100, pairs
+
+
+def test_join_of_long_texts(spark):
+    rng = random.Random(7)
+    base = words(rng, 60_000, 10**5)
+    other = base[:50_000] + words(rng, 10_000, 10**5)
+    docs = [(1, " ".join(base)), (2, " ".join(base[:59_000])), (3, " ".join(other)), (4, "a" * 300_000)]
+    members, _ = ngram_join.similar_classes(spark.createDataFrame(docs, SCHEMA), 4, 85)
+    assert {(r.doc_id, r.n, r.component_id) for r in members.collect()} == set(brute.similar(docs, 4, 85))
+
+
 def test_join_edges(spark):
     assert ngram_join.similar_classes(spark.createDataFrame([], SCHEMA))[0].collect() == []
     text = " ".join(f"a{i}" for i in range(30))

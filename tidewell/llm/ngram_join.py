@@ -1,18 +1,21 @@
 """Exact n-gram Jaccard join with token-combination prefixes, and its link components.
 
 A document is its set of distinct word shingles, each a 64-bit token. Tokens have one
-global order: first a fixed low part of the hash space, in it tokens of one text,
-then rare and then frequent ones; last the rest of the hash space. Two sets that are
-similar enough share, within prefixes of this order, a rare token, or two frequent
-tokens of one group: frequent tokens are indexed as pairs within small groups only,
-and each group lengthens the prefix by one. Buckets of equal signatures give candidates,
-which are verified on the texts.
+global order: level by level of the hash space those of one text only, then rare ones;
+frequent tokens of all levels come last. Two sets that are similar enough share, within
+prefixes of this order, a rare token, or k frequent tokens of one small group: k grows
+with the frequency class, and each group lengthens the prefix by k - 1. A level is counted
+only for the sets that the levels before it leave with a prefix too short, so most sets
+have a quarter of their tokens counted, and those full of common passages all of them.
+Buckets of equal signatures give candidates, which are verified on the texts.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +23,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, WordHashes, cut, encoded, may_be_in, mixed, pieces, table
+from .common import Rolling, WordHashes, cut, encoded, mark, may_be_in, mixed, pieces, release, table
 
 LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
-#: Share of the hash space whose tokens are counted and ordered by frequency.
-COUNTED = 0.22
-#: A token in more rows than this is frequent: indexed in pairs only.
-RARE_ROWS = 16
-#: Groups of frequent tokens for each token of a set; prefixes grow by as many tokens.
+#: Ends of the levels, as shares of the hash space.
+LEVELS = (0.25, 0.5, 1.0)
+#: Most sets that hold a token of each class: rare ones are indexed singly, those above in pairs, beyond that in triples.
+CLASS_ROWS = (16, 1024)
+#: Groups of frequent tokens of a class for each token of a set; prefixes grow by k - 1 tokens for each.
 GROUPS = 0.05
+#: Bands whose sets are smaller than this index frequent tokens singly.
+LEAST_COMBINED = 12
 #: 64-bit words of the parity bitmap that bounds the difference of two sets.
 BITMAP = 16
 
@@ -46,23 +51,37 @@ def _kernel(shingle: int):
     return WordHashes(), Rolling(shingle, 0x9E3779B97F4A7C15)
 
 
-def _needed(n: int, percent: int) -> int:
-    """Tokens of a set of n that can't all be missing from a similar set."""
-    return n - (percent * n + 99) // 100 + 1
-
-
 def _band(n: int, percent: int) -> int:
     """Similar sets lie in the same or the next band of sizes."""
     return int(math.log(n) / math.log(100 / (percent - 0.1)))
 
 
-def _groups(band: int, percent: int) -> int:
-    return max(1, round(GROUPS * (100 / (percent - 0.1)) ** band))
+def _band_size(band: int, percent: int) -> float:
+    return (100 / (percent - 0.1)) ** band
+
+
+def _ends(level: int) -> tuple[int, int]:
+    """First token of a level, and of the one after it."""
+    low, high = (0, *LEVELS)[level], LEVELS[level]
+    return int(low * 2**64), min(int(high * 2**64), 2**64 - 1)
+
+
+def _level(tokens: np.ndarray, level: int) -> np.ndarray:
+    low, high = _ends(level)
+    stop = len(tokens) if level + 1 == len(LEVELS) else int(np.searchsorted(tokens, np.uint64(high)))
+    return tokens[int(np.searchsorted(tokens, np.uint64(low))) : stop]
 
 
-def _sets(shingle: int, percent: int):
-    """A row for each document: its set's identity, size, bitmap and the tokens a prefix may need."""
-    limit = np.uint64(int(COUNTED * 2**64))
+def _identity(tokens: np.ndarray, seed: int) -> int:
+    return xxhash.xxh3_64_intdigest(tokens.tobytes(), seed) - (1 << 63)
+
+
+def _arrays(parts: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate(parts).view(np.int64)))
+
+
+def _sets(shingle: int):
+    """A row for each document: its set's identity, size, bitmap and its tokens of the first level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, rolling = _kernel(shingle)
@@ -70,54 +89,46 @@ def _sets(shingle: int, percent: int):
             rows, parts, bitmaps = [], [], []
             for body in piece.column("body").to_pylist():
                 found = _tokens(body.translate(LOWER).split(), shingle, hashes, rolling)
-                n, counted = len(found), int(np.searchsorted(found, limit))
-                if n > 1:
-                    groups = max(_groups(_band(n, percent) + k, percent) for k in (0, 1))
-                    taken = found[: max(counted, _needed(n, percent) + groups)]
-                else:
-                    taken = found[:0]  # a set of one token is similar to its copies only
-                whole = found.tobytes()
-                rows.append((xxhash.xxh3_64_intdigest(whole) - (1 << 63), xxhash.xxh3_64_intdigest(whole, 1) - (1 << 63), n, min(counted, len(taken))))
-                parts.append(taken)
+                rows.append((_identity(found, 0), _identity(found, 1), len(found)))
+                parts.append(_level(found, 0))
                 spots = np.bincount((mixed(found) % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
                 bitmaps.append(np.packbits(spots.astype(np.uint8)).view(np.int64))
-            s1, s2, n, counted = zip(*rows, strict=True)
-            ends = pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32))
-            tokens = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts).view(np.int64)))
             bits = pa.ListArray.from_arrays(pa.array((np.arange(len(rows) + 1) * BITMAP).astype(np.int32)), pa.array(np.concatenate(bitmaps)))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(x, pa.int64()) for x in (s1, s2, n, counted)), tokens, bits], ["doc_id", "sid", "sid2", "n", "counted", "tokens", "bits"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(x, pa.int64()) for x in zip(*rows, strict=True)), _arrays(parts), bits], ["doc_id", "sid", "sid2", "n", "tokens", "bits"])
 
     return run
 
 
-def _signatures(percent: int):
-    """Signatures of each set from its shared tokens: rare ones alone, frequent ones in pairs of a group."""
+def _later_tokens(shingle: int, level: int):
+    """doc_id, identity and the tokens of a later level of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, rolling = _kernel(shingle)
+        for piece in pieces(batches):
+            found = [_tokens(body.translate(LOWER).split(), shingle, hashes, rolling) for body in piece.column("body").to_pylist()]
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([_identity(x, 0) for x in found], pa.int64()), _arrays([_level(x, level) for x in found])], ["doc_id", "sid", "tokens"])
+
+    return run
+
+
+def _combinations(percent: int):
+    """Signatures of the sets that frequent tokens are left to tell apart: k of one group together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, owners, sizes = [], [], []
-            for node, n, counted, shared in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "counted", "shared")), strict=True):
-                need = _needed(n, percent)
-                ordered = sorted((x["k"], x["token"], x["frequent"]) for x in shared)
-                low = [x for x in ordered if x[0] < counted]
-                left = need - (counted - len(low))  # tokens of no other text come first
-                rare = [t for _, t, f in low if not f][: max(0, left)]
-                signatures = set(rare)
-                left -= len(rare)
-                if left > 0:
-                    frequent = [t for _, t, f in low if f]
-                    late = left
-                    for band in (_band(n, percent), _band(n, percent) + 1):
-                        units, groups = 0, {}
-                        for t in frequent:
-                            if units >= left:
-                                break
-                            group = groups.setdefault(t % _groups(band, percent), [])
-                            units += bool(group)
-                            signatures.update(xxhash.xxh3_64_intdigest(f"{band} {s} {t}") - (1 << 63) for s in group)
-                            group.append(t)
-                        late = max(late if band > _band(n, percent) else 0, left - units)
-                    signatures.update(t for k, t, _ in ordered if counted <= k < counted + late)
+            for node, n, left, frequent in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "left", "frequent")), strict=True):
+                ordered, signatures = sorted((x["class"], x["token"]) for x in frequent), set()
+                for band in (_band(n, percent), _band(n, percent) + 1):
+                    size, units, groups = _band_size(band, percent), 0, {}
+                    for kind, t in ordered:
+                        if units >= left:
+                            break
+                        k = kind + 1 if size >= LEAST_COMBINED else 1
+                        group = groups.setdefault((kind, t % max(1, round(GROUPS * size))), [])
+                        units += len(group) >= k - 1
+                        signatures.update(xxhash.xxh3_64_intdigest(f"{band} {others} {t}") - (1 << 63) for others in combinations(group, k - 1))
+                        group.append(t)
                 out.extend(signatures)
                 owners.extend([node] * len(signatures))
                 sizes.extend([n] * len(signatures))
@@ -126,6 +137,38 @@ def _signatures(percent: int):
     return run
 
 
+def _signatures(classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """signature, node, n of the classes of sets that may be similar to another one.
+
+    Sets so small that none but an equal one is similar have none.
+    """
+    pair = "array<struct<class:int,token:bigint>>"
+    need = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1
+    open_ = classes.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select("sid", "node", "n", need.alias("left"), "tokens", F.array().cast(pair).alias("frequent"))
+    found = []
+    for level in range(len(LEVELS)):
+        if level:
+            near = may_be_in(docs.where("doc_id is not null and text is not null"), F.col("doc_id"), open_, F.col("node")).where("maybe")
+            tokens = encoded(near, "doc_id").mapInArrow(_later_tokens(shingle, level), "doc_id long, sid long, tokens array<long>")
+            tokens = tokens.groupBy(F.col("doc_id").alias("node"), "sid").agg(F.first("tokens").alias("tokens"))
+            open_ = cut(open_.drop("tokens").join(tokens, ["node", "sid"]))
+        each = open_.select("sid", F.explode("tokens").alias("token"))
+        counts = each.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
+        kind = sum((F.col("rows") > most).cast("int") for most in CLASS_ROWS)
+        mine = each.join(counts.select("token", kind.alias("class")), "token").groupBy("sid").agg(F.collect_list(F.struct("class", "token")).alias("shared"))
+        held = open_.join(mine, "sid", "left").withColumn("shared", F.coalesce("shared", F.array().cast(pair)))
+        rare = F.sort_array(F.transform(F.filter("shared", lambda x: x["class"] == 0), lambda x: x["token"]))
+        after = F.greatest(F.col("left") - (F.size("tokens") - F.size("shared")), F.lit(0))
+        held = cut(held.select("sid", "node", "n", after.alias("after"), rare.alias("rare"), F.concat("frequent", F.filter("shared", lambda x: x["class"] > 0)).alias("frequent")))
+        found.append(held.select(F.explode(F.slice("rare", F.lit(1), F.col("after").cast("int"))).alias("signature"), "node", "n"))
+        left = F.col("after") - F.size("rare")
+        open_ = held.where(left > 0).select("sid", "node", "n", left.alias("left"), F.lit(None).cast("array<long>").alias("tokens"), "frequent")
+        if not open_.head(1):
+            break
+    found.append(open_.select("node", "n", "left", "frequent").mapInArrow(_combinations(percent), "signature long, node long, n long"))
+    return functools.reduce(DataFrame.union, found)
+
+
 def _verified(shingle: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, rolling = _kernel(shingle)
@@ -148,6 +191,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large and small stars; every round is a few shuffles and a written
     table, and the number of rounds grows with the logarithm of the longest path.
     """
+    since = mark()
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
         both = edges.union(edges.select("b", "a"))
@@ -160,6 +204,7 @@ def components(edges: DataFrame) -> DataFrame:
         state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if state(after) == state(edges):
             break
+        release(edges.sparkSession, since, keep=1)
         edges = after
     pairs = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     return pairs.union(edges.select("b", "b").distinct()).groupBy("node").agg(F.min("component").alias("component"))
@@ -185,18 +230,15 @@ def similar_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> tup
     parity bitmaps leave similarity possible.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = cut(encoded(docs, "doc_id").mapInArrow(_sets(shingle, percent), "doc_id long, sid long, sid2 long, n long, counted long, tokens array<long>, bits array<long>"))
+    spark = docs.sparkSession
+    sets = cut(encoded(docs, "doc_id").mapInArrow(_sets(shingle), "doc_id long, sid long, sid2 long, n long, tokens array<long>, bits array<long>"))
     known = sets.where("doc_id is not null and n > 0")
-    classes = cut(known.groupBy("sid", "sid2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("counted").alias("counted"), F.first("bits").alias("bits")))
-
-    held = known.select("sid", F.posexplode("tokens").alias("k", "token"))
-    shared = held.groupBy("token").agg(F.min("sid").alias("x"), F.max("sid").alias("y"), F.count("*").alias("rows"))
-    shared = shared.where("x < y").select("token", (F.col("rows") > RARE_ROWS).alias("frequent"))
-    # Past the counted part a token's rows are not all known: there all are single and in hash order.
-    mine = held.join(shared, "token").groupBy("sid").agg(F.collect_set(F.struct("k", "token", "frequent")).alias("shared"))
-    signatures = mine.join(classes, "sid").select("node", "n", "counted", "shared").mapInArrow(_signatures(percent), "signature long, node long, n long")
+    classes = cut(known.groupBy("sid", "sid2").agg(F.min("doc_id").alias("node"), *(F.first(x).alias(x) for x in ("n", "bits", "tokens"))))
+    since = mark()
+    signatures = _signatures(classes, docs, shingle, percent)
     buckets = signatures.groupBy("signature").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
     signatures = cut(signatures.join(buckets.select("signature", "first"), "signature"))
+    release(spark, since, keep=1)
 
     stars = signatures.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = cut(_checked(stars, classes, docs, shingle, percent))
