@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
+from collections import Counter, defaultdict
+
+import xxhash
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -101,3 +105,91 @@ def targets(sizes, weights=(5, 2, 1), cap=3):
         out |= {s: cap * sizes[s] for s in over}
         open_ -= over
     return out
+
+
+def spark_hash(*values):
+    """xxhash64 of long columns as the engine's built-in computes it; nulls are passed over."""
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", v), h)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def permuted(x, n, *keys, rounds=24):
+    for r in range(1, rounds + 1):
+        other = (spark_hash_int(r, n, *keys) % n - x) % n
+        if spark_hash_int_after(max(x, other), r, n, *keys) % 2 == 1:
+            x = other
+    return x
+
+
+def spark_hash_int(r, *longs):
+    """The round is an int column, the rest are longs."""
+    h = xxhash_int(r, 42)
+    for v in longs:
+        h = xxhash.xxh64_intdigest(struct.pack("<q", v), h)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def spark_hash_int_after(first, r, *longs):
+    h = xxhash_int(r, xxhash.xxh64_intdigest(struct.pack("<q", first), 42))
+    for v in longs:
+        h = xxhash.xxh64_intdigest(struct.pack("<q", v), h)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def xxhash_int(v, seed):
+    return xxhash.xxh64_intdigest(struct.pack("<I", v & 0xFFFFFFFF), seed)
+
+
+def mixture(rows, block, shard_slots, seed=11, buckets=1024, weights=(5, 2, 1), cap=3):
+    """Counter of (doc_id, source, size) -> words taken, and (shard, slot) -> (source, block) of the mix of rows (doc_id, source, size)."""
+    sizes = Counter()
+    for _, s, n in rows:
+        sizes[s] += n
+    want = targets(sizes, weights, cap)
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    blocks = {s: -(-sizes[s] // block) for s in order}
+    slots = {}
+    for s in order:
+        epochs = int(want[s] / sizes[s] + 1e-12) if sizes[s] else 0
+        rest = (want[s] - epochs * sizes[s]) * blocks[s] / sizes[s] if sizes[s] else 0
+        slots[s] = epochs * blocks[s] + int(rest + 0.5)
+    total, first, at = sum(slots.values()), {}, 0
+    for s in order:
+        first[s] = at
+        at += slots[s]
+    drawn = defaultdict(Counter)
+    for place in range(total):
+        shard, slot = divmod(place, shard_slots)
+        x = spark_hash(shard, slot, seed) % total
+        drawn[shard][next(s for s in order if first[s] <= x < first[s] + slots[s])] += 1
+    used, places, beyond = Counter(), {}, {s: [] for s in order}
+    for shard in sorted(drawn):
+        at = 0
+        for s in order:
+            for _ in range(drawn[shard][s]):
+                if used[s] < slots[s]:
+                    places[shard, at] = (s, used[s])
+                else:
+                    beyond[s].append((shard, at))
+                used[s] += 1
+                at += 1
+    spare = iter([p for s in order for p in beyond[s]])
+    for s in order:
+        for q in range(min(used[s], slots[s]), slots[s]):
+            places[next(spare)] = (s, q)
+    out, times = {}, Counter()
+    for (shard, at), (s, q) in places.items():
+        epoch, i = divmod(q, blocks[s])
+        b = permuted(i, blocks[s], seed, order.index(s), epoch)
+        times[s, b] += 1
+        out[shard, permuted(at, min(shard_slots, total - shard * shard_slots), seed, shard)] = (order.index(s), b)
+    taken = Counter()
+    for s in order:
+        start = 0
+        for d, _, n in sorted((r for r in rows if r[1] == s and r[2]), key=lambda r: (spark_hash(r[0], r[2]) % buckets, r[0] is not None, r[0] or 0, r[2])):
+            taken[d, s, n] += sum(times[s, i // block] for i in range(start, start + n))
+            start += n
+    return taken, out

@@ -88,6 +88,40 @@ def test_mix_output_holds_the_words(spark):
     assert sorted(map(str, mix.taken.collect())) == sorted(map(str, mix.counted.collect()))
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_mix_equals_plain_version(spark, seed):
+    """Multinomial draws, corrections, permutations and packing, redone word by word."""
+    rng = random.Random(seed)
+    rows = [(i, rng.choice(("a", "a", "b", "c", None)), rng.choice((0, 1, 5, 17, 60))) for i in range(150)] + [(3, "a", 5)] * 3 + [(None, "b", 7), (900, "z", 2)]
+    docs = spark.createDataFrame([(d, s, " ".join("w" * n)) for d, s, n in rows], SCHEMA)
+    mix = mixing.Mix(docs, block=8, shard_slots=40)
+    taken, places = brute.mixture(rows, 8, 40)
+    found = collections.Counter()
+    for r in mix.taken.collect():
+        found[r.doc_id, r.source, r["size"]] += r.taken
+    assert +found == +taken
+    assert {(r.shard, r.slot): (r.source_id, r.block) for r in mix.slots.collect()} == places
+
+
+def test_counts_of_a_shard_scatter_as_drawn(spark):
+    """Counts of the sources in the output shards have the mean and the spread of multinomial draws."""
+    docs = spark.createDataFrame([(i, "ab"[i % 2], " ".join(["w"] * 40)) for i in range(4000)], SCHEMA)
+    mix = mixing.Mix(docs, block=8, shard_slots=100, weights=(3, 1))
+    share = {r.source_id: r.slots / r.all_slots for r in mix.sources.collect()}
+    assert abs(share[0] - 0.75) < 0.01
+    counts = [r.n for r in mix.drawn.where("source_id = 0 and shard < 190").collect()]
+    assert abs(np.mean(counts) - 75) < 1.5 and 2.5 < np.std(counts) < 6.5
+
+
+def test_mix_with_a_hot_row_and_a_long_text(spark):
+    """One row repeated more often than an array may be long, and one text of 300,000 words."""
+    docs = spark.range(40_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.lit("x y z").alias("text"))
+    docs = docs.union(spark.range(1).select(F.lit(8).cast("long"), F.lit("b"), F.repeat(F.lit("w "), 300_000)))
+    out = mixing.Mix(docs).taken.groupBy("doc_id", "target").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.max(F.col("taken") / F.col("size")).alias("most")).collect()
+    assert {r.doc_id: r.n for r in out} == {7: 40_000, 8: 1}
+    assert all(abs(r.taken - r.target) <= 3 * 64 and r.most <= 3 for r in out)
+
+
 def test_mix_edges(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert mixing.Mix(empty).taken.collect() == []
@@ -130,6 +164,40 @@ def test_shards_follow_the_law(spark, shards):
     assert sorted((r.doc_id, r.shard, r.slot) for r in whole.where("doc_id is not null").collect()) == sorted((r.doc_id, r.shard, r.slot) for r in out if r.doc_id is not None)
 
 
+def test_a_hot_row_fills_many_slots(spark):
+    rows = spark.range(50_000).select(F.lit(1).alias("doc_id"), F.lit("a").alias("text"))
+    out = sharding.shard(sharding.shard_keys(rows), 40).groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("last")).collect()
+    assert len(out) == 40 and {(r.n, r["last"]) for r in out} == {(1250, 1249)}
+
+
+def test_shards_equal_a_plain_feistel(spark):
+    """Numbers by content, then the network with cycle walking on Python's own integers."""
+    rows = [(i, "a", "t" * (i % 50)) for i in range(300)]
+    keys = sharding.shard_keys(spark.createDataFrame(rows, SCHEMA))
+    n, half = 300, 5
+    mask, low = (1 << half) - 1, (1 << 64) - 1
+    import hashlib
+
+    keyed = [int.from_bytes(hashlib.blake2b(f"17:{r}".encode(), digest_size=8).digest(), "big") for r in range(6)]
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & low
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & low
+        return x ^ (x >> 31)
+
+    def once(x):
+        a, b = x >> half, x & mask
+        for k in keyed:
+            a, b = b, a ^ (mix(b ^ k) & mask)
+        return (a << half) | b
+
+    for r in sharding.shard(keys, 7).collect():
+        x = once(r.row_number)
+        while x >= n:
+            x = once(x)
+        assert (r.shard, r.slot) == (x % 7, x // 7)
+
+
 def test_shard_edges(spark):
     assert sharding.shard(sharding.shard_keys(spark.createDataFrame([], SCHEMA)), 40).collect() == []
     one = sharding.shard(sharding.shard_keys(spark.createDataFrame([(1, "a", "é")], SCHEMA)), 40).first()

@@ -76,6 +76,18 @@ def _delete(spark: SparkSession, path: str) -> None:
         target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Rows that one array stands for at most where rows are repeated.
+STRIDE = 16_384
+
+
+def repeated(df: DataFrame, times: Column, name: str) -> DataFrame:
+    """df with each row as often as `times` says and a column that numbers them from 0; no long array for a hot row."""
+    strides = F.explode(F.when(times > 0, F.sequence(F.lit(0).cast("long"), ((times - 1) / STRIDE).cast("long"))).otherwise(F.array().cast("array<bigint>")))
+    spread = df.withColumns({"_times": times.cast("long"), "_stride": strides})
+    inner = F.sequence(F.col("_stride") * STRIDE, F.least(F.col("_times"), (F.col("_stride") + 1) * STRIDE) - 1)
+    return spread.withColumn(name, F.explode(inner)).drop("_times", "_stride")
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (splitmix64), so that equal low bits mean nothing."""
     x = x.astype(np.uint64, copy=True)

@@ -1,9 +1,9 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Each source's words are packed, in a fixed order of its documents, into blocks of
-equal length. Output slots are dealt to sources, slots of a source run through
-pseudorandom permutations of its block numbers, one for each pass, and blocks are
-joined to slots by their number.
+equal length. For each output shard multinomial counts of the sources are drawn; the
+draws of a source, numbered from shard to shard, run through pseudorandom permutations
+of its block numbers, one for each pass, and blocks are joined to slots by their number.
 """
 
 from __future__ import annotations
@@ -11,14 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, table, words_of
+from .common import cut, repeated, table, words_of
 
-#: Hash buckets of each source in which running sums of sizes are taken.
-BUCKETS = 1024
-#: Slots that one row stands for before they are spread over tasks.
-STRIDE = 16_384
-#: Strides that a task spreads, and the most tasks that do so.
-TASK_STRIDES, MOST_TASKS = 4, 20_000
+#: Hash buckets of each source in which running sums of sizes are taken, at least; rows for each of more.
+BUCKETS, BUCKET_ROWS = 1024, 65_536
+#: Slots of an output shard, and tasks that draw or spread shards at most.
+SHARD_SLOTS, MOST_TASKS = 16_384, 20_000
 #: Rounds of a permutation.
 ROUNDS = 24
 #: Up to so many sources their table is broadcast (under 100 bytes each); beyond, it is joined by shuffle.
@@ -66,8 +64,9 @@ def with_targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap:
 class Mix:
     """A mix of documents; the parts are DataFrames.
 
-    sources: source, source_size, source_id, weight, target, blocks, slots, first_slot.
+    sources: source, source_size, source_id, weight, target, blocks, slots, first_slot, all_slots.
     pieces: doc_id, source_id, size, start, block, words: the words of each document's row in each block.
+    drawn: shard, source_id and n, the multinomial counts of each output shard.
     slots: source_id, block, epoch, and shard and slot, the place in the output.
     blocks: the output, a row for each slot with its pieces of text.
     taken and counted: how many words of each row the output holds, counted in its texts or from slots and pieces alone.
@@ -78,17 +77,15 @@ class Mix:
     same rows give the same mix in any order or partitioning. An empty table gives
     empty parts.
 
-    Multinomial counts of sources in an output shard are drawn without replacement:
-    all slots of all sources, in their target numbers, are permuted over the whole
-    output. So counts of a shard scatter as drawn, but totals meet their targets to a
-    block; free draws would stray from them by the root of their number.
+    Free draws stray from the targets by the root of their number. So a source's draws
+    beyond its target, which lie in the last shards, go to the sources that fell short,
+    and every total meets its target to a block.
     """
 
-    def __init__(self, docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, block: int = 64, shard_slots: int = 65_536, seed: int = 11):
-        self.docs = docs
+    def __init__(self, docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, block: int = 64, shard_slots: int = SHARD_SLOTS, seed: int = 11):
+        self.docs, self.spark = docs, docs.sparkSession
         self.block, self.shard_slots, self.seed, self.cap = block, shard_slots, seed, cap
-        size = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), SPACE), lambda w: w != "")).cast("long")
-        rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"))
+        rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.size(words_of(F.col("text"))).cast("long").alias("size"))
         self.rows = cut(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies")))
         sources = self.rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"))
         blocks = F.ceil(F.col("source_size") / F.lit(block)).cast("long")
@@ -99,6 +96,32 @@ class Mix:
         dealt = dealt.withColumns({"first_slot": F.coalesce(F.sum("slots").over(running.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "all_slots": F.sum("slots").over(running.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
         self.sources = cut(dealt)
         self.small = self.sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+        self.buckets = max(BUCKETS, self.rows.count() // BUCKET_ROWS)
+        some = self.sources.agg(F.coalesce(F.max("all_slots"), F.lit(0)), F.coalesce(F.count_if(F.col("slots") > 0), F.lit(0))).first()
+        self.all_slots, self.held = int(some[0]), int(some[1])
+        self.shards = -(-self.all_slots // shard_slots)
+        self.drawn = cut(self._drawn())
+
+    def _drawn(self) -> DataFrame:
+        """Each slot draws a number below all slots, and with it the source whose range of numbers holds it.
+
+        Cells of equal width list the sources whose ranges they meet, two on average, so a draw looks at few
+        however many sources there are.
+        """
+        width = max(1, -(-self.all_slots // max(1, self.held)))
+        end = F.col("first_slot") + F.col("slots")
+        cells = self.sources.where("slots > 0").select("source_id", end.alias("end"), F.explode(F.sequence(F.expr(f"first_slot div {width}"), F.expr(f"(first_slot + slots - 1) div {width}"))).alias("cell"))
+        cells = cells.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("end", "source_id"))).alias("ranges"))
+        draw = F.pmod(F.xxhash64("shard", "slot", F.lit(self.seed).cast("long")), F.lit(max(1, self.all_slots)).cast("long"))
+        places = self.spark.range(self.shards).withColumnRenamed("id", "shard").repartition(max(1, min(self.shards, MOST_TASKS)), "shard")
+        places = places.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), self._shard_size() - 1)).alias("slot"))
+        draws = places.withColumn("draw", draw).withColumn("cell", F.expr(f"draw div {width}"))
+        draws = draws.join(F.broadcast(cells) if self.small else cells, "cell")
+        source = F.filter("ranges", lambda r: F.col("draw") < r["end"])[0]["source_id"]
+        return draws.groupBy("shard", source.alias("source_id")).agg(F.count("*").alias("n"))
+
+    def _shard_size(self) -> Column:
+        return F.least(F.lit(self.shard_slots).cast("long"), F.lit(self.all_slots) - F.col("shard") * self.shard_slots)
 
     def by_source(self, columns: list[str]) -> DataFrame:
         part = self.sources.select(*columns)
@@ -109,7 +132,7 @@ class Mix:
         """self.rows that have words, with at, the place of the first of their copies in the source."""
         ids = self.by_source(["source", "source_id"]).withColumnRenamed("source", "_source")
         rows = self.rows.join(ids, F.col("source").eqNullSafe(F.col("_source"))).where("size > 0").drop("source", "_source")
-        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(BUCKETS)))
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(self.buckets)))
         sums = rows.groupBy("source_id", "bucket").agg(F.sum(F.col("size") * F.col("copies")).alias("words"))
         upto = Window.partitionBy("source_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         offsets = sums.select("source_id", "bucket", F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("offset"))
@@ -119,7 +142,7 @@ class Mix:
     @property
     def each(self) -> DataFrame:
         """doc_id, source_id, size and start of each document's row that has words."""
-        each = self.placed.select("doc_id", "source_id", "size", "at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("nth"))
+        each = repeated(self.placed, F.col("copies"), "nth").select("doc_id", "source_id", "size", "at", "nth")
         return each.select("doc_id", "source_id", "size", (F.col("at") + F.col("nth") * F.col("size")).alias("start"))
 
     @property
@@ -155,21 +178,37 @@ class Mix:
 
     @property
     def slots(self) -> DataFrame:
-        held = self.sources.where("slots > 0")
-        strides = held.withColumn("stride", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {STRIDE}"))))
+        before = Window.partitionBy("source_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+        inside = Window.partitionBy("shard").orderBy("source_id").rowsBetween(Window.unboundedPreceding, -1)
+        counts = self.drawn.withColumns({"first": F.coalesce(F.sum("n").over(before), F.lit(0)), "place": F.coalesce(F.sum("n").over(inside), F.lit(0))})
+        counts = counts.join(self.by_source(["source_id", "slots", "blocks"]), "source_id")
+        kept = F.least(F.col("n"), F.greatest(F.col("slots") - F.col("first"), F.lit(0)))
         # A fixed number of tasks: few bytes stand for many slots, so sizes must not merge them.
-        n = held.agg(F.sum(F.expr(f"(slots - 1) div {STRIDE} + 1"))).first()[0] or 1
-        strides = strides.repartition(min(n // TASK_STRIDES + 1, MOST_TASKS), "source_id", "stride")
-        numbers = F.sequence(F.col("stride") * STRIDE, F.least(F.col("slots"), (F.col("stride") + 1) * STRIDE) - 1)
-        each = strides.select("source_id", "blocks", "first_slot", "all_slots", F.explode(numbers).alias("q"))
-        each = each.withColumns({"epoch": F.expr("q div blocks"), "_i": F.expr("q % blocks")})
-        place = permuted(F.col("first_slot") + F.col("q"), F.col("all_slots"), F.lit(self.seed))
-        each = each.withColumns({"block": permuted(F.col("_i"), F.col("blocks"), F.lit(self.seed), F.col("source_id"), F.col("epoch")), "_place": place})
-        return each.select("source_id", "block", "epoch", F.expr(f"_place div {self.shard_slots}").alias("shard"), F.expr(f"_place % {self.shard_slots}").alias("slot"))
+        counts = counts.withColumn("kept", kept).repartition(max(1, min(4 * self.shards, MOST_TASKS)), "shard", "source_id")
+        span = lambda a, b: F.explode(F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))).alias("i")
+        own = counts.select("shard", "source_id", "blocks", "place", "first", span(F.lit(0).cast("long"), F.col("kept")))
+        own = own.select("shard", "source_id", "blocks", (F.col("place") + F.col("i")).alias("place"), (F.col("first") + F.col("i")).alias("q"))
+
+        # Draws beyond a source's slots, and the slots that draws left open, both numbered in the order of sources.
+        totals = self.sources.where("slots > 0").join(self.drawn.groupBy("source_id").agg(F.sum("n").alias("drawn")), "source_id", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+        running = Window.orderBy("source_id").rowsBetween(Window.unboundedPreceding, -1)
+        over, short = F.greatest(F.col("drawn") - F.col("slots"), F.lit(0)), F.greatest(F.col("slots") - F.col("drawn"), F.lit(0))
+        totals = totals.select("source_id", "blocks", "drawn", short.alias("short"), *(F.coalesce(F.sum(x).over(running), F.lit(0)).alias(c) for x, c in ((over, "over_before"), (short, "short_before"))))
+        first_over = totals.select("source_id", "over_before")
+        beyond = counts.where("kept < n").join(F.broadcast(first_over) if self.small else first_over, "source_id")
+        beyond = beyond.select("shard", "place", "first", "slots", "over_before", span(F.col("kept"), F.col("n")))
+        beyond = beyond.select("shard", (F.col("place") + F.col("i")).alias("place"), (F.col("over_before") + F.col("first") + F.col("i") - F.col("slots")).alias("j"))
+        open_ = repeated(totals.where("short > 0"), F.col("short"), "i").select("source_id", "blocks", (F.col("short_before") + F.col("i")).alias("j"), (F.col("drawn") + F.col("i")).alias("q"))
+        moved = beyond.join(open_.hint("merge"), "j").select("shard", "source_id", "blocks", "place", "q")
+
+        each = own.unionByName(moved).withColumns({"epoch": F.expr("q div blocks"), "_i": F.expr("q % blocks")})
+        seed = F.lit(self.seed).cast("long")
+        each = each.withColumns({"block": permuted(F.col("_i"), F.col("blocks"), seed, F.col("source_id"), F.col("epoch")), "slot": permuted(F.col("place"), self._shard_size(), seed, F.col("shard"))})
+        return each.select("source_id", "block", "epoch", "shard", "slot")
 
     @property
     def shard_counts(self) -> DataFrame:
-        """Slots of each source in each output shard."""
+        """Slots of each source in each output shard, after the totals were met."""
         return self.slots.groupBy("shard", "source_id").agg(F.count("*").alias("slots"))
 
     @property
@@ -198,7 +237,7 @@ class Mix:
 
     def _described(self, took: DataFrame) -> DataFrame:
         empty = self.rows.where("size = 0").join(self.by_source(["source", "source_id"]).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
-        empty = empty.select("doc_id", "source_id", "size", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("taken")).withColumn("taken", F.lit(0).cast("long"))
+        empty = repeated(empty, F.col("copies"), "nth").select("doc_id", "source_id", "size", F.lit(0).cast("long").alias("taken"))
         return took.unionByName(empty).join(self.by_source(["source_id", "source", "source_size", "target"]), "source_id").drop("source_id")
 
 
@@ -211,7 +250,7 @@ def mix_documents(docs: DataFrame, seed: int = 11) -> DataFrame:
     mix = Mix(docs, seed=seed)
     rate = mix.counted.where("size > 0").groupBy("doc_id", "source", "size").agg(F.avg(F.col("taken") / F.col("size")).alias("_rate"))
     rate = rate.select(F.col("doc_id").alias("_doc"), F.col("source").alias("_from"), F.col("size").alias("_size"), "_rate")
-    size = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), SPACE), lambda w: w != "")).cast("long")
+    size = F.size(words_of(F.col("text"))).cast("long")
     on = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_from")) & (F.col("_words") == F.col("_size"))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) / 1e6
     times = F.when(F.col("_words") == 0, F.lit(1)).otherwise(F.floor(F.coalesce("_rate", F.lit(0.0)) + chance).cast("int"))

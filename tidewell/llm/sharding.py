@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mixed, table
+from .common import mixed, repeated, table
 
 #: Rows are numbered within this many hash buckets; their counts are all that is broadcast.
 BUCKETS = 4096
@@ -62,7 +62,8 @@ def numbered(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     inside = Window.partitionBy("_bucket").orderBy(*columns).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = bucketed.withColumn("_end", F.sum("_copies").over(inside)).join(F.broadcast(offsets), "_bucket")
     first = F.col("_offset") + F.col("_end") - F.col("_copies")
-    return placed.select(*columns, F.explode(F.sequence(first, first + F.col("_copies") - 1)).alias("row_number"), "n_rows")
+    each = repeated(placed.withColumn("_first", first), F.col("_copies"), "_nth")
+    return each.select(*columns, (F.col("_first") + F.col("_nth")).alias("row_number"), "n_rows")
 
 
 def shard(rows: DataFrame, shards: int, seed: int = 17) -> DataFrame:
