@@ -172,14 +172,30 @@ def test_periods_to_come(spark):
     assert tuple(row) == (date(2024, 2, 1), date(2024, 4, 1), date(2025, 1, 1))
 
 
-@pytest.mark.parametrize(("said", "value", "kind"), [("1조 2,345억 원", 1_234_500_000_000, "abs"), ("33.0%", 33, "pct"), ("3.5%p", Decimal("3.5"), "pctp"), ("(1,234)", -1234, "abs"), ("3천500만", 35_000_000, "abs"), ("12", 12, "abs")])
-def test_numbers(said, value, kind):
-    found = text.numbers_in(said)
-    assert [(v, k) for v, _, k, _ in found] == [(value, kind)]
+#: What is said, and (value, step, kind, digits) of its numbers worked out by hand.
+SAID = {
+    "1조 2,345억 원": [(1_234_500_000_000, 10**8, "abs", "")], "33.0%": [(33, "0.1", "pct", "33.0")], "3.5%p 또는 4퍼센트": [("3.5", "0.1", "pctp", "3.5"), (4, 1, "pct", "4")], "(1,234)": [(-1234, 1, "abs", "1234")],
+    "3천500만": [(35_000_000, 10**4, "abs", "3500")], "3천5만, 3천50만, 2천만": [(30_050_000, 10**4, "abs", "3005"), (30_500_000, 10**4, "abs", "3050"), (20_000_000, 10**4, "abs", "2000")], "12": [(12, 1, "abs", "12")], "2025.12.31": [(2025, 1, "abs", "2025"), (12, 1, "abs", "12"), (31, 1, "abs", "31")],
+    "1조, 3억": [(10**12, 10**12, "abs", "1"), (3 * 10**8, 10**8, "abs", "3")], "7조 1억 3만 5천": [(7_000_100_035_000, 1000, "abs", "")], "1억 2억": [(10**8, 10**8, "abs", "1"), (2 * 10**8, 10**8, "abs", "2")], "(5억)": [(5 * 10**8, 10**8, "abs", "5")], "없음": [], "": [],
+}
 
 
-def test_dates_are_no_decimals():
-    assert [v for v, _, _, _ in text.numbers_in("2025.12.31")] == [2025, 12, 31]
+def test_numbers(spark):
+    rows = spark.createDataFrame([*SAID, None], "string").select("value", text.parse_numbers("value").alias("n")).collect()
+    for r in rows:
+        assert [tuple(x) for x in r.n] == [(Decimal(v), Decimal(s), k, g) for v, s, k, g in SAID.get(r.value, [])], r.value
+
+
+def test_numbers_of_tables(spark):
+    said = "앞 3억 [매출 표 | 단위 백만원] 1,006,771 그리고 5% [표] 7"
+    found = spark.createDataFrame([(said,)], "t string").select(text.parse_passage_numbers("t").alias("n")).first().n
+    head = [(3 * 10**8, "abs"), (1_006_771 * 10**6, "abs"), (5, "pct"), (1_006_771, "abs"), (5, "pct"), (1_006_771, "pct"), (5, "pct"), (7, "abs")]
+    assert [(x.value, x.kind) for x in found] == head
+
+
+def test_numbers_of_a_long_text(spark):
+    n = spark.range(1).select(F.size(text.parse_numbers(F.repeat(F.lit("12억 3만 "), 20_000))).alias("n")).first().n
+    assert n == 20_000
 
 
 def test_sentences(spark):

@@ -82,12 +82,13 @@ def pf08(spark, d):
 PROFILES = (("careful", 20.0, 70.0), ("balanced", 50.0, 40.0), ("bold", 80.0, 15.0))
 
 
-@query("pf09_strategic_mix", "WITH p(profile, stocks, bonds) AS (VALUES ('careful', 20.0::DOUBLE, 70.0::DOUBLE), ('balanced', 50, 40), ('bold', 80, 15)), h AS (SELECT *, stocks + least(10, y) AS s FROM p, (VALUES (1), (5), (20)) t(y)), n AS (SELECT profile, y, round(s / (s + bonds + 5) * 100, 1) AS stock_w, round(bonds / (s + bonds + 5) * 100, 1) AS bond_w FROM h) SELECT profile, y::INT AS years, stock_w, bond_w, round(100 - stock_w - bond_w, 1) AS cash_w FROM n")
+@query("pf09_strategic_mix", "WITH p(k, stocks, bonds) AS (VALUES (0, 20.0::DOUBLE, 70.0::DOUBLE), (1, 50, 40), (2, 80, 15)), h AS (SELECT c_custkey, bonds, stocks + least(10, c_custkey % 25) AS s FROM customer JOIN p ON k = c_custkey % 3), n AS (SELECT c_custkey, round(s / (s + bonds + 5) * 100, 1) AS stock_w, round(bonds / (s + bonds + 5) * 100, 1) AS bond_w FROM h) SELECT c_custkey, stock_w, bond_w, round(100 - stock_w - bond_w, 1) AS cash_w FROM n")
 def pf09(spark, d):
-    """Weights by profile, more stocks for longer horizons; cash takes the rounding."""
-    p = spark.createDataFrame(PROFILES, "profile string, stocks double, bonds double").withColumn("years", F.explode(F.array(*map(F.lit, (1, 5, 20)))))
-    s = c("stocks") + F.least(F.lit(10), c("years"))
-    n = p.select("profile", "years", F.round(s / (s + c("bonds") + 5) * 100, 1).alias("stock_w"), F.round(c("bonds") / (s + c("bonds") + 5) * 100, 1).alias("bond_w"))
+    """Weights of each customer by profile, more stocks for longer horizons; cash takes the rounding."""
+    mix = F.element_at(F.array(*(F.struct(F.lit(s).alias("stocks"), F.lit(b).alias("bonds")) for _, s, b in PROFILES)), (c("c_custkey") % 3 + 1).cast("int"))
+    p = table(spark, d, "customer").select("c_custkey", mix.alias("mix"), (c("c_custkey") % 25).alias("years"))
+    s, bonds = c("mix.stocks") + F.least(F.lit(10), c("years")), c("mix.bonds")
+    n = p.select("c_custkey", F.round(s / (s + bonds + 5) * 100, 1).alias("stock_w"), F.round(bonds / (s + bonds + 5) * 100, 1).alias("bond_w"))
     return n.withColumn("cash_w", F.round(100 - c("stock_w") - c("bond_w"), 1))
 
 
@@ -111,10 +112,12 @@ def pf11(spark, d):
     return P.composite(s, {"size": 0.6, "price": 0.4}).withColumn("score", F.round("score", 4))
 
 
-@query("pf12_projection", "SELECT y::INT AS years, round(1000 * pow(1 + r, y), 4) AS value, r AS rate FROM (VALUES (1), (3), (5), (10)) t(y), (VALUES (0.03::DOUBLE), (0.07::DOUBLE)) q(r)")
+@query("pf12_projection", "SELECT c_custkey, y::INT AS years, r AS rate, round(c_acctbal * pow(1 + r, y), 4) AS value FROM customer, (VALUES (1), (3), (5), (10)) t(y), (VALUES (0.03::DOUBLE), (0.07::DOUBLE)) q(r)")
 def pf12(spark, d):
-    years = spark.range(1).select(F.explode(F.array(*map(F.lit, (1, 3, 5, 10)))).alias("years")).withColumn("rate", F.explode(F.array(F.lit(0.03), F.lit(0.07))))
-    return years.select("years", F.round(1000 * F.pow(1 + c("rate"), c("years")), 4).alias("value"), "rate")
+    """Each customer's balance after some years at two rates."""
+    years = table(spark, d, "customer").select("c_custkey", "c_acctbal", F.explode(F.array(*map(F.lit, (1, 3, 5, 10)))).alias("years"))
+    years = years.withColumn("rate", F.explode(F.array(F.lit(0.03), F.lit(0.07))))
+    return years.select("c_custkey", "years", "rate", F.round(c("c_acctbal") * F.pow(1 + c("rate"), c("years")), 4).alias("value"))
 
 
 @query("rb01_targets", f"WITH {TARGETS} SELECT symbol, weight FROM targets")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tidewell.catalog import query
@@ -65,15 +65,13 @@ def tx08(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.explode(X.spans(X.sentences(c("text")), c("text"))).alias("s")).select("item_id", "s.*")
 
 
-SAYINGS = ("매출이 늘었나요?", "문단에 그 값이 없습니다.", "주요 사업은 다음과 같습니다.", "좋다.", "삼성은 성장했다.", "매출은 3조 원입니다.", "요약:", "Good. ")
-_SAY_SQL = ", ".join(f"({i}, '{s}')" for i, s in enumerate(SAYINGS))
-_SAY_OUT = ("question", "phrase", "lead", "short", None, None, "lead", None)
-
-
-@query("tx09_no_claim", "SELECT * FROM (VALUES " + ", ".join(f"({i}::INT, " + (f"'{r}'" if r else "NULL") + ")" for i, r in enumerate(_SAY_OUT)) + ") t(id, reason)")
+@query("tx09_no_claim", "SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN 'question' WHEN 1 THEN 'phrase' WHEN 2 THEN 'lead' WHEN 3 THEN 'short' WHEN 6 THEN 'lead' END AS reason FROM orders")
 def tx09(spark, d):
-    rows = spark.createDataFrame(list(enumerate(SAYINGS)), "id int, s string")
-    return rows.select("id", X.no_claim(c("s")).alias("reason"))
+    """Sentences of nine kinds in turn, some with a number of the order they stand for."""
+    n = c("o_orderkey")
+    said = (F.format_string("매출이 %d원 늘었나요?", n), "문단에 그 값이 없습니다.", "주요 사업은 다음과 같습니다.", "좋다.", "삼성은 성장했다.", F.format_string("매출은 %d조 원입니다.", n), "요약:", F.format_string("%d건:", n), "Good. ")
+    rows = table(spark, d, "orders").select("o_orderkey", F.element_at(F.array(*(x if isinstance(x, Column) else F.lit(x) for x in said)), (n % len(said) + 1).cast("int")).alias("s"))
+    return rows.select("o_orderkey", X.no_claim(c("s")).alias("reason"))
 
 
 _BG = "list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2)))"
@@ -106,23 +104,39 @@ def jon10(spark, d):
     return _pairs(spark, d).where("score > 0.5")
 
 
-AMOUNTS = (("1조 2,345억 원", "매출 1,234,500백만"), ("33.0%", "[표 단위 백만원] 33.04 %"), ("3.5%p", "3.5% 상승"), ("1조 67억원", "[매출 표 | 단위 백만원] 1,006,771"), ("2조", "[표 단위 백만원] 1,006,771"), ("(1,234)", "1,234"), ("34%", "[표] 33.04 %"))
-#: Values and verdicts worked out by hand.
-AMOUNT_VALUES = ((0, "1234500000000", "abs"), (1, "33", "pct"), (2, "3.5", "pctp"), (3, "1006700000000", "abs"), (4, "2000000000000", "abs"), (5, "-1234", "abs"), (6, "34", "pct"))
+def _amounts(spark, d):
+    """Claims and passages with numbers from each order, of six kinds in turn."""
+    k, m = c("o_orderkey").cast("bigint"), F.floor("o_totalprice").cast("bigint")
+    tens = (m / 10).cast("bigint")
+    kinds = (
+        (F.format_string("%d조 %,d억 원", k % 9 + 1, m % 10000), F.format_string("매출 %,d백만", (k % 9 + 1) * 1_000_000 + m % 10000 * 100)), (F.format_string("%d.%d%%", k % 100, m % 10), F.format_string("[표 단위 백만원] %d.%d4 %%", k % 100, m % 10)),
+        (F.format_string("%d.5%%p", k % 100), F.format_string("%d.5%% 상승", k % 100)), (F.format_string("(%,d)", m), F.format_string("%,d", m)),
+        (F.format_string("%d억원", tens), F.format_string("[매출 표 | 단위 천만원] %,d", m)), (F.format_string("2025.12.31 %d천%d만원", k % 9 + 1, m % 1000), F.format_string("%d만 원", (k % 9 + 1) * 1000 + m % 1000)),
+    )
+    said = F.element_at(F.array(*(F.struct(a.alias("claim"), b.alias("passage")) for a, b in kinds)), (k % len(kinds) + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", said.alias("s")).select("o_orderkey", "s.*")
 
 
-def _amounts(spark):
-    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(AMOUNTS)], "id int, claim string, passage string")
+_AMOUNTS = "o AS (SELECT o_orderkey, o_orderkey % 6 AS kind, o_orderkey % 9 + 1 AS u, o_orderkey % 100 AS p, floor(o_totalprice)::BIGINT AS m FROM orders)"
+_CLAIMED = f"""{_AMOUNTS}, n AS (SELECT o_orderkey, unnest(CASE kind WHEN 0 THEN [(u * 1000000000000 + m % 10000 * 100000000)::DOUBLE] WHEN 1 THEN [(p + m % 10 / 10.0)::DOUBLE] WHEN 2 THEN [(p + 0.5)::DOUBLE]
+  WHEN 3 THEN [-m::DOUBLE] WHEN 4 THEN [(m // 10 * 100000000)::DOUBLE] ELSE [2025::DOUBLE, 12::DOUBLE, 31::DOUBLE, ((u * 1000 + m % 1000) * 10000)::DOUBLE] END) AS value,
+  CASE kind WHEN 1 THEN 'pct' WHEN 2 THEN 'pctp' ELSE 'abs' END AS kind FROM o)"""
 
 
-@query("tx12_numbers", "SELECT id::INT AS id, value::DOUBLE AS value, kind FROM (VALUES " + ", ".join(f"({i}, {v}, '{k}')" for i, v, k in AMOUNT_VALUES) + ") t(id, value, kind)")
+@query("tx12_numbers", f"WITH {_CLAIMED} SELECT * FROM n")
 def tx12(spark, d):
-    return _amounts(spark).select("id", F.explode(X.parse_numbers("claim")).alias("n")).select("id", c("n.value").cast("double").alias("value"), "n.kind")
+    return _amounts(spark, d).select("o_orderkey", F.explode(X.parse_numbers("claim")).alias("n")).select("o_orderkey", c("n.value").cast("double").alias("value"), "n.kind")
 
 
-@query("tx13_passage_numbers")
+@query(
+    "tx13_passage_numbers",
+    f"""WITH {_AMOUNTS}, n AS (SELECT o_orderkey, unnest(CASE kind WHEN 0 THEN [{{'v': (u * 1000000 + m % 10000 * 100) * 1000000::DOUBLE, 'k': 'abs'}}]
+  WHEN 1 THEN [{{'v': (p + m % 10 / 10.0 + 0.04)::DOUBLE, 'k': 'pct'}}, {{'v': (p + m % 10 / 10.0 + 0.04)::DOUBLE, 'k': 'pct'}}, {{'v': (p + m % 10 / 10.0 + 0.04)::DOUBLE, 'k': 'pct'}}] WHEN 2 THEN [{{'v': (p + 0.5)::DOUBLE, 'k': 'pct'}}] WHEN 3 THEN [{{'v': m::DOUBLE, 'k': 'abs'}}]
+  WHEN 4 THEN [{{'v': (m * 10000000)::DOUBLE, 'k': 'abs'}}, {{'v': m::DOUBLE, 'k': 'abs'}}] ELSE [{{'v': ((u * 1000 + m % 1000) * 10000)::DOUBLE, 'k': 'abs'}}] END) AS x FROM o)
+SELECT o_orderkey, x.v AS value, x.k AS kind FROM n""",
+)
 def tx13(spark, d):
-    return _amounts(spark).select("id", F.explode(X.parse_passage_numbers("passage")).alias("n")).select("id", "n.*")
+    return _amounts(spark, d).select("o_orderkey", F.explode(X.parse_passage_numbers("passage")).alias("n")).select("o_orderkey", c("n.value").cast("double").alias("value"), "n.kind")
 
 
 @query("tx14_same_value", "SELECT p_partkey, floor(p_retailprice / 10) * 10 = p_size * 20 OR round(p_retailprice / 10) * 10 = p_size * 20 AS same FROM part")
@@ -133,10 +147,11 @@ def tx14(spark, d):
     return p.select("p_partkey", X.same_number(c("h"), c("w")).alias("same"))
 
 
-@query("tx15_number_check", "SELECT * FROM (VALUES (0::INT, true), (1, true), (2, false), (3, true), (4, false), (5, true), (6, false)) t(id, ok)")
+@query("tx15_number_check", f"WITH {_AMOUNTS} SELECT o_orderkey, kind IN (0, 1, 3, 4) AS ok FROM o")
 def tx15(spark, d):
-    parsed = _amounts(spark).select("id", X.parse_numbers("claim").alias("w"), X.parse_passage_numbers("passage").alias("h"))
-    return parsed.select("id", X.numbers_agree(c("w"), c("h")).alias("ok"))
+    """Equal when rounded or cut at the claim's last digit; points are no percent, and a date's numbers are wanted too."""
+    parsed = _amounts(spark, d).select("o_orderkey", X.parse_numbers("claim").alias("w"), X.parse_passage_numbers("passage").alias("h"))
+    return parsed.select("o_orderkey", X.numbers_agree(c("w"), c("h")).alias("ok"))
 
 
 @query("tx16_name_bounds", "SELECT doc_id, regexp_matches(text, '(^|[^A-Za-z0-9])The([^A-Za-z0-9]|$)') AS found FROM documents")

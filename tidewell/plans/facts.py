@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
-
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewell.catalog import query
@@ -13,14 +12,27 @@ from tidewell.operators.text import no_claim, parse_numbers
 from tidewell.sources.views import CLAIMS, FACTS, claims, facts, table
 
 c = F.col
-PERIODS = [(y, k, n, q) for y in (2024, 2025) for k, n, q in (("year", 0, False), ("quarter", 2, False), ("quarter", 3, True), ("half", 1, False), ("half", 2, False))]
-_P = "p AS (SELECT * FROM (VALUES " + ", ".join(f"({y}::INT, '{k}', {n}::INT, {str(q).lower()})" for y, k, n, q in PERIODS) + ") t(year, kind, n, cumulative))"
+_KINDS = (("year", 0, False), ("quarter", 2, False), ("quarter", 3, True), ("half", 1, False), ("half", 2, False))
+
+
+def _by_key(*texts):
+    """One of the texts for each order, in turn by its key."""
+    return F.element_at(F.array(*(t if isinstance(t, Column) else F.lit(t) for t in texts)), (c("o_orderkey") % len(texts) + 1).cast("int"))
+
+
+def _case(*texts: str) -> str:
+    return f"CASE o_orderkey % {len(texts)} " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(texts)) + " END"
+
 
+_P = f"p AS (SELECT o_orderkey, year(o_orderdate) AS year, {_case(*(repr(k) for k, _, _ in _KINDS))} AS kind, {_case(*(str(n) for _, n, _ in _KINDS))} AS n, {_case(*(str(q).lower() for _, _, q in _KINDS))} AS cumulative FROM orders)"
 
-@query("fc13_periods", f"WITH {_P}, s AS (SELECT *, CASE WHEN kind = 'year' OR cumulative OR (kind = 'half' AND n = 1) THEN make_date(year, 1, 1) WHEN kind = 'half' THEN make_date(year, 7, 1) ELSE make_date(year, 3 * n - 2, 1) END AS a, last_day(make_date(year, 3 * CASE kind WHEN 'year' THEN 4 WHEN 'half' THEN 2 * n ELSE n END, 1)) AS b FROM p) SELECT year, kind, n, cumulative, a AS start, b AS end_day FROM s")
+
+@query("fc13_periods", f"WITH {_P}, s AS (SELECT *, CASE WHEN kind = 'year' OR cumulative OR (kind = 'half' AND n = 1) THEN make_date(year, 1, 1) WHEN kind = 'half' THEN make_date(year, 7, 1) ELSE make_date(year, 3 * n - 2, 1) END AS a, last_day(make_date(year, 3 * CASE kind WHEN 'year' THEN 4 WHEN 'half' THEN 2 * n ELSE n END, 1)) AS b FROM p) SELECT o_orderkey, kind, n, cumulative, a AS start, b AS end_day FROM s")
 def fc13(spark, d):
-    p = spark.createDataFrame(PERIODS, "year int, kind string, n int, cumulative boolean")
-    return p.select("*", X.period_start(c("year"), c("kind"), c("n"), c("cumulative")).alias("start"), X.period_end(c("year"), c("kind"), c("n")).alias("end_day"))
+    """A period of some kind in the year of each order."""
+    kind, n, cumulative = (_by_key(*x) for x in zip(*_KINDS, strict=True))
+    p = table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"), kind.alias("kind"), n.alias("n"), cumulative.alias("cumulative"))
+    return p.select("o_orderkey", "kind", "n", "cumulative", X.period_start(c("year"), c("kind"), c("n"), c("cumulative")).alias("start"), X.period_end(c("year"), c("kind"), c("n")).alias("end_day"))
 
 
 @query("fc09_period_labels", "WITH o AS (SELECT o_orderkey, date_trunc(CASE o_orderkey % 2 WHEN 0 THEN 'year' ELSE 'quarter' END, o_orderdate)::DATE AS a, last_day((date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH)::DATE) AS b FROM orders) SELECT o_orderkey, CASE WHEN month(b) = 12 AND month(a) = 1 THEN year(b)::VARCHAR WHEN month(b) = 6 AND month(a) = 1 THEN year(b) || 'H1' ELSE year(b) || 'Q' || quarter(b) END AS label FROM o")
@@ -50,13 +62,14 @@ def fc08(spark, d):
     return X.filed_facts(_filed(spark, d)).select("company", "period", "cumulative", "amount")
 
 
-REPORTS = ("사업보고서 (2025.12)", "반기보고서 (2026.06)", "[기재정정]분기보고서 (2025.09)", "분기보고서 (2025.06)", "주요사항보고서")
-
-
-@query("fc10_report_kinds", "SELECT * FROM (VALUES (0::INT, 'annual', '2025', false), (1, 'half', '2026H1', false), (2, 'quarter', '2025Q3', true), (3, NULL, NULL, false), (4, NULL, NULL, false)) t(id, type, period, corrected)")
+@query("fc10_report_kinds", "WITH o AS (SELECT o_orderkey, year(o_orderdate)::VARCHAR AS y FROM orders) SELECT o_orderkey, " + _case("'annual'", "'half'", "'quarter'", "NULL", "NULL") + " AS type, " + _case("y", "y || 'H1'", "y || 'Q3'", "NULL", "NULL") + " AS period, o_orderkey % 5 = 2 AS corrected FROM o")
 def fc10(spark, d):
-    r = spark.createDataFrame(list(enumerate(REPORTS)), "id int, name string").withColumn("k", X.report_kind(c("name")))
-    return r.select("id", "k.type", "k.period", c("name").contains("[기재정정]").alias("corrected"))
+    """Report names with the year of each order."""
+    y = F.year("o_orderdate")
+    names = (("사업보고서 (%d.12)"), ("반기보고서 (%d.06)"), ("[기재정정]분기보고서 (%d.09)"), ("분기보고서 (%d.06)"))
+    name = _by_key(*(F.format_string(n, y) for n in names), "주요사항보고서")
+    r = table(spark, d, "orders").select("o_orderkey", name.alias("name")).withColumn("k", X.report_kind(c("name")))
+    return r.select("o_orderkey", "k.type", "k.period", c("name").contains("[기재정정]").alias("corrected"))
 
 
 @query("fc11_latest_filings", "SELECT o_custkey, year(o_orderdate)::INT AS year, arg_max(o_orderkey, row(o_orderdate, o_orderkey)) AS filing FROM orders WHERE o_orderpriority <> '1-URGENT' GROUP BY 1, 2")
@@ -77,36 +90,41 @@ def fc06(spark, d):
     return facts(spark, d).select("company", F.concat("year", F.lit("Q"), "quarter").alias("period"), (F.round(c("amount") / unit) * unit).cast("bigint").alias("amount"), unit.alias("rounding_unit"))
 
 
-SENTENCES = (
-    ("2025년 3분기 매출은 12조 원이다.", "2026-08-14"), ("작년 상반기 이익이 늘었다.", "2026-08-14"), ("4분기 실적은 좋다.", "2026-08-14"), ("2분기 매출.", "2026-08-14"),
-    ("전년 동기 대비 올랐다.", "2026-08-14"), ("2024H1과 2024Q4.", "2026-08-14"), ("주가가 오를 것으로 전망된다.", "2026-08-14"), ("좋다.", "2026-08-14"),
-)
-FOUND = (["2025Q3"], ["2025H1"], ["2025Q4"], ["2026Q2"], ["2025Q3"], ["2024H1", "2024Q4"], [], [])
+_O = "o AS (SELECT o_orderkey, year(o_orderdate) AS y, quarter(o_orderdate) AS q, o_orderkey % 4 + 1 AS n, o_orderkey % 9 + 1 AS k FROM orders)"
+
+
+def _sentences(spark, d):
+    """A sentence for each order, of eight kinds in turn, with the order's year and numbers from its key; as_of is its day."""
+    y, n, k = F.year("o_orderdate"), (c("o_orderkey") % 4 + 1).cast("int"), (c("o_orderkey") % 9 + 1).cast("int")
+    said = _by_key(
+        F.format_string("%d년 %d분기 매출은 %d조 원이다.", y, n, k), "작년 상반기 이익이 늘었다.", F.format_string("%d분기 실적은 좋다.", n), "전년 동기 대비 올랐다.",
+        "전분기보다 값이 낮았다.", F.format_string("%dH1과 %dQ%d.", y, y, n), "주가가 오를 것으로 전망된다.", "좋다.",
+    )
+    return table(spark, d, "orders").select("o_orderkey", said.alias("text"), F.to_date("o_orderdate").alias("as_of"))
 
 
-def _sentences(spark):
-    return spark.createDataFrame([(i, t, date.fromisoformat(a)) for i, (t, a) in enumerate(SENTENCES)], "id int, text string, as_of date")
+_LABELS = _case("y || 'Q' || n", "(y - 1) || 'H1'", "CASE WHEN n > q THEN y - 1 ELSE y END || 'Q' || n", "(y - 1) || 'Q' || q", "CASE WHEN q = 1 THEN (y - 1) || 'Q4' ELSE y || 'Q' || (q - 1) END", "y || 'H1,' || y || 'Q' || n", "''", "''")
 
 
-@query("fc12_period_mentions", "SELECT * FROM (VALUES " + ", ".join(f"({i}::INT, '{','.join(x)}')" for i, x in enumerate(FOUND)) + ") t(id, labels)")
+@query("fc12_period_mentions", f"WITH {_O} SELECT o_orderkey, {_LABELS} AS labels FROM o")
 def fc12(spark, d):
-    return X.with_periods(_sentences(spark)).select("id", F.array_join(F.transform("periods", lambda p: p["label"]), ",").alias("labels"))
+    return X.with_periods(_sentences(spark, d)).select("o_orderkey", F.array_join(F.transform("periods", lambda p: p["label"]), ",").alias("labels"))
 
 
-@query("fc17_derived_kinds", "SELECT * FROM (VALUES (1::INT, 'growth')) t(id, kind)")
+@query("fc17_derived_kinds", "SELECT o_orderkey, 'growth' AS kind FROM orders WHERE o_orderkey % 8 = 1")
 def fc17(spark, d):
-    return _sentences(spark).select("id", X.derived_kind(c("text")).alias("kind")).where("kind is not null")
+    return _sentences(spark, d).select("o_orderkey", X.derived_kind(c("text")).alias("kind")).where("kind is not null")
 
 
-@query("fc20_scope", "SELECT * FROM (VALUES (0::INT, 'in_scope'), (1, 'derived'), (2, 'in_scope'), (3, 'in_scope'), (4, 'in_scope'), (5, 'in_scope'), (6, 'market'), (7, 'in_scope')) t(id, scope)")
+@query("fc20_scope", f"SELECT o_orderkey, {_case(*(repr(x) for x in ('in_scope', 'derived', 'in_scope', 'in_scope', 'in_scope', 'in_scope', 'market', 'in_scope')))} AS scope FROM orders")
 def fc20(spark, d):
-    return _sentences(spark).select("id", X.scope(c("text"), F.lit(False), F.lit(False)).alias("scope"))
+    return _sentences(spark, d).select("o_orderkey", X.scope(c("text"), F.lit(False), F.lit(False)).alias("scope"))
 
 
-@query("fc21_triage", "SELECT * FROM (VALUES (0::INT, true, 'number'), (1, true, 'period'), (2, true, 'number'), (3, true, 'number'), (4, true, 'period'), (5, true, 'number'), (6, false, 'market'), (7, false, 'not_claim')) t(id, \"check\", reason)")
+@query("fc21_triage", f"SELECT o_orderkey, o_orderkey % 8 < 6 AS \"check\", {_case(*(repr(x) for x in ('number', 'period', 'number', 'period', 'period', 'number', 'market', 'not_claim')))} AS reason FROM orders")
 def fc21(spark, d):
-    s = X.with_periods(_sentences(spark))
-    return s.select("id", X.triage(no_claim(c("text")), c("text"), F.lit(False), F.size("periods") > 0).alias("t")).select("id", "t.*")
+    s = X.with_periods(_sentences(spark, d))
+    return s.select("o_orderkey", X.triage(no_claim(c("text")), c("text"), F.lit(False), F.size("periods") > 0).alias("t")).select("o_orderkey", "t.*")
 
 
 @query("fc22_probability_triage", f"WITH {CLAIMS} SELECT run_id, idx, part, latency_ms, s + c >= 0.8::DOUBLE AS skipped, CASE WHEN s + c >= 0.8::DOUBLE THEN CASE WHEN s >= c THEN 'opinion' ELSE 'market' END ELSE 'checked' END AS category FROM claims")
@@ -115,10 +133,10 @@ def fc22(spark, d):
     return claims(spark, d).select("run_id", "idx", "part", "latency_ms", skip.alias("skipped"), F.when(skip, F.when(c("s") >= c("c"), "opinion").otherwise("market")).otherwise("checked").alias("category"))
 
 
-@query("fc23_amount_claims", "SELECT * FROM (VALUES (0::INT, 12000000000000::DOUBLE)) t(id, value)")
+@query("fc23_amount_claims", f"WITH {_O} SELECT o_orderkey, k * 1000000000000.0::DOUBLE AS value FROM o WHERE o_orderkey % 8 = 0")
 def fc23(spark, d):
-    each = _sentences(spark).select("id", F.explode(parse_numbers(F.regexp_replace("text", r"(?:19|20)\d{2}[년QH]\s?\d?|[1-4]분기", " "))).alias("n"))
-    return each.where("n.value >= 1000").select("id", c("n.value").cast("double").alias("value"))
+    each = _sentences(spark, d).select("o_orderkey", F.explode(parse_numbers(F.regexp_replace("text", r"(?:19|20)\d{2}[년QH]\s?\d?|[1-4]분기", " "))).alias("n"))
+    return each.where("n.value >= 1000").select("o_orderkey", c("n.value").cast("double").alias("value"))
 
 
 @query("fc24_candidate_facts", f"WITH {FACTS} SELECT company, year, arg_max(amount, row(n % 2 = 0, quarter)) AS amount FROM facts GROUP BY 1, 2")

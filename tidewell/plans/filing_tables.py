@@ -83,14 +83,13 @@ def tx20(spark, d):
     return table(spark, d, "documents").select("doc_id", ((c("source") == "src1") | F.exists(aliases, lambda a: low.contains(a))).alias("valid"))
 
 
-LINES = ("다음과 같습니다:", "1. 개요", "이 글은 2분기 실적을 다룬다.", "매출은 3조 원이다.")
-
-
-@query("fc18_list_leads", "SELECT * FROM (VALUES (0::INT, 'lead'), (1, 'header'), (2, 'intro'), (3, NULL)) t(id, kind)")
+@query("fc18_list_leads", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'lead' WHEN 1 THEN 'header' WHEN 2 THEN 'intro' END AS kind FROM orders")
 def fc18(spark, d):
-    rows = spark.createDataFrame(list(enumerate(LINES)), "id int, s string")
+    """Lines of reports, of four kinds in turn, with numbers from each order."""
+    k = (c("o_orderkey") % 9 + 1).cast("int")
+    s = F.element_at(F.array(F.lit("다음과 같습니다:"), F.format_string("%d. 개요", k), F.format_string("이 글은 %d분기 실적을 다룬다.", k), F.format_string("매출은 %d조 원이다.", k)), (c("o_orderkey") % 4 + 1).cast("int"))
     kind = F.when(c("s").rlike("(같습니다|같다)?[:：]\\s*$"), "lead").when(c("s").rlike("^\\s*\\d+[.)]\\s*\\S{1,12}$"), "header").when(c("s").rlike("^(이|본) (글|보고서)"), "intro")
-    return rows.select("id", kind.alias("kind"))
+    return table(spark, d, "orders").select("o_orderkey", s.alias("s")).select("o_orderkey", kind.alias("kind"))
 
 
 @query("fc19_relative_units", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'year' WHEN o_orderkey % 3 = 1 THEN 'quarter' END AS unit, o_orderkey % 3 = 0 OR (o_orderkey % 3 = 1 AND month(o_orderdate) % 3 = 0) AS accepted FROM orders")
