@@ -3,6 +3,7 @@
 import re
 import subprocess
 import sys
+from datetime import datetime, timezone
 from pathlib import Path
 
 import pytest
@@ -136,3 +137,32 @@ def test_nothing_else_imports_training_data():
     for path in (ROOT / "tidewell").rglob("*.py"):
         if "llm" not in path.parts:
             assert "tidewell.llm" not in path.read_text() and "from .llm" not in path.read_text()
+
+
+def test_quoted_fields(spark):
+    lines = spark.createDataFrame([('1,"a, ""b""",3.5,Y,"text, more"',), ("2,,x",), ("",)], "line string")
+    out = readers.products(lines).collect()
+    assert [tuple(r) for r in out] == [("1", 'a, "b"', 3.5, True, "text, more"), ("2", "", None, None, None), ("", None, None, None, None)]
+    bars = spark.createDataFrame([('1700000000000,"1,000.5",2,3,4,5,6,7,8,9,10,11',)], "line string")
+    assert readers.klines(bars).first().high == 2.0
+
+
+def test_references_are_decoded_once(spark):
+    said = "a &amp;lt; b &#233; &#x1F600; &nbsp;c &#0; &#99999999; &bogus; &#xD800;x"
+    out = spark.createDataFrame([(said,), ("",), (None,)], "t string").select(readers.unescaped(F.col("t")).alias("u")).collect()
+    assert [r.u for r in out] == ["a &lt; b é \U0001f600  c \ufffd &#99999999; &bogus; \ufffdx", "", None]
+
+
+def test_cooldown_state_ends(spark, tmp_path):
+    """State of keys whose cooldown the watermark has passed is dropped."""
+    def day(i):
+        return datetime(2024, 1, i, tzinfo=timezone.utc)
+
+    folder, schema = str(tmp_path / "in"), "user_id long, event_type string, ts timestamp, event_id long"
+    for i in range(1, 5):
+        spark.createDataFrame([(k, "a", day(3 * i), i * 10 + k) for k in range(3 * i, 3 * i + 3)], schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    done = windows.cooldown(stream, 3600).writeStream.format("memory").queryName("cool").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    done.awaitTermination()
+    assert spark.table("cool").count() == 12
+    assert done.lastProgress["stateOperators"][0]["numRowsTotal"] < 12

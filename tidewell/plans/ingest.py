@@ -48,11 +48,11 @@ def src03(spark, d):
 
 def _customer_lines(spark, d):
     c = table(spark, d, "customer")
-    line = F.concat_ws(",", "c_mktsegment", "c_nationkey", F.when(F.col("c_custkey") % 11 == 0, "n/a").otherwise(F.col("c_acctbal").cast("string")), F.when(F.col("c_custkey") % 7 == 0, "3.0").otherwise(F.col("c_custkey").cast("string")))
+    line = F.concat_ws(",", F.format_string('"%s, ""all"""', "c_mktsegment"), "c_nationkey", F.when(F.col("c_custkey") % 11 == 0, "n/a").otherwise(F.col("c_acctbal").cast("string")), F.when(F.col("c_custkey") % 7 == 0, "3.0").otherwise(F.col("c_custkey").cast("string")))
     return c.select(F.when(F.col("c_custkey") % 13 == 0, F.lit("broken,line")).otherwise(line).alias("line"))
 
 
-@query("src05_credit_lines", """SELECT c_mktsegment AS grp, c_nationkey::BIGINT AS nation, CASE WHEN c_custkey % 11 <> 0 THEN c_acctbal END AS score, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey END AS cnt FROM customer WHERE c_custkey % 13 <> 0""")
+@query("src05_credit_lines", """SELECT c_mktsegment || ', "all"' AS grp, c_nationkey::BIGINT AS nation, CASE WHEN c_custkey % 11 <> 0 THEN c_acctbal END AS score, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey END AS cnt FROM customer WHERE c_custkey % 13 <> 0""")
 def src05(spark, d):
     wanted = {"grp": ("segment", 9), "nation": ("nation", 9), "score": ("missing", 2), "cnt": ("missing too", 3)}
     rows = S.credit(_customer_lines(spark, d), ["segment", "nation", "a", "b"], wanted)
@@ -61,17 +61,17 @@ def src05(spark, d):
 
 @query("src06_company_credit_lines", "SELECT s_nationkey::BIGINT AS nation, s_acctbal AS grade FROM supplier")
 def src06(spark, d):
-    s = table(spark, d, "supplier").select(F.concat_ws(",", "s_suppkey", "s_nationkey", "s_acctbal", "s_name").alias("line"))
+    s = table(spark, d, "supplier").select(F.concat_ws(",", F.format_string('"%d, Inc"', "s_suppkey"), "s_nationkey", "s_acctbal", "s_name").alias("line"))
     rows = S.credit(s, ["id", "nation", "grade", "name"], {"nation": ("nation", 0), "grade": ("grade", 0)})
     return rows.select(S.safe_int(F.col("nation")).alias("nation"), S.safe_float(F.col("grade")).alias("grade"))
 
 
 def _product_lines(spark, d):
     p = table(spark, d, "part")
-    return p.select(F.concat_ws(",", "p_partkey", "p_name", "p_retailprice", F.when(F.col("p_size") > 25, "y").otherwise("N"), F.repeat("p_type", 100)).alias("line"))
+    return p.select(F.concat_ws(",", "p_partkey", F.format_string('"%s, new"', "p_name"), "p_retailprice", F.when(F.col("p_size") > 25, "y").otherwise("N"), F.repeat("p_type", 100)).alias("line"))
 
 
-@query("src07_product_lines", "SELECT p_partkey::VARCHAR AS code, p_name AS name, p_retailprice AS rate, substr(repeat(p_type, 100), 1, 500) AS summary FROM part")
+@query("src07_product_lines", "SELECT p_partkey::VARCHAR AS code, p_name || ', new' AS name, p_retailprice AS rate, substr(repeat(p_type, 100), 1, 500) AS summary FROM part")
 def src07(spark, d):
     return S.products(_product_lines(spark, d)).drop("joinable")
 
@@ -88,7 +88,16 @@ def src11(spark, d):
     return p.select("page_id", S.parser_of(name, strict=False).alias("parser"))
 
 
-@query("src12_page_text")
+def _page_sql(html: str) -> str:
+    """The same cuts, tag by tag, and the references that the pages hold."""
+    for pattern in (*(f"<{t}\\b.*?</{t}\\s*>" for t in ("script", "style", "nav", "footer", "header")), "<!--.*?-->", "<[^>]*>"):
+        html = f"regexp_replace({html}, '{pattern}', ' ', 'gis')"
+    for name, mark in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("#x27", "''"), ("amp", "&")):
+        html = f"replace({html}, '&{name};', '{mark}')"
+    return f"trim(regexp_replace({html}, '\\s+', ' ', 'g'))"
+
+
+@query("src12_page_text", f"SELECT page_id, trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')) AS title, {_page_sql('html')} AS text FROM pages WHERE length({_page_sql('html')}) >= 100")
 def src12(spark, d):
     p = table(spark, d, "pages")
     title = F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
@@ -129,7 +138,7 @@ def src17(spark, d):
 def _trade_lines(spark, d):
     o = table(spark, d, "orders")
     kind = F.when(F.col("o_orderkey") % 2 == 0, "Entry Long").otherwise("Exit Long")
-    return o.select(F.concat_ws(",", "o_orderkey", kind, F.date_format("o_orderdate", "yyyy-MM-dd"), F.concat(((F.col("o_orderkey") * 37 % 201) - 100) / 10, F.lit("%"))).alias("line"))
+    return o.select(F.concat_ws(",", F.format_string('"%,d"', "o_orderkey"), kind, F.date_format("o_orderdate", "yyyy-MM-dd"), F.concat(((F.col("o_orderkey") * 37 % 201) - 100) / 10, F.lit("%"))).alias("line"))
 
 
 @query("src18_trade_lines", "SELECT strftime(o_orderdate, '%Y-%m-%d') AS time, round(((o_orderkey * 37 % 201) - 100) / 10 / 100, 6) AS profit FROM orders WHERE o_orderkey % 2 = 1")

@@ -6,6 +6,9 @@ file, a directory or a stream of files goes through the same code.
 
 from __future__ import annotations
 
+import csv
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,9 +22,16 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("line"), F.input_file_name().alias("file"))
 
 
-def fields(n: int, sep: str = ",") -> list[Column]:
-    parts = F.split("line", sep, -1)
-    return [F.trim(F.get(parts, F.lit(i))) for i in range(n)]
+def parsed(rows: DataFrame, n: int, sep: str = ",") -> DataFrame:
+    """rows with _f, the first n fields of the line, and _n, how many it has; quoted fields may hold separators and doubled quotes."""
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    whole = F.from_csv("line", ", ".join(f"_{i} string" for i in range(n)), options)
+    return rows.withColumns({"_f": whole, "_n": F.size(F.split(F.regexp_replace("line", '"[^"]*"', ""), re.escape(sep), -1))})
+
+
+def field(i: int) -> Column:
+    """A field of a parsed line: trimmed, empty where nothing stands, null where the line is too short."""
+    return F.when(F.col("_n") > i, F.trim(F.coalesce(F.col(f"_f._{i}"), F.lit(""))))
 
 
 def safe_float(x: Column) -> Column:
@@ -42,10 +52,9 @@ def micros(t: Column) -> Column:
 
 def klines(rows: DataFrame) -> DataFrame:
     """Minute bars from 12-column lines; header lines, whose first field is no number, are left out."""
-    f = fields(12)
-    rows = rows.withColumn("_t", f[0].try_cast("bigint")).where("_t is not null").withColumn("open_time", micros(F.col("_t")))
+    rows = parsed(rows, 12).withColumn("_t", field(0).try_cast("bigint")).where("_t is not null").withColumn("open_time", micros(F.col("_t")))
     names = {"open": 1, "high": 2, "low": 3, "close": 4, "volume": 5, "taker": 9}
-    return rows.select("open_time", *[f[i].try_cast("double").alias(n) for n, i in names.items()], (F.col("open_time") + MINUTE).alias("t_close"), *[c for c in ("file",) if c in rows.columns])
+    return rows.select("open_time", *[field(i).try_cast("double").alias(n) for n, i in names.items()], (F.col("open_time") + MINUTE).alias("t_close"), *[c for c in ("file",) if c in rows.columns])
 
 
 def kline_range(rows: DataFrame) -> DataFrame:
@@ -57,14 +66,12 @@ def kline_range(rows: DataFrame) -> DataFrame:
 def credit(rows: DataFrame, header: list[str], wanted: dict[str, tuple[str, int]], least: int = 4) -> DataFrame:
     """Typed credit rows: a wanted column is found by name in the header, else by position; short lines are left out."""
     at = {out: header.index(name) if name in header else place for out, (name, place) in wanted.items()}
-    f = fields(max(at.values()) + 1)
-    return rows.where(F.size(F.split("line", ",", -1)) >= least).select(*[f[i].alias(out) for out, i in at.items()])
+    return parsed(rows, max(at.values()) + 1).where(F.col("_n") >= least).select(*[field(i).alias(out) for out, i in at.items()])
 
 
 def products(rows: DataFrame, summary: int = 500) -> DataFrame:
     """Products: code, name, rate, joinable (Y) and a summary cut to its field's length."""
-    f = fields(5)
-    return rows.select(f[0].alias("code"), f[1].alias("name"), safe_float(f[2]).alias("rate"), (F.upper(f[3]) == "Y").alias("joinable"), F.substring(f[4], 1, summary).alias("summary"))
+    return parsed(rows, 5).select(field(0).alias("code"), field(1).alias("name"), safe_float(field(2)).alias("rate"), (F.upper(field(3)) == "Y").alias("joinable"), F.substring(field(4), 1, summary).alias("summary"))
 
 
 #: Header names that trade lists use for each column.
@@ -73,11 +80,11 @@ TRADE_ALIASES = {"kind": ("type", "trade type"), "time": ("date/time", "date"),
 
 def trades(rows: DataFrame, header: str) -> DataFrame:
     """Exit rows of a trade list: kind, time and profit as a share; the header may start with a byte order mark."""
-    names = [h.strip().lower() for h in header.lstrip("﻿").split(",")]
+    names = [h.strip().lower() for h in next(csv.reader([header.lstrip("\ufeff")]))]
     at = {k: next(names.index(a) for a in aliases if a in names) for k, aliases in TRADE_ALIASES.items()}
-    f = fields(len(names))
-    profit = F.regexp_replace(f[at["profit"]], "[%\\s]", "").try_cast("double") / 100
-    return rows.where(F.lower(f[at["kind"]]).startswith("exit")).select(f[at["kind"]].alias("kind"), f[at["time"]].alias("time"), profit.alias("profit"))
+    profit = F.regexp_replace(field(at["profit"]), "[%\\s]", "").try_cast("double") / 100
+    kind, at_time = field(at["kind"]), field(at["time"])
+    return parsed(rows, len(names)).where(F.lower(kind).startswith("exit")).select(kind.alias("kind"), at_time.alias("time"), profit.alias("profit"))
 
 
 def candle_arrays(rows: DataFrame) -> DataFrame:
@@ -95,10 +102,29 @@ def markdown_text(text: Column) -> Column:
 
 
 def page_text(html: Column) -> Column:
-    """Text of a page without scripts, styles, menus, headers and footers; white space single."""
+    """Text of a page without scripts, styles, menus, headers and footers; white space single, references of marks decoded."""
     text = F.regexp_replace(html, r"(?is)<(script|style|nav|footer|header)\b.*?</\1\s*>", " ")
     text = F.regexp_replace(F.regexp_replace(text, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(unescaped(text), r"\s+", " "))
+
+
+#: Character references of marks; the one of the ampersand comes last, so that nothing is decoded twice.
+REFERENCES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "reg": "®", "hellip": "…", "mdash": "—", "ndash": "–", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "middot": "·", "euro": "€"}
+
+
+def unescaped(text: Column) -> Column:
+    """Text with its character references decoded: numbers, and the names of REFERENCES."""
+    parts = F.split(text, r"&#(?=[0-9]{1,7};|[xX][0-9a-fA-F]{1,6};)")
+    digits = lambda p: F.regexp_extract(p, r"^([xX]?[0-9a-fA-F]+);", 1)
+    value = lambda p: F.when(F.lower(digits(p)).startswith("x"), F.conv(F.substring(digits(p), 2, 6), 16, 10).cast("int")).otherwise(digits(p).try_cast("int"))
+    symbol = lambda p: F.coalesce(F.decode(F.unhex(F.lpad(F.hex(value(p)), 8, "0")), "UTF-32"), F.lit(""))
+    known = lambda p: value(p).between(1, 0x10FFFF) & ~value(p).between(0xD800, 0xDFFF)
+    after = lambda p: F.regexp_replace(p, r"^[xX]?[0-9a-fA-F]+;", "")
+    rest = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.concat(F.when(known(p), symbol(p)).otherwise(F.lit("\ufffd")), after(p)))
+    text = F.concat(parts[0], F.array_join(rest, ""))
+    for name, mark in REFERENCES.items():
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(mark))
+    return F.replace(text, F.lit("&amp;"), F.lit("&"))
 
 
 #: Kinds of documents by extension.

@@ -48,11 +48,12 @@ def over_limit(events: DataFrame, width: str = "1 minute", limit: int = 2, late:
     return made.where(c("n") > limit).select("user_id", c("w.start").alias("time"), "n", (c("n") - limit).alias("refused"))
 
 
-def cooldown(events: DataFrame, seconds: int = 86_400, keys: tuple[str, ...] = ("user_id", "event_type")) -> DataFrame:
+def cooldown(events: DataFrame, seconds: int = 86_400, keys: tuple[str, ...] = ("user_id", "event_type"), late: str = "1 day") -> DataFrame:
     """Events that are the first of their key, or come `seconds` after the last one let through.
 
-    State is one time a key and ends with its cooldown. Rows of a micro-batch are taken in
-    order of time; a later batch does not undo an earlier one.
+    State is one time a key and is dropped once the watermark has passed its cooldown, as
+    any event to come is free then. Rows of a micro-batch are taken in order of time; a later
+    batch does not undo an earlier one. Events later than `late` are left out.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -68,11 +69,12 @@ def cooldown(events: DataFrame, seconds: int = 86_400, keys: tuple[str, ...] = (
             last = now if free else last
             keep.append(free)
         state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield rows.loc[keep, [*keys, "ts", "event_id"]]
 
     schema = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys) + ", ts timestamp, event_id long"
-    rows = events.select(*keys, "ts", "event_id").withWatermark("ts", "1 day")
-    return rows.groupBy(*keys).applyInPandasWithState(step, schema, "last long", "append", GroupStateTimeout.NoTimeout)
+    rows = events.select(*keys, "ts", "event_id").withWatermark("ts", late)
+    return rows.groupBy(*keys).applyInPandasWithState(step, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
