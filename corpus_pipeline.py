@@ -34,8 +34,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot of each row."""
-    return sharding.shard(sharding.shard_keys(docs), SHARDS).select("doc_id", "size", "text_crc32", "shard", "slot")
+    """doc_id, size, text_crc32, shard and slot of each row, and the text that goes there."""
+    placed = sharding.shard_documents(docs, SHARDS)
+    return sharding.shard_keys(placed, "shard", "slot", "source", "text")
 
 
 STAGES = [("quality rules", quality), ("n-gram join", near_duplicates), ("decontamination", decontamination), ("mixing", mix), ("sharding", shards)]

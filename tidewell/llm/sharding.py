@@ -84,10 +84,10 @@ def shard(rows: DataFrame, shards: int, seed: int = 17) -> DataFrame:
     return placed.withColumns({"shard": F.expr(f"int(_p % {shards})"), "slot": F.expr(f"_p div {shards}")}).drop("_p")
 
 
-def shard_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, size (UTF-8 bytes of the text, null: none, plus 16) and text_crc32 of each row."""
+def shard_keys(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, size (UTF-8 bytes of the text, null: none, plus 16) and text_crc32 of each row, and more columns as they are."""
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select(F.col("doc_id"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
+    return docs.select(F.col("doc_id"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), *more)
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, seed: int = 17) -> DataFrame:
