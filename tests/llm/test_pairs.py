@@ -214,6 +214,40 @@ def test_longest_matches_have_places(spark):
     assert [tuple(s) for s in row.spans] == [(4, 3, 0, 15)]
 
 
+def test_matches_are_maximal(spark):
+    """Every place where a match begins that no match from the place before holds, with its greatest length and a true location."""
+    rng = random.Random(12)
+    items = [(i, " ".join(words(rng, rng.choice((2, 5, 12, 30)), 3))) for i in range(12)]
+    docs = [(i, " ".join(words(rng, rng.randrange(5, 60), 3) + rng.choice(items)[1].split() + ["-"] + rng.choice(items)[1].split()[:20])) for i in range(25)]
+    out = decontaminate.find_matches(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string"), window=6)
+    tests = [(i, t.split()) for i, t in items]
+    long = [(i, t) for i, t in tests if len(t) >= 6]
+    for r in out.collect():
+        w = brute.item_words(r.text)
+
+        def longest(p):
+            return max((n for _, t in long for a in range(len(t)) for n in [next((k for k in range(min(len(w) - p, len(t) - a)) if w[p + k] != t[a + k]), min(len(w) - p, len(t) - a))]), default=0)
+
+        at = [longest(p) for p in range(len(w))]
+        want = {(p, n) for p, n in enumerate(at) if n >= 6 and not (p and at[p - 1] > n)}
+        short = {(p, len(t)) for _, t in tests if len(t) < 6 for p in range(len(w)) if w[p : p + len(t)] == t}
+        assert {(s.doc_start, s.length) for s in r.spans} == want | short
+        for s in r.spans:
+            assert any(i == s.item_id and t[s.item_start : s.item_start + s.length] == w[s.doc_start : s.doc_start + s.length] for i, t in tests)
+
+
+def test_repetitive_texts_take_linear_space(spark):
+    """A repetition of 20,000 words against itself, and a phrase of 20,000 items that a document repeats."""
+    items = [(1, "a b c " * 7_000)] + [(i, f"the phrase that every one of these items does hold in it {i}") for i in range(2, 20_000)]
+    docs = [(1, "a b c " * 7_000), (2, "the phrase that every one of these items does hold in it . " * 50), (3, "the phrase that nobody knows")]
+    d, t = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    out = {r.doc_id: r for r in decontaminate.judged(decontaminate.find_matches(d, t)).collect()}
+    assert out[1].n_hit == 21_000 and [s.length for s in out[1].spans] == [21_000]
+    assert out[2].n_hit == 50 * 12 and len(out[2].spans) == 50 and len(out[2]["items"]) == 19_998
+    assert not out[3].contaminated and not out[3].spans
+    assert {r.doc_id for r in decontaminate.remove_contaminated(d, t).collect()} == {3}
+
+
 def test_contamination_edges(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, None)], SCHEMA)
