@@ -406,13 +406,10 @@ def test_classifier_edges(spark):
 @pytest.fixture(scope="module")
 def unigram():
     """The public library's own unigram search over the same pieces."""
-    import sentencepiece
     from tokenizers import Tokenizer, models
 
-    m = sentencepiece.SentencePieceProcessor(model_file=token_counts.TOKENIZER)
-    vocab = [(m.id_to_piece(i), m.get_score(i)) for i in range(m.get_piece_size())]
-    drop = {i for i in range(len(vocab)) if m.is_control(i) or m.is_byte(i) or m.is_unknown(i)}
-    kept = [("<unk>", 0.0)] + [(p, s) for i, (p, s) in enumerate(vocab) if i not in drop]
+    scores, _ = token_counts.vocabulary(token_counts.TOKENIZER)
+    kept = [("<unk>", 0.0), *scores.items()]
     return Tokenizer(models.Unigram(kept, 0, False))
 
 
@@ -427,6 +424,23 @@ def test_counts_equal_the_library(unigram):
         assert counter(text)[0] == len(unigram.encode(plain).ids), text
 
 
+def test_counts_are_near_the_files_own():
+    """The file's own byte-pair merges give as many tokens to a few percent on ordinary text."""
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=token_counts.TOKENIZER)
+    counter = token_counts.Counter(*token_counts.vocabulary(token_counts.TOKENIZER))
+    for text in ("The quick brown fox jumps over the lazy dog. It was the best of times, it was the worst of times, and everybody knew it.", "international understanding of things"):
+        assert abs(counter(text)[0] / len(own.encode(text)) - 1) < 0.05
+
+
+def test_a_long_text_without_spaces():
+    counter = token_counts.Counter(*token_counts.vocabulary(token_counts.TOKENIZER))
+    started = time.process_time()
+    assert counter("".join(random.Random(1).choices("abcdefgh", k=300_000)))[0] > 60_000
+    assert time.process_time() - started < 10
+
+
 def test_bytes_stand_for_unknown_characters():
     scores, has_bytes = token_counts.vocabulary(token_counts.TOKENIZER)
     counter = token_counts.Counter(scores, has_bytes)

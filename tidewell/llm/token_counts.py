@@ -7,6 +7,7 @@ one whose last piece starts first stays, which is the tokenizer's rule.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -20,16 +21,24 @@ from .common import pieces, table
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
+#: The offset in the Zipf-Mandelbrot law: a piece of rank r has a probability in proportion to 1 / (r + offset).
+RANK_OFFSET = 200
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segments whose counts a task keeps; the table is emptied when full.
 MEMO = 500_000
 
 
 def vocabulary(path: str) -> tuple[dict[str, float], bool]:
-    """Pieces and scores of a sentencepiece file read as a unigram vocabulary; whether bytes stand for unknown characters."""
+    """Pieces and log-probabilities of a sentencepiece file; whether bytes stand for unknown characters.
+
+    A unigram file's scores are taken as they are. A byte-pair file has ranks for scores, all whole
+    numbers: a piece's rank then gives its probability by the Zipf-Mandelbrot law.
+    """
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = range(model.get_piece_size())
     plain = {model.id_to_piece(i): model.get_score(i) for i in ids if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i))}
+    if all(s == int(s) for s in plain.values()):
+        plain = {p: -math.log(RANK_OFFSET - s) for p, s in plain.items()}
     return plain, any(model.is_byte(i) for i in ids)
 
 
