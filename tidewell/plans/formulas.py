@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewell.catalog import query
 from tidewell.functions import rolling as R
 from tidewell.operators import backtest as B
+from tidewell.operators import formula as X
 from tidewell.operators import indicators as I
 from tidewell.sources.views import candles
 
@@ -123,3 +124,44 @@ def fx07(spark, d):
 
     e = table(spark, d, "events")
     return e.groupBy("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.max("event_id").alias("version"))
+
+
+#: User formulas, and the same in SQL over bars with row numbers.
+USER = {
+    "z": ("(close - mean(close, n)) / std(close, n)", f"(close - {O.roll('avg', 'close', 20)}) / nullif({O.roll('stddev_samp', 'close', 20)}, 0)"),
+    "breakout": ("close / highest(shift(close, 1), 20) - 1", f"close / nullif({O.prior('max', 'close', 20)}, 0) - 1"),
+    "picked": ("where(close > sma(close, 20) and not close < open, 1, 0) + nz(shift(close, 1) / close - 1)", f"CASE WHEN coalesce(close > {O.roll('avg', 'close', 20)}, false) AND NOT close < open THEN 1 ELSE 0 END + coalesce({O.lag('close')} / close - 1, 0)"),
+    "bounded": ("clip(pct_change(close, 5), -0.05, 0.05) * 10 ** 2", f"CASE WHEN {O.lag('close', 5)} IS NOT NULL THEN greatest(least(close / {O.lag('close', 5)} - 1, 0.05), -0.05) * 100 END"),
+    "index": ("zscore(obv(), 20)", f"(obv - {O.roll('avg', 'obv', 20)}) / nullif({O.roll('stddev_samp', 'obv', 20)}, 0)"),
+}
+CONDITIONS = {
+    "calm": ("-300 < change(close) / 2 ** 2 < 300 or volume % 7 == 0", f"coalesce((close - {O.lag('close')}) / 4 > -300 AND (close - {O.lag('close')}) / 4 < 300, false) OR volume % 7 = 0"),
+    "recent": ("barssince(close > open) <= m", f"coalesce(bar - last_value(CASE WHEN close > open THEN bar END IGNORE NULLS) OVER ({O.W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= 2, false)"),
+    "other": ("change(close, 2) != shift(close, 3) | (close >= typical()) & True", f"coalesce(close - {O.lag('close', 2)} <> {O.lag('close', 3)}, true) OR close >= {_TY}"),
+}
+_SIGNED = f"mv AS (SELECT *, sum(coalesce(sign(close - before), 0) * volume) OVER ({O.W}) AS obv FROM (SELECT *, {O.lag('close')} AS before, row_number() OVER ({O.W}) AS bar FROM candles))"
+
+
+def _compiled(spark, d, formulas, parameters):
+    df = candles(spark, d)
+    for name, (text, _) in formulas.items():
+        df = X.with_formula(df, text, name, parameters)
+    return df
+
+
+@query("fx00_user_formulas", f"{C}, {_SIGNED} SELECT symbol, time, " + ", ".join(f"round({s}, 6) AS {n}" for n, (_, s) in USER.items()) + " FROM mv")
+def fx00(spark, d):
+    """Texts of formulas as columns: parameters, nested functions, powers and running sums."""
+    return _compiled(spark, d, USER, {"n": 20}).select("symbol", "time", *[F.round(n, 6).alias(n) for n in USER])
+
+
+@query("fx01_user_conditions", f"{C}, {_SIGNED} SELECT symbol, time, " + ", ".join(f"{s} AS {n}" for n, (_, s) in CONDITIONS.items()) + " FROM mv")
+def fx01(spark, d):
+    """Texts of conditions: chains of comparisons, both kinds of and and or, missing values."""
+    return _compiled(spark, d, CONDITIONS, {"m": 2}).select("symbol", "time", *CONDITIONS)
+
+
+@query("fx02_user_positions", f"{C}, {O.moves('candles', 'mv')}, {positions_sql('mv', *TEMPLATE_SQL['trend'], name='p', entry_wins=True)} SELECT symbol, time, position FROM p")
+def fx02(spark, d):
+    """The trend template from its text: validated, compiled and held."""
+    return X.run(candles(spark, d), "close / sma(close, n) - 1", "close > sma(close, n)", "close < sma(close, n)", {"n": 60}).select("symbol", "time", "position")
