@@ -19,7 +19,23 @@ from pyspark.sql import types as T
 Segment = Callable[[Any, pd.DataFrame], tuple[Any, pd.DataFrame]]
 
 
-def fold(df: DataFrame, keys: list[str], order: list[str], added: str, segment: Segment) -> DataFrame:
+class RowStep:
+    """A step for each row; a batch of many short keys is walked through once, without a frame for each key."""
+
+    def __init__(self, step: Callable[[Any, Any], tuple[Any, tuple]], names: list[str]):
+        self.step, self.names = step, names
+
+    def walk(self, last: Any, state: Any, keys: list, rows: pd.DataFrame) -> tuple[Any, Any, list[tuple]]:
+        out = []
+        for key, row in zip(keys, rows.itertuples(index=False), strict=True):
+            if key != last:
+                last, state = key, None
+            state, values = self.step(state, row)
+            out.append(values)
+        return last, state, out
+
+
+def fold(df: DataFrame, keys: list[str], order: list[str], added: str, segment: Segment | RowStep) -> DataFrame:
     """df with the columns `added` (a DDL string).
 
     segment(state, rows) gets consecutive rows of one key, the state it returned for the
@@ -35,6 +51,10 @@ def fold(df: DataFrame, keys: list[str], order: list[str], added: str, segment:
             if rows.empty:
                 continue
             values = list(zip(*(rows[k].astype(object).where(rows[k].notna(), None) for k in keys), strict=True))
+            if isinstance(segment, RowStep):
+                last, state, added_values = segment.walk(last, state, values, rows)
+                yield rows.assign(**{n: pd.Series([v[i] for v in added_values], index=rows.index, dtype=object) for i, n in enumerate(segment.names)})[names]
+                continue
             starts = [0] + [i for i in range(1, len(values)) if values[i] != values[i - 1]] + [len(values)]
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 if values[a] != last:
@@ -71,14 +91,6 @@ def ewm(df: DataFrame, smooth: dict[str, tuple[str, float] | Callable[[pd.DataFr
     return fold(df, list(keys), list(order), ", ".join(f"{n} double" for n in smooth), segment)
 
 
-def by_row(step: Callable[[Any, Any], tuple[Any, tuple]], names: list[str]) -> Segment:
-    """A segment from step(state, row) -> (state, values of the added columns)."""
-
-    def segment(state, rows):
-        out = []
-        for row in rows.itertuples(index=False):
-            state, values = step(state, row)
-            out.append(values)
-        return state, rows.assign(**{n: pd.Series([v[i] for v in out], index=rows.index, dtype=object) for i, n in enumerate(names)})
-
-    return segment
+def by_row(step: Callable[[Any, Any], tuple[Any, tuple]], names: list[str]) -> RowStep:
+    """A fold from step(state, row) -> (state, values of the added columns)."""
+    return RowStep(step, names)

@@ -109,15 +109,17 @@ def buy_cap(qty: Column, price: Column, held: Column, equity: Column, percent: f
     return F.greatest(F.least(qty, room), F.lit(0)).cast("long")
 
 
-def allocate(returns: DataFrame, days: int = 756, prior: float = 0.07) -> DataFrame:
+def allocate(returns: DataFrame, days: int = 756, prior: float = 0.07, most: int = 500) -> DataFrame:
     """symbol, weight, expected and volatility of a long-only blend of least variance and shrunk means.
 
     Means and covariances of common dates are aggregated by Spark; the matrix has a row
-    for each symbol of a chosen universe and is solved on the driver. Weights stay in
-    5 % to 60 % before they are scaled to 1.
+    for each symbol of a chosen universe, of at most `most` symbols, and is solved on the driver;
+    a larger one is an error. Weights stay in 5 % to 60 % before they are scaled to 1.
     """
     spark = returns.sparkSession
     n = returns.select("symbol").distinct().count()
+    if n > most:
+        raise ValueError(f"a universe of {n} symbols is more than the {most} that one matrix is solved for")
     common = returns.groupBy("time").agg(F.count("*").alias("k")).where(c("k") == n).select("time").orderBy(F.desc("time")).limit(days)
     rows = returns.join(common, "time", "left_semi").select("time", "symbol", "ret")
     pairs = rows.join(rows.select("time", c("symbol").alias("other"), c("ret").alias("ret2")), "time").groupBy("symbol", "other").agg(F.covar_samp("ret", "ret2").alias("cov"), F.avg("ret").alias("mean"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut, mark, release
+
 
 def counts_by_score(df: DataFrame, *keys: str, p: str = "p", y: str = "y", w: Column | None = None) -> DataFrame:
     """Weighted positives and negatives of each distinct score: what all rank statistics need, combined map-side."""
@@ -16,14 +18,34 @@ def counts_by_score(df: DataFrame, *keys: str, p: str = "p", y: str = "y", w: Co
     return df.groupBy(*keys, p).agg(F.sum(F.when(F.col(y) == 1, w).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col(y) == 0, w).otherwise(0.0)).alias("neg"))
 
 
+#: Cells of equal width between scores 0 and 1 in which running sums are taken; other scores fall into the outer ones.
+CELLS = 4096
+
+
+def below(counts: DataFrame, keys: list[str], p: str, x: str) -> DataFrame:
+    """counts with _below: the sum of x over the smaller scores of the key.
+
+    Sums within cells and over the cells before, so that no task orders more than a cell's
+    distinct scores or the cells themselves.
+    """
+    cell = F.floor(F.least(F.greatest(F.col(p).cast("double"), F.lit(-1.0)), F.lit(2.0)) * CELLS)
+    celled = counts.withColumn("_cell", cell)
+    sums = celled.groupBy(*keys, "_cell").agg(F.sum(x).alias("_sum"))
+    before = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "_cell", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_before"))
+    inside = F.coalesce(F.sum(x).over(Window.partitionBy(*keys, "_cell").orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*keys, "_cell")]
+    joined = celled.withColumn("_inside", inside).alias("l").join(sums.alias("r"), same)
+    return joined.select(*[F.col(f"l.{c}").alias(c) for c in counts.columns], (F.col("_inside") + F.col("_before")).alias("_below"))
+
+
 def auc(df: DataFrame, *keys: str, p: str = "p", y: str = "y", w: Column | None = None) -> DataFrame:
     """keys and auc: the chance that a positive scores above a negative, ties half; null for one class.
 
-    Rows are counted by score first, so the ordered window runs over distinct scores.
+    Rows are counted by score first, so ordered windows run over distinct scores.
     """
-    c = counts_by_score(df, *keys, p=p, y=y, w=w)
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*(keys or [F.lit(1)])).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    won = c.withColumn("_won", F.col("pos") * (below + F.col("neg") / 2))
+    c = below(counts_by_score(df, *keys, p=p, y=y, w=w), list(keys), p, "neg")
+    won = c.withColumn("_won", F.col("pos") * (F.col("_below") + F.col("neg") / 2))
     return won.groupBy(*keys).agg(F.try_divide(F.sum("_won"), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
@@ -150,23 +172,19 @@ def verdict(low: Column, high: Column, margin: float) -> Column:
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component) of the nodes in edges (a, b): the smallest node reachable.
 
-    Labels spread with pointer jumping; each round is a shuffle by node, with lineage cut
-    by a checkpoint where the session has a checkpoint folder.
+    Labels spread with pointer jumping; each round is a shuffle by node and a written
+    table, of which the one before is deleted.
     """
-    spark = edges.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    both = keep(both)
-    labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")))
+    spark, both = edges.sparkSession, cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    since = mark()
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")))
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
         step = labels.join(near, "node").select("node", F.least("component", "m").alias("c"))
         jump = step.alias("s").join(step.select(F.col("node").alias("c"), F.col("c").alias("cc")), "c").select("node", F.least("c", "cc").alias("component"))
-        after = keep(jump)
+        after = cut(jump)
         changed = after.alias("n").join(labels.alias("o"), "node").where("n.component <> o.component").limit(1).count()
+        release(spark, since, keep=1)
         labels = after
         if not changed:
             return labels

@@ -21,21 +21,29 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b) + 1e-12)
 
 
-def search(points: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", where: Column | None = None, most_queries: int = 10_000) -> DataFrame:
-    """query, key, sim and place of the k best points of each query, smaller keys first on ties.
+def similarities(points: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", keep: tuple[str, ...] = (), most_queries: int = 10_000) -> DataFrame:
+    """query, key, the columns to keep and sim of every point with every query.
 
     Points are never moved: a stated set of queries, counted before it is broadcast, meets
-    every point once, and each partition's best come together by query. More queries than
-    most_queries go in blocks by hash.
+    every point once. More queries than most_queries go in blocks by hash.
     """
-    pts = points if where is None else points.where(where)
-    pts = pts.select(key, c(vector).alias("_v"), norm(c(vector)).alias("_n"))
+    pts = points.select(key, *keep, c(vector).alias("_v"), norm(c(vector)).alias("_n"))
     qs = queries.select(c(key).alias("query"), c(vector).alias("_q"), norm(c(vector)).alias("_m"))
     blocks = max(1, -(-qs.count() // most_queries))
     found = None
     for b in range(blocks):
         part = qs if blocks == 1 else qs.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
-        sims = pts.crossJoin(F.broadcast(part)).select("query", key, (dot(c("_v"), c("_q")) / (c("_n") * c("_m") + 1e-12)).alias("sim"))
+        sims = pts.crossJoin(F.broadcast(part)).select("query", key, *keep, (dot(c("_v"), c("_q")) / (c("_n") * c("_m") + 1e-12)).alias("sim"))
         found = sims if found is None else found.unionByName(sims)
+    return found
+
+
+def search(points: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", where: Column | None = None, most_queries: int = 10_000) -> DataFrame:
+    """query, key, sim and place of the k best points of each query, smaller keys first on ties.
+
+    Each partition keeps its k best of a query (the optimiser's group limit, asserted in
+    the tests), and those come together by query.
+    """
+    found = similarities(points if where is None else points.where(where), queries, key, vector, (), most_queries)
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("sim", 9)), key))
     return found.withColumn("place", place).where(c("place") <= k)

@@ -75,28 +75,26 @@ def tx09(spark, d):
 
 
 _BG = "list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2)))"
-_PAIRS = f"""cl AS (SELECT item_id, regexp_replace(text, '\\s+', '', 'g') AS t FROM benchmark), cb AS (SELECT item_id, {_BG.format('t')} AS b FROM cl),
-br AS (SELECT item_id, lower(string_split(text, ' ')[1]) AS w FROM benchmark), dw AS (SELECT doc_id, regexp_replace(text, '\\s+', '', 'g') AS t, lower(string_split(text, ' ')[1]) AS w FROM documents),
-pr AS (SELECT cb.item_id, doc_id, round(len(list_intersect(b, {_BG.format('dw.t')})) / len(b), 8) AS score FROM cb JOIN br USING (item_id) JOIN dw ON dw.w = br.w)"""
+_PAIRS = f"""li AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents), sq AS (SELECT doc_id, line, regexp_replace(t, '\\s+', '', 'g') AS t FROM li),
+bg AS (SELECT doc_id, line, {_BG.format('t')} AS b FROM sq), pr AS (SELECT q.doc_id, p.line, round(coalesce(len(list_intersect(q.b, p.b)) / nullif(len(q.b), 0), 0), 8) AS score FROM bg q JOIN bg p USING (doc_id) WHERE q.line = 0 AND p.line > 0)"""
 
 
-@query("tx10_bigrams", f"WITH {_PAIRS} SELECT item_id, len(b) AS n FROM cb")
+@query("tx10_bigrams", f"SELECT item_id, len({_BG.format('t')}) AS n FROM (SELECT item_id, regexp_replace(text, '\\s+', '', 'g') AS t FROM benchmark)")
 def tx10(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.size(X.bigrams(c("text"))).alias("n"))
 
 
 def _pairs(spark, d):
-    """Claims with the passages that share their first word: a key join, not all pairs."""
-    first = F.lower(F.get(F.split("text", " "), F.lit(0)))
-    cl = table(spark, d, "benchmark").select("item_id", X.bigrams(c("text")).alias("b"), first.alias("w"))
-    ps = table(spark, d, "documents").select("doc_id", X.bigrams(c("text")).alias("p"), first.alias("w"))
-    # Bigrams are taken once a text, below the join.
-    return cl.join(ps, "w").select("item_id", "doc_id", F.round(X.recall(c("b"), c("p")), 8).alias("score"))
+    """Each document's first line as a claim, with the document's other lines as its passages: a claim meets its own ones only."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).select("doc_id", "line", X.bigrams(c("t")).alias("b"))
+    # Bigrams are taken once a line, below the join.
+    claim = lines.where("line = 0").select("doc_id", c("b").alias("q"))
+    return lines.where("line > 0").join(claim, "doc_id").select("doc_id", "line", F.round(X.recall(c("q"), c("b")), 8).alias("score"))
 
 
-@query("tx11_lexical_best", f"WITH {_PAIRS} SELECT item_id, max(score) AS score, arg_max(doc_id, row(score, -doc_id)) AS best FROM pr GROUP BY 1")
+@query("tx11_lexical_best", f"WITH {_PAIRS}, top AS (SELECT doc_id, max(score) AS score, arg_max(line, row(score, -line)) AS best FROM pr GROUP BY 1) SELECT doc_id, score, CASE WHEN score > 0 THEN best END AS best FROM top")
 def tx11(spark, d):
-    return X.lexical_best(_pairs(spark, d), "item_id", "doc_id", "score")
+    return X.lexical_best(_pairs(spark, d), "doc_id", "line", "score")
 
 
 @query("jon10_claim_passages", f"WITH {_PAIRS} SELECT * FROM pr WHERE score > 0.5")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.catalog import query
@@ -70,8 +71,8 @@ def vs07(spark, d):
 
 @query("tx30_max_cosine", f"WITH s AS (SELECT q.vec_id AS query, a.label, {SIM} AS sim FROM embeddings a, embeddings q WHERE q.vec_id % 100 = 0) SELECT query, label, round(max(sim), 6) AS best FROM s GROUP BY 1, 2")
 def tx30(spark, d):
-    pts, qs = table(spark, d, "embeddings"), _queries(spark, d).select(c("vec_id").alias("query"), c("embedding").alias("q"))
-    return pts.crossJoin(F.broadcast(qs)).groupBy("query", "label").agg(F.round(F.max(V.cosine(c("embedding"), c("q"))), 6).alias("best"))
+    sims = V.similarities(table(spark, d, "embeddings"), _queries(spark, d), keep=("label",))
+    return sims.groupBy("query", "label").agg(F.round(F.max("sim"), 6).alias("best"))
 
 
 @query("vs06_graph_context")
@@ -118,20 +119,38 @@ def gr03(spark, d):
     return n.join(r, c("n_regionkey") == c("r_regionkey")).select("n_name", "r_name").orderBy("n_name")
 
 
-_PATHS = """p AS (SELECT n_nationkey AS node, n_nationkey AS target, [n_nationkey] AS path, 0 AS hops FROM nation UNION ALL SELECT p.node, e.dst, list_append(p.path, e.dst), hops + 1 FROM p JOIN edges e ON e.src = p.target WHERE hops < 4 AND NOT list_contains(p.path, e.dst))"""
+def _layers(most: int, edges_: str) -> str:
+    """Breadth first in SQL: each layer's smallest paths to targets that no layer before reached."""
+    text, seen = "l0 AS (SELECT n_nationkey AS node, n_nationkey AS target, [n_nationkey::BIGINT] AS path FROM nation)", "SELECT node, target FROM l0"
+    for k in range(1, most + 1):
+        text += f", l{k} AS (SELECT p.node, e.dst AS target, min(list_append(p.path, e.dst::BIGINT)) AS path FROM l{k - 1} p JOIN {edges_} e ON e.src = p.target WHERE NOT EXISTS (SELECT 1 FROM ({seen}) s WHERE s.node = p.node AND s.target = e.dst) GROUP BY 1, 2)"
+        seen += f" UNION ALL SELECT node, target FROM l{k}"
+    return text
 
 
-@query("gr04_shortest_paths", f"WITH RECURSIVE {EDGES}, {_PATHS}, b AS (SELECT node, target, arg_min(path, row(hops, path)) AS path, min(hops) AS hops FROM p WHERE hops > 0 GROUP BY 1, 2) SELECT node, target, hops, array_to_string(path, '>') AS path FROM b")
-def gr04(spark, d):
-    starts = table(spark, d, "nation").select(c("n_nationkey").alias("node"))
-    found = G.shortest_paths(edges(spark, d), starts)
+def _paths_sql(edges_: str) -> str:
+    return f"{_layers(4, edges_)} " + " UNION ALL ".join(f"SELECT node, target, {k}::INT AS hops, array_to_string(path, '>') AS path FROM l{k}" for k in range(1, 5))
+
+
+def _shortest(spark, d, e):
+    found = G.shortest_paths(e, table(spark, d, "nation").select(c("n_nationkey").alias("node")))
     return found.select("node", "target", "hops", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
+@query("gr04_shortest_paths", f"WITH {EDGES}, {_paths_sql('edges')}")
+def gr04(spark, d):
+    return _shortest(spark, d, edges(spark, d))
+
+
+@query("gr04_strong_paths", f"WITH {EDGES}, strong AS (SELECT src, dst FROM (SELECT *, avg(weight) OVER (PARTITION BY src) AS usual FROM edges) WHERE weight > 1.2 * usual), {_paths_sql('strong')}")
+def gr04b(spark, d):
+    """Paths along edges well above their source's mean weight, which take more hops."""
+    e = edges(spark, d).withColumn("usual", F.avg("weight").over(Window.partitionBy("src"))).where(c("weight") > 1.2 * c("usual"))
+    return _shortest(spark, d, e.select("src", "dst"))
+
+
 @query("gr05_document_links", "SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 20")
 def gr05(spark, d):
     """The first 20 documents of each node."""
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     return table(spark, d, "documents").select("source", "doc_id", place.alias("place")).where("place <= 20").drop("place")

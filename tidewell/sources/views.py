@@ -156,20 +156,17 @@ facts AS (
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supply edges (src, dst, weight) from supplier nations to customer nations: each source's two largest."""
+    """Supply edges (src, dst, weight) from supplier nations to customer nations, of all pairs that trade."""
     li, o, c, s = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier"))
     joined = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, li.l_suppkey == s.s_suppkey)
-    counted = joined.where("s_nationkey <> c_nationkey").groupBy(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).agg(F.count("*").alias("weight"))
-    best = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))
-    return counted.withColumn("r", best).where("r <= 2").drop("r")
+    return joined.where("s_nationkey <> c_nationkey").groupBy(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).agg(F.count("*").alias("weight"))
 
 
 EDGES = """
-pairs AS (
+edges AS (
   SELECT s_nationkey AS src, c_nationkey AS dst, count(*) AS weight
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE s_nationkey <> c_nationkey GROUP BY 1, 2),
-edges AS (SELECT src, dst, weight FROM pairs QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 2)"""
+  WHERE s_nationkey <> c_nationkey GROUP BY 1, 2)"""
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
