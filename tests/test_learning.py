@@ -42,3 +42,17 @@ def test_clusters(spark):
     df = spark.createDataFrame([(str(i), float(i % 2 * 10 + i * 0.01)) for i in range(20)], "k string, x double")
     found, quality = L.clusters(df, ["x"], 2)
     assert quality > 0.9 and found.select("cluster").distinct().count() == 2
+
+
+def test_folds_are_ordered_blocks_of_equal_length(spark):
+    df = spark.createDataFrame([("a", i) for i in range(23)] + [("b", i) for i in range(3)], "symbol string, time int")
+    out = [(r.symbol, r.fold) for r in L.time_folds(df, 4).orderBy("symbol", "time").collect()]
+    assert [f for s, f in out if s == "a"] == [-1] * 7 + [k for k in range(4) for _ in range(4)]
+
+
+def test_forecast_rules(spark):
+    df = spark.createDataFrame([(0.0, 1, 0.6, 0.5), (0.01, 1, 0.51, 0.5), (9.0, -1, 0.52, 0.5), (-9.0, -1, 0.9, 0.5)], "f double, s int, a double, b double")
+    out = df.select(L.annualised(F.col("f")).alias("y"), *L.gated(F.col("s"), F.col("a"), F.col("b"), 0.5)).collect()
+    assert [r.y for r in out] == [0.0, round((1.01 ** 50.4 - 1) * 100, 2), 300.0, -90.0]
+    assert [(r.reliable, r.signal) for r in out] == [(True, 1), (False, 0), (True, -1), (True, -1)]
+    assert [r.confidence for r in out] == [0.675, 0.63, 0.635, 0.825]

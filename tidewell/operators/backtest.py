@@ -141,3 +141,14 @@ def annual(df: DataFrame, risk_free: float = 0.02) -> DataFrame:
     out = df.groupBy("symbol").agg(growth.alias("growth"), (F.coalesce(F.stddev_pop("_r"), F.lit(0.0)) * F.sqrt(F.lit(252.0)) * 100).alias("vol"), (F.avg("held") * 100).alias("invested"), F.count_if(F.col("_d") > 0.001).alias("changes"))
     ratio = F.coalesce(F.try_divide(F.col("growth") / 100 - risk_free, F.col("vol") / 100), F.lit(0.0))
     return out.select("symbol", F.round("growth", 4).alias("growth"), F.round("vol", 4).alias("volatility"), F.round(ratio, 4).alias("sharpe"), F.round("invested", 4).alias("invested"), "changes")
+
+
+def warm_up_days(strategy: str, long_window: int = 60, breakout_window: int = 20) -> int:
+    """Calendar days before the first one asked for that a strategy's windows need: twice their bars and a margin."""
+    return {"ma_cross": 2 * long_window + 15, "momentum": 2 * breakout_window + 15}.get(strategy, 0)
+
+
+def warmed(bars: DataFrame, strategy: str, first_day: Column, long_window: int = 60, breakout_window: int = 20) -> DataFrame:
+    """bars from the warm-up of a strategy on, with asked: whether they belong to the time asked for."""
+    from_day = F.date_sub(first_day, warm_up_days(strategy, long_window, breakout_window))
+    return bars.where(F.to_date("time") >= from_day).withColumn("asked", F.to_date("time") >= first_day)

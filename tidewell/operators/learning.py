@@ -10,7 +10,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -100,6 +100,57 @@ def forecast(df: DataFrame, features: list[str], target: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "model string, rmse double, mae double")
 
 
+def time_folds(df: DataFrame, folds: int, key: str = "symbol", time: str = "time") -> DataFrame:
+    """df with fold: 0 .. folds - 1 for the blocks of equal length at the end of each key's rows, -1 before them.
+
+    Fold k is tested on block k and learnt on all rows before it.
+    """
+    i, n = F.row_number().over(Window.partitionBy(key).orderBy(time)) - 1, F.count("*").over(Window.partitionBy(key))
+    block = F.floor(n / (folds + 1))
+    return df.withColumn("fold", F.greatest(F.floor(F.try_divide(i - (n - folds * block), block)), F.lit(-1)).cast("int"))
+
+
+def selected_forecast(df: DataFrame, features: list[str], target: str, label: str, folds: int = 4) -> DataFrame:
+    """symbol, model, r2 and the forecast of each symbol's last row, with its direction, gate and confidence.
+
+    df has the features, target (the return of the next bars, null at the end) and label (-1, 0, 1).
+    The model with the best mean r2 over time folds is learnt again on all rows. The
+    forecast is clipped to a fifth, then annualised and clipped to -90 % .. 300 %. A direction
+    counts if its classifier beats the most frequent class by two points on the last fifth of
+    the symbol's rows, else it is 0. Confidence is half from r2 and half from that accuracy.
+    """
+    data = time_folds(df.where(F.col(target).isNotNull()).withColumn("label", F.col(target).cast("double")), folds).cache()
+    models = {"ridge": LinearRegression(regParam=1.0, elasticNetParam=0.0), "boosting": GBTRegressor(maxIter=10, maxDepth=3, stepSize=0.1, seed=1)}
+    score = RegressionEvaluator(metricName="r2")
+    fitted = lambda name, rows: Pipeline(stages=[*prepared(features), models[name]]).fit(rows)
+    means = {name: sum(score.evaluate(fitted(name, data.where(F.col("fold") < k)).transform(data.where(F.col("fold") == k))) for k in range(folds)) / folds for name in models}
+    best = max(means, key=means.get)
+    last = df.withColumn("_n", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("time")))).where("_n = 1")
+    forecast_ = fitted(best, data).transform(last).select("symbol", F.col("prediction").alias("forecast"))
+
+    tested = classify(data.drop("label").withColumnRenamed("fold", "_fold"), features, label, "boosting")
+    share = Window.partitionBy("symbol")
+    common = tested.groupBy("symbol", label).count().select("symbol", F.max("count").over(share).alias("_most"), F.sum("count").over(share).alias("_all")).distinct()
+    judged = accuracy(tested, label, "symbol").join(common, "symbol").select("symbol", "accuracy", (F.col("_most") / F.col("_all")).alias("baseline"))
+    direction = tested.groupBy("symbol").agg(F.max_by("prediction", "time").alias("signal"))
+    r2 = float(means[best])
+    joined = forecast_.join(judged, "symbol").join(direction, "symbol")
+    return joined.select("symbol", F.lit(best).alias("model"), F.lit(r2).alias("r2"), "forecast", annualised(F.col("forecast")).alias("year_percent"), "accuracy", "baseline", *gated(F.col("signal"), F.col("accuracy"), F.col("baseline"), r2))
+
+
+def annualised(forecast_: Column, bars: int = 5) -> Column:
+    """A forecast for some bars as percent a year: clipped to a fifth before, and to -90 .. 300 after."""
+    year = (F.pow(1 + F.least(F.greatest(forecast_, F.lit(-0.2)), F.lit(0.2)), F.lit(252 / bars)) - 1) * 100
+    return F.round(F.least(F.greatest(year, F.lit(-90.0)), F.lit(300.0)), 2)
+
+
+def gated(signal: Column, accuracy_: Column, baseline: Column, r2: float) -> list[Column]:
+    """reliable, signal (0 unless reliable) and confidence."""
+    reliable = accuracy_ >= baseline + 0.02
+    fit = max(0.0, min(1.0, (r2 + 1) / 2))
+    return [reliable.alias("reliable"), F.when(reliable, signal).otherwise(0).alias("signal"), F.round(0.5 * fit + 0.5 * accuracy_, 4).alias("confidence")]
+
+
 def contributions(df: DataFrame, features: list[str], target: str, key: list[str]) -> DataFrame:
     """Each row's linear contribution of each feature: coefficient times the distance from the mean, and its share."""
     data = df.withColumn("label", F.col(target).cast("double"))

@@ -37,7 +37,13 @@ def pf02(spark, d):
     return rows.select("user", "symbol", "pos_qty", F.round("pos_avg", 4).alias("pos_avg"), rn.alias("rn"))
 
 
-@query("pf03_cost_basis")
+_BASIS = f"""f AS (SELECT *, qty::DOUBLE / 7 AS q7, row_number() OVER (PARTITION BY user, symbol ORDER BY {LORD}) AS rn FROM ledger),
+a AS (SELECT user, symbol, rn, CASE WHEN side = 'BUY' THEN round(q7, 8) ELSE 0.0::DOUBLE END AS q, CASE WHEN side = 'BUY' THEN round(q7 * price, 2) ELSE 0.0::DOUBLE END AS b FROM f WHERE rn = 1
+  UNION ALL SELECT f.user, f.symbol, f.rn, CASE WHEN side = 'BUY' THEN round(a.q + q7, 8) ELSE round(a.q - least(a.q, q7), 8) END,
+    CASE WHEN side = 'BUY' THEN round(a.b + q7 * price, 2) WHEN a.q > 0 THEN round(a.b * (1 - least(a.q, q7) / a.q), 2) ELSE 0 END FROM a JOIN f ON f.user = a.user AND f.symbol = a.symbol AND f.rn = a.rn + 1)"""
+
+
+@query("pf03_cost_basis", f"WITH RECURSIVE {LEDGER}, {_BASIS} SELECT user, symbol, arg_max(q, rn) AS pos_qty, arg_max(b, rn) AS basis FROM a GROUP BY 1, 2")
 def pf03(spark, d):
     fills = ledger(spark, d).withColumns({"qty": c("qty").cast("double") / 7, "price": c("price").cast("double")})
     return P.apply_cost_basis(fills, ["user", "symbol"], LKEY).groupBy("user", "symbol").agg(F.max_by(F.struct("pos_qty", "basis"), F.struct(*LKEY)).alias("p")).select("user", "symbol", "p.*")
@@ -153,7 +159,14 @@ def rb03(spark, d):
     return P.proposals(_snap(spark, d), quotes(spark, d), 50_000).select("user", "symbol", "side", "qty")
 
 
-@query("rb04_funded_orders")
+_FUNDED = """o AS (SELECT user, symbol, CASE WHEN diff > 0 THEN 'BUY' ELSE 'SELL' END AS side, qty, price FROM pr WHERE qty > 0),
+w AS (SELECT *, row_number() OVER (PARTITION BY user ORDER BY side = 'BUY', -qty * price, symbol) AS rn FROM o),
+g AS (SELECT user, 0::BIGINT AS rn, NULL::VARCHAR AS symbol, NULL::VARCHAR AS side, 0::BIGINT AS qty, 0::BIGINT AS filled, 100000.0::DOUBLE AS cash FROM (SELECT DISTINCT user FROM w)
+  UNION ALL SELECT user, rn, symbol, side, qty, n, CASE WHEN side = 'SELL' THEN cash + qty * price ELSE cash - n * price END FROM (
+    SELECT w.*, g.cash, CASE WHEN w.side = 'SELL' THEN w.qty WHEN g.cash > 0 THEN least(w.qty, floor(g.cash / w.price)::BIGINT) ELSE 0 END AS n FROM g JOIN w ON w.user = g.user AND w.rn = g.rn + 1))"""
+
+
+@query("rb04_funded_orders", f"WITH RECURSIVE {SNAP}, {PROP}, {_FUNDED} SELECT user, symbol, side, qty, filled FROM g WHERE rn > 0")
 def rb04(spark, d):
     orders = P.proposals(_snap(spark, d), quotes(spark, d), 50_000).select("user", "symbol", "side", "qty", "price")
     cash = orders.select("user").distinct().withColumn("cash", F.lit(100_000.0))

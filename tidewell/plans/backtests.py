@@ -253,3 +253,16 @@ def agg22(spark, d):
     last = I.last_bar(I.features(candles(spark, d)).withColumn("signal", I.rule_signal()), 50)
     return last.groupBy("symbol").agg(F.count_if(F.col("signal") == 1).alias("buys"), F.count_if(F.col("signal") == -1).alias("sells"), F.count_if(F.col("signal") == 0).alias("waits"))
 
+
+
+WARM = {"buy_hold": 0, "ma_cross": 55, "momentum": 35}
+
+
+@query("bt16_warm_up", f"{C} SELECT symbol, strategy, count(*) FILTER (time::DATE < DATE '1995-06-01') AS before, count(*) FILTER (time::DATE >= DATE '1995-06-01') AS asked FROM candles, (VALUES " + ", ".join(f"('{k}', {n})" for k, n in WARM.items()) + ") w(strategy, days) WHERE time::DATE >= DATE '1995-06-01' - days::INT GROUP BY 1, 2")
+def bt16(spark, d):
+    """Bars that each strategy reads before the first day asked for, and those asked for."""
+    all_ = None
+    for name in WARM:
+        one = B.warmed(candles(spark, d), name, F.lit("1995-06-01").cast("date"), 20, 10).groupBy("symbol").agg(F.count_if(~F.col("asked")).alias("before"), F.count_if("asked").alias("asked")).withColumn("strategy", F.lit(name))
+        all_ = one if all_ is None else all_.unionByName(one)
+    return all_

@@ -55,7 +55,12 @@ def tx06(spark, d):
     return X.grouped_sentences(lists, "conv_id")
 
 
-@query("tx07_sentences")
+_SENTENCES = r"""li AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|\n|\r')) AS l, generate_subscripts(regexp_split_to_array(text, '\r\n|\n|\r'), 1) AS i FROM documents),
+pt AS (SELECT doc_id, i, string_split(regexp_replace(regexp_replace(l, '^\s*(?:[-*•·]|\d+[.)])\s*', ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ps FROM li),
+sn AS (SELECT doc_id, i, unnest(ps) AS p, generate_subscripts(ps, 1) AS j FROM pt), st AS (SELECT doc_id, i, j, regexp_replace(p, '^\s+|\s+$', '', 'g') AS sentence FROM sn)"""
+
+
+@query("tx07_sentences", f"WITH {_SENTENCES} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1)::INT AS idx, sentence FROM st WHERE length(sentence) >= 4")
 def tx07(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(X.sentences(c("text"))).alias("idx", "sentence"))
 

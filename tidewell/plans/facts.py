@@ -205,7 +205,16 @@ def fc33(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", X.company_key(name).alias("k"))
 
 
-@query("fc34_reservations")
+def _reserved_sql(key: str, amount: str, key_cap: int, total_cap: int) -> str:
+    """Events of a day one after another, with what every key and all together have used."""
+    return f"""WITH RECURSIVE e AS (SELECT ts::DATE AS day, event_id, {key} AS k, ({amount})::BIGINT AS amount, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) AS rn FROM events),
+r AS (SELECT day, 0::BIGINT AS rn, 0::BIGINT AS total, MAP([''], [0::BIGINT]) AS used, NULL::BIGINT AS event_id, NULL::BOOLEAN AS accepted FROM (SELECT DISTINCT day FROM e)
+  UNION ALL SELECT day, rn, CASE WHEN ok THEN total + amount ELSE total END, CASE WHEN ok THEN map_concat(used, MAP([k], [mine + amount])) ELSE used END, event_id, ok FROM (
+    SELECT *, mine + amount <= {key_cap} AND total + amount <= {total_cap} AS ok FROM (SELECT r.day, e.rn, r.total, r.used, e.event_id, e.k, e.amount, coalesce(list_extract(map_extract(r.used, e.k), 1), 0) AS mine FROM r JOIN e ON e.day = r.day AND e.rn = r.rn + 1)))
+SELECT event_id, accepted FROM r WHERE rn > 0"""
+
+
+@query("fc34_reservations", _reserved_sql("user_id::VARCHAR", "user_id % 7 + 1", 8, 900))
 def fc34(spark, d):
     e = table(spark, d, "events").select(F.to_date("ts").alias("day"), c("ts").alias("at"), c("event_id").alias("tie"), c("user_id").cast("string").alias("key"), (c("user_id") % 7 + 1).cast("long").alias("amount"))
     return X.reserve(e, 8, 900).select(c("tie").alias("event_id"), "accepted")
@@ -230,7 +239,7 @@ def fc37(spark, d):
     return table(spark, d, "events").select("event_id", F.sha2(F.concat(F.lit("salt"), day, "user_id"), 256).alias("k"))
 
 
-@query("fc38_admission")
+@query("fc38_admission", f"SELECT ts::DATE AS day, count(*) FILTER (accepted) AS admitted, count(*) AS asked FROM ({_reserved_sql(repr('all'), 'round(value)', 4_000, 4_000)}) JOIN events USING (event_id) GROUP BY 1")
 def fc38(spark, d):
     """Jobs of a day admitted while their number and characters stay within the limits."""
     e = table(spark, d, "events").select(F.to_date("ts").alias("day"), c("ts").alias("at"), c("event_id").alias("tie"), F.lit("all").alias("key"), F.round("value").cast("long").alias("amount"))

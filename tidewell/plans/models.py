@@ -85,10 +85,13 @@ def ml07(spark, d):
 
 @query("ml08_selected_forecast")
 def ml08(spark, d):
-    """The model with the least error; its forecast error clipped and blended to a confidence."""
-    errors = L.forecast(_future(spark, d), NAMES, "future")
-    best = errors.agg(F.min_by("model", F.struct("rmse", "model")).alias("model"), F.min("rmse").alias("rmse"))
-    return best.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - c("rmse") / 0.2)))
+    """The model chosen over time folds, its last forecasts, and directions that pass the gate."""
+    return L.selected_forecast(_future(spark, d), NAMES, "future", "target")
+
+
+@query("ml08_time_folds", f"{C}, n AS (SELECT symbol, time, row_number() OVER ({O.W}) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM candles) SELECT symbol, time, greatest(-1, floor((i - (n - 4 * (n // 5))) / nullif(n // 5, 0)))::INT AS fold FROM n")
+def ml08b(spark, d):
+    return L.time_folds(candles(spark, d), 4).select("symbol", "time", "fold")
 
 
 @query("ml09_universe_scores")

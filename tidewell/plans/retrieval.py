@@ -75,7 +75,7 @@ def tx30(spark, d):
     return sims.groupBy("query", "label").agg(F.round(F.max("sim"), 6).alias("best"))
 
 
-@query("vs06_graph_context")
+@query("vs06_graph_context", f"WITH {EDGES}, h AS ({_search_sql(3)}), n AS (SELECT DISTINCT query, label AS node FROM h JOIN embeddings USING (vec_id)), t AS (SELECT DISTINCT query, node || ' supplies ' || dst AS line FROM n JOIN edges ON src = node) SELECT query, string_agg(line, '; ' ORDER BY line) AS context FROM t GROUP BY 1")
 def vs06(spark, d):
     """Hits' groups as nodes, and what those supply: context lines by query."""
     hits = _searched(spark, d, 3).join(table(spark, d, "embeddings").select("vec_id", c("label").alias("node")), "vec_id")
