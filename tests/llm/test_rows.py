@@ -42,6 +42,22 @@ def test_rules_edges(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
+def test_rules_on_long_texts_nulls_and_repeats(spark):
+    long = "".join(f"w{i % 4001} " + "\n" * (i % 9 == 0) for i in range(60_000))
+    docs = [(1, long), (2, None), (2, None), (3, "one two " * 30), (3, "one two " * 30), (4, "x" * 300_000)]
+    out = quality_rules.apply_rules(spark.createDataFrame(docs, SCHEMA)).collect()
+    for r in out:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute.measures(dict(docs)[r.doc_id])
+    assert len(out) == 6 and all(r.base_failed for r in out)
+
+
+def test_rules_by_language(spark):
+    text = " ".join(f"kelime{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text)], SCHEMA)
+    assert not quality_rules.keep_good(docs).collect()
+    assert len(quality_rules.keep_good(docs, quality_rules.without("stop_words")).collect()) == 1
+
+
 def test_rules_keep_prose_and_drop_junk(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
     rates = {r.quality: r.k for r in quality_rules.apply_rules(docs).groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
@@ -395,6 +411,33 @@ def test_scores_do_not_depend_on_neighbours():
     assert net.scores([long + b"xyz" * 9000])[0] != net.scores([long])[0]
 
 
+def test_seams_equal_a_plain_loop():
+    """Texts shorter than a segment and at its edges, each on its own zero bytes."""
+    net = byte_cnn.fit([b"abc" * 30, b"xyz" * 40, b"abd", b"xx"], [1, 0, 1, 0], epochs=1)
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(1, 255, n)) for n in (0, 1, 5, 58, 59, 60, 63, 64, 65, 123, 500)]
+    for text, got in zip(texts, net.scores(texts), strict=True):
+        n = -(-(len(text) + byte_cnn.WIDTH - 1) // byte_cnn.SEGMENT)
+        data = np.frombuffer(text.ljust(n * byte_cnn.SEGMENT + byte_cnn.WIDTH, b"\0"), np.uint8)
+        at = np.stack([sum(net.tables[k][data[i + k]] for k in range(byte_cnn.WIDTH)) for i in range(n * byte_cnn.SEGMENT)])
+        zero = sum(net.tables[k][0] for k in range(byte_cnn.WIDTH))
+        at[n * byte_cnn.SEGMENT - byte_cnn.WIDTH + 1 :] = zero
+        seg = np.maximum(at.reshape(n, byte_cnn.SEGMENT, -1).max(1) + net.bias, 0)
+        chunks = max(1, -(-(n - byte_cnn.CHUNK) // byte_cnn.STEP) + 1)
+        pooled = np.stack([seg[c * byte_cnn.STEP : c * byte_cnn.STEP + byte_cnn.CHUNK].max(0) for c in range(chunks)])
+        z = np.concatenate([pooled.mean(0), pooled.max(0)]) @ net.head + net.offset
+        assert abs(1 / (1 + np.exp(-z)) - got) < 1e-5
+
+
+def test_classifier_ties_and_conflicts(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], SCHEMA)
+    labels = spark.createDataFrame([(i, q) for i in range(20) for q in (0, 1)], "doc_id long, quality int")
+    out = byte_cnn.classify(docs, labels).collect()
+    assert len(out) == 20
+    tied = byte_cnn.classify(docs, labels, threshold=out[0].score)
+    assert next(r for r in tied.collect() if r.doc_id == out[0].doc_id).predicted == 1
+
+
 def test_classifier_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (2, ""), (None, "x")], SCHEMA)
     labels = spark.createDataFrame([], "doc_id long, quality int")

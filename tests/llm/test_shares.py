@@ -240,3 +240,20 @@ def test_pipeline_stages_equal_brute_force(spark):
     assert max(by.values()) - min(by.get(s, 0) for s in range(40)) <= 1
     whole = corpus_pipeline.run(spark, sf).collect()
     assert sorted(map(str, whole)) == sorted(map(str, five))
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Every stage in order over an empty table, and over nulls, empty and long texts, repeated rows and clashing columns."""
+    sf = "/root/testdata/sf0.001"
+    prose = " ".join(f"the word{i} of" for i in range(40))
+    rows = [(1, prose, 5, 0.5), (1, prose, 5, 0.5), (2, None, None, None), (None, prose + " x", 1, None), (3, "", 0, 1.0), (4, "the word of " + " ".join(f"the long{i} and" for i in range(50_000)), 9, 2.0), (5, prose + " and more of it", 6, 3.0)]
+    schema = "doc_id long, text string, n_words int, score double, source string, size int, shard int, spans int, kept boolean"
+    docs = spark.createDataFrame([(*r, "a", 1, 2, 3, True) for r in rows], schema)
+    for some, want in ((docs.limit(0), set()), (docs, {1, 4, None})):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            some = stage(spark, some, sf)
+            assert some.columns == docs.columns
+            some = spark.createDataFrame(some.collect(), schema)
+        assert {r.doc_id for r in some.collect()} <= want
+        out = corpus_pipeline.STAGES[-1][1](spark, some, sf).collect()
+        assert len(out) == some.count()

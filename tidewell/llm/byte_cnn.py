@@ -196,7 +196,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     docs needs doc_id and text, labels doc_id and quality; other columns are ignored.
     Learns on a bounded sample of labels outside the held-out fold (crc32 of the
     doc_id's text modulo 5 is 0), and scores by text bytes alone. A null doc_id is not
-    held out. Rows that repeat are scored each; an empty table gives an empty result;
+    held out. A score at the threshold predicts 1; a doc_id with both labels counts for
+    both. Rows that repeat are scored each; an empty table gives an empty result;
     without labels all scores are one share.
     """
     net = fit(*labelled_sample(docs, labels))

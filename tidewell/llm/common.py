@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import functools
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.operators.lineage import cut, mark, release
+
+__all__ = ["Rolling", "WordHashes", "cut", "encoded", "mark", "may_be_in", "mixed", "pieces", "release", "repeated", "table", "words_of"]
+
 #: Java class of the white space that separates words in the contracts (\x09-\x0D and space).
 SPACE = r"[\x09-\x0D\x20]+"
 #: Distinct words a task keeps hashed; the table is emptied when it is full, which changes no result.
@@ -27,55 +26,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared checkpoint folder and read it back, which cuts its lineage.
-
-    The folder is the one the cluster names in spark.checkpoint.dir; only in local mode
-    (tests, a laptop) may it be unset, and a temporary one is taken. Lost executors lose
-    nothing of it. The table is compressed, unlike a checkpoint, and deleted by `release`
-    or when the driver ends.
-    """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = _own_folder()
-    path = f"{folder.rstrip('/')}/tidewell-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _TABLES.append(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-#: Tables that are not deleted yet, in the order in which they were written.
-_TABLES: list[str] = []
-
-
-def mark() -> int:
-    """A point in time for `release`."""
-    return len(_TABLES)
-
-
-def release(spark: SparkSession, since: int, keep: int = 0) -> None:
-    """Deletes the tables written since a mark but for the last `keep`, as nothing reads them any more."""
-    for path in _TABLES[since : len(_TABLES) - keep]:
-        _delete(spark, path)
-        _TABLES.remove(path)
-
-
-@functools.cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="tidewell-")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    context = spark.sparkContext
-    if context._jsc is not None:
-        target = context._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
-
-
 #: Rows that one array stands for at most where rows are repeated.
 STRIDE = 16_384
 

@@ -53,6 +53,11 @@ RULES = (
 )
 
 
+def without(*names: str) -> tuple[Rule, ...]:
+    """The rules but for some. The stop-word rule knows English, French, German and Spanish: without("stop_words") suits others."""
+    return tuple(r for r in RULES if r.name not in names)
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """docs with the measures of the rules; columns of the same names are replaced.
 
@@ -97,7 +102,8 @@ def apply_rules(docs: DataFrame, base: tuple[Rule, ...] = BASE, rules: tuple[Rul
     """docs with the measures, base_failed and kept, a row for each input row.
 
     docs needs text; other columns stay, and those named like a measure are replaced.
-    A document is kept if it passes base and rules. Text that is null, empty or shorter
+    A document is kept if it passes base and rules; documents in other languages than those of
+    STOP_WORDS fail the stop-word rule, unless rules leave it out. Text that is null, empty or shorter
     than the base asks fails the base. Repeated rows get equal results; an empty table
     gives an empty result.
     """
@@ -106,10 +112,10 @@ def apply_rules(docs: DataFrame, base: tuple[Rule, ...] = BASE, rules: tuple[Rul
     return df.withColumn("kept", ~F.col("base_failed") & F.col("_passed")).drop("_passed", "one")
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that the rules keep, with their columns as they were."""
     # A filter on the projection's result; the struct keeps clashing names apart.
-    judged = apply_rules(docs.select(F.struct("*").alias("_whole"), "text")).select("_whole", "kept")
+    judged = apply_rules(docs.select(F.struct("*").alias("_whole"), "text"), rules=rules).select("_whole", "kept")
     return judged.select(F.explode(F.when(F.col("kept"), F.array("_whole"))).alias("_whole")).select("_whole.*")
 
 

@@ -91,8 +91,9 @@ def shard_keys(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, seed: int = 17) -> DataFrame:
-    """The documents with all columns, shard and slot; documents that share key, size and checksum
-    take the slots of their group in any order."""
+    """The documents with all columns, shard and slot, which replace columns of these names; documents
+    that share key, size and checksum take the slots of their group in any order."""
+    docs = docs.drop("shard", "slot")
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     keyed = docs.select(F.struct("*").alias("_whole"), "doc_id", (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
     same = Window.partitionBy("doc_id", "size", "text_crc32")
