@@ -274,3 +274,10 @@ def test_warm_up_days():
     from tidewell.plans.backtests import warm_up_days
 
     assert warm_up_days("hold") == warm_up_days("instalments") == 0 and warm_up_days("momentum", 60) > 60
+
+
+def test_rows_of_tables_carry_what_stands_above_them():
+    body = "<P>Intro.</P><P>(단위: 억원)</P><TABLE><TR><TH></TH><TH>2024</TH></TR><TR><TD>a<TD>1</TR><TR><TD>b</TD></TR></TABLE><TITLE>Two</TITLE><TABLE><TR><TD>just one</TD><TD>row</TD></TR></TABLE><TABLE><TR><TD>Sales</TD><TD>(단위 : 원)</TD></TR></TABLE><TABLE><TR><TH>k</TH></TR><TR><TD>7</TD></TR></TABLE>"
+    found = list(text.section_blocks(body))
+    assert found == [("para", "Intro."), ("row", "[표, 단위 억원] a | 2024: 1"), ("row", "[표, 단위 억원] b"), ("title", "Two"), ("para", "just one | row"), ("row", "[Two 표, Sales, 단위 원] k: 7")]
+    assert text.packed([("title", "T"), ("para", "One. Two two."), ("row", "[x] r"), ("title", "U"), ("para", "z")], 12) == ["[T] One.", "[T] Two two.", "[x] r", "[U] z"]

@@ -166,3 +166,27 @@ def test_cooldown_state_ends(spark, tmp_path):
     done.awaitTermination()
     assert spark.table("cool").count() == 12
     assert done.lastProgress["stateOperators"][0]["numRowsTotal"] < 12
+
+
+def test_office_files(spark, tmp_path):
+    import io
+    import zipfile
+
+    def made(name, parts):
+        body = io.BytesIO()
+        with zipfile.ZipFile(body, "w") as z:
+            for path, xml in parts.items():
+                z.writestr(path, xml)
+        (tmp_path / name).write_bytes(body.getvalue())
+
+    w, a, s = 'xmlns:w="urn:w"', 'xmlns:a="urn:a"', 'xmlns="urn:s"'
+    made("a.docx", {"word/document.xml": f"<w:d {w}><w:p><w:r><w:t>Head</w:t></w:r><w:r><w:t> line</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:t>x</w:t></w:p></w:tc><w:tc><w:p><w:t>1</w:t></w:p></w:tc></w:tr></w:tbl><w:p/></w:d>"})
+    made("b.PPTX", {f"ppt/slides/slide{i}.xml": f"<a:s {a}><a:p><a:t>slide {i}</a:t></a:p></a:s>" for i in (10, 2)} | {"ppt/slides/slide3.xml": f"<a:s {a}/>"})
+    made("c.xlsx", {"xl/sharedStrings.xml": f"<sst {s}><si><t>name</t></si></sst>", "xl/worksheets/sheet1.xml": f'<w {s}><row><c t="s"><v>0</v></c><c/><c><v>2.5</v></c></row><row><c t="inlineStr"><is><t>in</t></is></c></row></w>'})
+    made("d.xlsx", {"xl/worksheets/sheet1.xml": "<broken"})
+    (tmp_path / "e.docx").write_bytes(b"no archive")
+    (tmp_path / "f.md").write_text("text")
+    out = readers.office_texts(spark.read.format("binaryFile").load(str(tmp_path))).collect()
+    found = sorted((r.path.rsplit("/", 1)[1], r.part, r.text) for r in out if r.error is None)
+    assert found == [("a.docx", 1, "Head line\nx | 1"), ("b.PPTX", 2, "slide 2"), ("b.PPTX", 10, "slide 10"), ("c.xlsx", 1, "name | 2.5\nin")]
+    assert sorted(r.path.rsplit("/", 1)[1] for r in out if r.error) == ["d.xlsx", "e.docx"]

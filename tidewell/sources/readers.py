@@ -7,7 +7,11 @@ file, a directory or a stream of files goes through the same code.
 from __future__ import annotations
 
 import csv
+import io
 import re
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -153,6 +157,72 @@ def decoded(content: pd.Series) -> pd.Series:
     return content.map(one)
 
 
+_PARTS = {"docx": r"word/document\.xml", "pptx": r"ppt/slides/slide(\d+)\.xml", "xlsx": r"xl/worksheets/sheet(\d+)\.xml"}
+#: Bytes of one part of an office file that are read; a larger part is an error of that file, not of the job.
+MOST_PART = 256 << 20
+
+
+def _office(kind: str, body: bytes) -> Iterator[tuple[int, str]]:
+    """(number, text) of each slide or sheet, or of the one document, of a zipped office file."""
+
+    def local(element) -> str:
+        return element.tag.rsplit("}", 1)[-1]
+
+    def text(element) -> str:
+        return "".join(e.text or "" for e in element.iter() if local(e) == "t").strip()
+
+    with zipfile.ZipFile(io.BytesIO(body)) as archive:
+        sizes = {i.filename: i.file_size for i in archive.infolist()}
+
+        def part(name: str):
+            if sizes[name] > MOST_PART:
+                raise ValueError(f"{name} is too large")
+            return ElementTree.fromstring(archive.read(name))
+
+        shared = [text(e) for e in part("xl/sharedStrings.xml")] if kind == "xlsx" and "xl/sharedStrings.xml" in sizes else []
+        found = sorted((int((m.groups() or ("1",))[0]), n) for n in sizes if (m := re.fullmatch(_PARTS[kind], n)))
+        for number, name in found:
+            root, lines = part(name), []
+            if kind == "pptx":
+                lines = [text(e) for e in root.iter() if local(e) == "p"]
+            elif kind == "docx":
+                tables = [e for e in root.iter() if local(e) == "tbl"]
+                inside = {id(p) for t in tables for p in t.iter()}
+                lines = [text(e) for e in root.iter() if local(e) == "p" and id(e) not in inside]
+                lines += [" | ".join(filter(None, (text(x) for x in row if local(x) == "tc"))) for t in tables for row in t.iter() if local(row) == "tr"]
+            else:
+                for row in (e for e in root.iter() if local(e) == "row"):
+                    cells = []
+                    for cell in row:
+                        value = next((e.text or "" for e in cell if local(e) == "v"), "")
+                        cells.append(shared[int(value)] if cell.get("t") == "s" and value else value.strip() or text(cell))
+                    lines.append(" | ".join(filter(None, cells)))
+            joined = "\n".join(filter(None, lines))
+            if joined:
+                yield number, joined
+
+
+def office_texts(files: DataFrame) -> DataFrame:
+    """path, part, text and error of the slides, sheets or document of each binaryFile row, by its extension.
+
+    Paragraphs and rows are lines, cells are joined by bars. Files of other kinds give no rows;
+    one that can't be read gives one row with its error, and the job goes on.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for path, body in zip(rows["path"], rows["content"], strict=True):
+                try:
+                    out += [(path, n, t, None) for n, t in _office(path.rsplit(".", 1)[-1].lower(), bytes(body))]
+                except (zipfile.BadZipFile, ElementTree.ParseError, ValueError, KeyError, IndexError, NotImplementedError) as e:
+                    out.append((path, None, None, f"{type(e).__name__}: {e}"[:200]))
+            yield pd.DataFrame(out, columns=["path", "part", "text", "error"]).astype({"part": "Int32"})
+
+    office = files.where(F.col("path").rlike(r"(?i)\.(docx|pptx|xlsx)$") & F.col("content").isNotNull()).select("path", "content")
+    return office.mapInPandas(run, "path string, part int, text string, error string")
+
+
 def verified(files: DataFrame, sums: DataFrame) -> DataFrame:
     """binaryFile rows with ok: whether the content's SHA-256 is the one listed for its path."""
     return files.join(sums, "path", "left").withColumn("ok", F.coalesce(F.sha2("content", 256) == F.col("sha256"), F.lit(False)))
