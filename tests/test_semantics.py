@@ -281,3 +281,17 @@ def test_rows_of_tables_carry_what_stands_above_them():
     found = list(text.section_blocks(body))
     assert found == [("para", "Intro."), ("row", "[표, 단위 억원] a | 2024: 1"), ("row", "[표, 단위 억원] b"), ("title", "Two"), ("para", "just one | row"), ("row", "[Two 표, Sales, 단위 원] k: 7")]
     assert text.packed([("title", "T"), ("para", "One. Two two."), ("row", "[x] r"), ("title", "U"), ("para", "z")], 12) == ["[T] One.", "[T] Two two.", "[x] r", "[U] z"]
+
+
+@pytest.mark.parametrize(
+    ("said", "claims"),
+    [
+        ("매출과 영업이익은 333.6조원, 43.6조원", [("revenue", 333_600 * 10**9, False), ("operating_income", 43_600 * 10**9, False)]),
+        ("매출은 각각 1조, 2조 원", [("revenue", 10**12, False), ("revenue", 2 * 10**12, False)]), ("매출 5억 원에서 7억 원으로", [("revenue", 7 * 10**8, False)]),
+        ("순이익은 3억 원 적자다", [("net_income", -3 * 10**8, False)]), ("매출액은 약 1,234억원 정도", [("revenue", 1234 * 10**8, True)]), ("영업이익률은 12.5%", [("operating_margin", Decimal("12.5"), False)]),
+        ("영업이익률과 매출은 3억 원", [("revenue", 3 * 10**8, False)]), ("매출, 영업이익은 3억 원", []), ("2024년 매출", []), ("", []), (None, []),
+    ],
+)
+def test_amount_claims(spark, said, claims):
+    found = spark.createDataFrame([(said,)], "t string").select(factcheck.amount_claims(F.col("t")).alias("c")).first().c
+    assert [tuple(x) for x in found] == [(a, Decimal(v), p) for a, v, p in claims]

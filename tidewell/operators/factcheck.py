@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .text import UNITS
+from .text import UNITS, held, parse_numbers
 
 c = F.col
 
@@ -101,6 +101,57 @@ def same_amount(claim: Column, step: Column, filed: Column, approx: Column, unit
     return (F.signum(claim) == F.signum(filed)) & (exact | rough | rounded)
 
 
+# Words for accounts of a report and what they stand for.
+ACCOUNTS = {
+    "매출액": "revenue", "매출": "revenue", "영업이익률": "operating_margin", "영업이익": "operating_income", "영업손실": "operating_income",
+    "당기순이익": "net_income", "당기순손실": "net_income", "순이익률": "net_margin", "순이익": "net_income", "순손실": "net_income",
+}
+_ACCOUNT = "|".join(sorted(ACCOUNTS, key=len, reverse=True))
+_DIGITS = r"[-△▲]?\d[\d,]*(?:\.\d+)?"
+_MONEY = rf"{_DIGITS}\s*(?:조|십억|억|천만|백만|만|천)(?:\s*\d[\d,]*(?:\.\d+)?\s*(?:십억|억|천만|백만|만|천))*(?:\s*원)?|{_DIGITS}\s*원"
+_SHARE = rf"{_DIGITS}\s*(?:%p|%|퍼센트)"
+
+
+def amount_claims(text: Column) -> Column:
+    """Array of (account, value, approximate) of the amounts that a text gives for accounts; losses are negative.
+
+    An account takes the first amount after it, up to the next account; two amounts where each is said,
+    the second one of `from A to B`. Accounts that follow each other without amounts take the amounts
+    after the last one in turn, if there are as many, else none. Margins take percentages.
+    """
+    plain = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\x01\x02", "  "), r"(?:19|20)\d{2}년|[1-4]분기|\d{1,2}월|\d{1,2}일", " ")
+    parts = F.split(F.regexp_replace(plain, f"({_ACCOUNT})", "\x01$1\x02"), "\x01")
+    claim = "struct<account:string,phrase:string,rest:string>"
+
+    def part(p):
+        account, rest = F.split(p, "\x02")[0], F.split(p, "\x02")[1]
+        margin = account.endswith("률")
+        return F.struct(account.alias("account"), rest.alias("rest"), margin.alias("margin"), F.when(margin, F.regexp_extract_all(rest, F.lit(_SHARE), F.lit(0))).otherwise(F.regexp_extract_all(rest, F.lit(_MONEY), F.lit(0))).alias("values"))
+
+    def step(acc, p):
+        n, rest, values = F.size(p["values"]), p["rest"], p["values"]
+        waiting = F.filter(acc["waiting"], lambda a: a.endswith("률") == p["margin"])
+        group = F.concat(F.when(F.size(waiting) == F.size(acc["waiting"]), waiting).otherwise(F.array().cast("array<string>")), F.array(p["account"]))
+        made = lambda account, phrase: F.struct(account.alias("account"), phrase.alias("phrase"), rest.alias("rest"))
+        after = F.substr(rest, F.instr(rest, values[0]) + F.length(values[0]))
+        single = F.when((n > 1) & rest.contains("각각"), values).when((n > 1) & after.rlike(r"^\s*(?:에서|→)"), F.slice(values, 2, 1)).otherwise(F.slice(values, 1, 1))
+        found = F.when(F.size(group) == 1, F.transform(single, lambda v: made(p["account"], v))).when(F.size(group) == n, F.zip_with(group, values, made)).otherwise(F.array().cast(f"array<{claim}>"))
+        goes_on = (n == 0) & rest.rlike(r"^\s*(?:[와과,·]|및)?\s*$")
+        return F.struct(F.when(goes_on, group).otherwise(F.array().cast("array<string>")).alias("waiting"), F.when(n == 0, acc["out"]).otherwise(F.concat(acc["out"], found)).alias("out"))
+
+    def read(x):
+        at = F.instr(x["rest"], x["phrase"])
+        before, after = F.substr(x["rest"], F.greatest(at - 6, F.lit(1)), F.least(at - 1, F.lit(6))), F.substr(x["rest"], at + F.length(x["phrase"]), F.lit(6))
+        loss = x["account"].contains("손실") | x["phrase"].rlike("^[-△▲]") | after.rlike("손실|적자")
+        value = parse_numbers(x["phrase"])[0]["value"]
+        account = F.element_at(F.create_map(*[F.lit(y) for kv in ACCOUNTS.items() for y in kv]), x["account"])
+        return F.struct(account.alias("account"), F.when(loss, -value).otherwise(value).alias("value"), (before.contains("약") | after.rlike(r"^\s*(?:가량|정도|안팎|여)")).alias("approximate"))
+
+    start = F.struct(F.array().cast("array<string>").alias("waiting"), F.array().cast(f"array<{claim}>").alias("out"))
+    segments = held(parts, lambda ps: F.transform(F.slice(ps, F.lit(2), F.greatest(F.size(ps) - 1, F.lit(0))), part))
+    return F.transform(F.aggregate(segments, start, step, lambda acc: acc["out"]), read)
+
+
 def verdict(results: DataFrame, key: str) -> DataFrame:
     """Status of each sentence from its amounts' results: mismatch, match, partial or unknown."""
     wrong, right, total = F.count_if(c("result") == "mismatch"), F.count_if(c("result") == "match"), F.count("*")

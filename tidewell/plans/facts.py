@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.catalog import query
 from tidewell.operators import factcheck as X
 from tidewell.operators import groups as G
-from tidewell.operators.text import no_claim, parse_numbers
+from tidewell.operators.text import no_claim
 from tidewell.sources.views import CLAIMS, FACTS, claims, facts, table
 
 c = F.col
@@ -133,10 +133,21 @@ def fc22(spark, d):
     return claims(spark, d).select("run_id", "idx", "part", "latency_ms", skip.alias("skipped"), F.when(skip, F.when(c("s") >= c("c"), "opinion").otherwise("market")).otherwise("checked").alias("category"))
 
 
-@query("fc23_amount_claims", f"WITH {_O} SELECT o_orderkey, k * 1000000000000.0::DOUBLE AS value FROM o WHERE o_orderkey % 8 = 0")
+_CLAIMED = """n AS (SELECT o_orderkey, unnest(CASE o_orderkey % 8 WHEN 0 THEN [{'a': 'revenue', 'v': k * 1e12, 'p': false}] WHEN 1 THEN [{'a': 'revenue', 'v': k * 1e12, 'p': false}, {'a': 'operating_income', 'v': n * 1e8, 'p': false}]
+  WHEN 2 THEN [{'a': 'operating_income', 'v': k * 1e12, 'p': false}] WHEN 3 THEN [{'a': 'operating_income', 'v': -n * 1e8, 'p': true}] WHEN 4 THEN [{'a': 'operating_margin', 'v': n + 0.5::DOUBLE, 'p': false}, {'a': 'revenue', 'v': k * 1e8, 'p': false}]
+  WHEN 6 THEN [{'a': 'net_income', 'v': -n * 1e8, 'p': false}] ELSE [] END) AS x FROM o)"""
+
+
+@query("fc23_amount_claims", f"WITH {_O}, {_CLAIMED} SELECT o_orderkey, x.a AS account, x.v::DOUBLE AS value, x.p AS approximate FROM n")
 def fc23(spark, d):
-    each = _sentences(spark, d).select("o_orderkey", F.explode(parse_numbers(F.regexp_replace("text", r"(?:19|20)\d{2}[년QH]\s?\d?|[1-4]분기", " "))).alias("n"))
-    return each.where("n.value >= 1000").select("o_orderkey", c("n.value").cast("double").alias("value"))
+    """Claims of eight kinds in turn: single, groups of accounts, from A to B, losses, about, margins, groups that don't fit, none."""
+    n, k = (c("o_orderkey") % 4 + 1).cast("int"), (c("o_orderkey") % 9 + 1).cast("int")
+    said = _by_key(
+        F.format_string("매출은 %d조 원이다.", k), F.format_string("매출과 영업이익은 각각 %d조 원, %d억 원이다.", k, n), F.format_string("영업이익은 %d억 원에서 %d조 원으로 늘었다.", n, k), F.format_string("영업손실은 약 %d억 원이다.", n),
+        F.format_string("영업이익률은 %d.5%%이고 매출은 %d억 원이다.", n, k), F.format_string("매출, 영업이익과 순이익은 %d조 원, %d억 원이다.", k, n), F.format_string("순이익은 △%d억 원으로 2024년 %d분기보다 낮다.", n, n), "매출은 올랐다.",
+    )
+    each = table(spark, d, "orders").select("o_orderkey", F.explode(X.amount_claims(said)).alias("n"))
+    return each.select("o_orderkey", "n.account", c("n.value").cast("double").alias("value"), "n.approximate")
 
 
 @query("fc24_candidate_facts", f"WITH {FACTS} SELECT company, year, arg_max(amount, row(n % 2 = 0, quarter)) AS amount FROM facts GROUP BY 1, 2")
