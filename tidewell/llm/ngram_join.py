@@ -153,7 +153,8 @@ def _signatures(classes: DataFrame, docs: DataFrame, shingle: int, percent: int)
             tokens = tokens.groupBy(F.col("doc_id").alias("node"), "sid").agg(F.first("tokens").alias("tokens"))
             open_ = cut(open_.drop("tokens").join(tokens, ["node", "sid"]))
         each = open_.select("sid", F.explode("tokens").alias("token"))
-        counts = each.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
+        # A table of its own: adaptive execution splits a hot token only in a join of two plain shuffles.
+        counts = cut(each.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1"))
         kind = sum((F.col("rows") > most).cast("int") for most in CLASS_ROWS)
         mine = each.join(counts.select("token", kind.alias("class")), "token").groupBy("sid").agg(F.collect_list(F.struct("class", "token")).alias("shared"))
         held = open_.join(mine, "sid", "left").withColumn("shared", F.coalesce("shared", F.array().cast(pair)))
@@ -193,6 +194,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     since = mark()
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+    before = state(edges)
     while True:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -201,11 +204,11 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", "m")).where("a > b").distinct()
         after = cut(small)
-        state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if state(after) == state(edges):
+        now = state(after)
+        if now == before:
             break
         release(edges.sparkSession, since, keep=1)
-        edges = after
+        edges, before = after, now
     pairs = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     return pairs.union(edges.select("b", "b").distinct()).groupBy("node").agg(F.min("component").alias("component"))
 
