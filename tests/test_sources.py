@@ -9,7 +9,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import eventstudy, indicators
+from tidewell.operators import eventstudy, indicators, vectors
+from tidewell.operators import text as text_operators
 from tidewell.sources import readers, sinks
 from tidewell.sources.views import bars, candles, table
 from tidewell.streaming import windows
@@ -190,3 +191,24 @@ def test_office_files(spark, tmp_path):
     found = sorted((r.path.rsplit("/", 1)[1], r.part, r.text) for r in out if r.error is None)
     assert found == [("a.docx", 1, "Head line\nx | 1"), ("b.PPTX", 2, "slide 2"), ("b.PPTX", 10, "slide 10"), ("c.xlsx", 1, "name | 2.5\nin")]
     assert sorted(r.path.rsplit("/", 1)[1] for r in out if r.error) == ["d.xlsx", "e.docx"]
+
+
+def test_a_search_keeps_the_best_of_each_partition(spark):
+    """The group limit runs before the exchange by query, so that few points of a partition move."""
+    points = spark.range(100).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding")).repartition(4)
+    text = plan(vectors.search(points, points.where("vec_id % 50 = 0"), 3))
+    assert "WindowGroupLimit" in text and text.index("WindowGroupLimit") != text.rindex("WindowGroupLimit")
+    assert "Exchange hashpartitioning(query" in text
+
+
+def test_chunks_split_a_text_once(spark):
+    import time
+
+    def seconds(n):
+        df = spark.range(1).select(F.size(text_operators.chunks(F.repeat(F.lit("word "), n), 200, 40)).alias("n"))
+        started = time.time()
+        assert df.first().n == len(range(0, n - 40, 160))
+        return time.time() - started
+
+    seconds(1000)
+    assert seconds(640_000) < 20
