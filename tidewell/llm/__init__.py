@@ -1,6 +1,6 @@
 """Training-data operators. Nothing outside this subpackage imports it."""
 
-from . import byte_cnn, decontaminate, html_extract, mixing, ngram_join, pseudonyms, quality_rules, sharding, substring_dedup, token_counts
+from . import byte_cnn, decontaminate, html_extract, merkle, mixing, ngram_join, pseudonyms, quality_rules, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_quality_classifier": byte_cnn.op8_quality_classifier,
     "op9_sharding": sharding.op9_sharding,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op13_merkle": merkle.op13_merkle,
 }
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.OP1_SQL,
     "op3_ngram_join": ngram_join.OP3_SQL,
     "op5_quality_rules": quality_rules.OP5_SQL,
     "op7_substring_dedup": substring_dedup.OP7_SQL,
+    "op13_merkle": merkle.OP13_SQL,
 }
