@@ -125,17 +125,19 @@ class Network:
 class _Learner:
     """Adam over all weights of both layers; gradients go back through all steps of a passage."""
 
-    def __init__(self, langs: list[str], rng: np.random.Generator, rate: float):
-        layer = lambda: Layer(rng.normal(0, 0.3, (3 * UNITS, 256)), rng.normal(0, 0.3, (3 * UNITS, UNITS)), rng.normal(0, 0.3, (len(langs), UNITS)))
-        self.layers, self.offset = [layer(), layer()], np.zeros((len(langs), 1))
+    def __init__(self, langs: list[str], rng: np.random.Generator, rate: float, kind: type = np.float32):
+        draw = lambda *shape: rng.normal(0, 0.3, shape).astype(kind)
+        self.kind = kind
+        self.layers = [Layer(draw(3 * UNITS, 256), draw(3 * UNITS, UNITS), draw(len(langs), UNITS)) for _ in range(2)]
+        self.offset = np.zeros((len(langs), 1), kind)
         for one in self.layers:
             one.bytes_[: 2 * UNITS] = 0.5 + 0.3 * one.bytes_[: 2 * UNITS]
         self.rate, self.steps, self.moments = rate, 0, {}
 
     def _forward(self, layer: Layer, codes: np.ndarray, there: np.ndarray, ways: range) -> list[tuple]:
-        h, kept = np.zeros((UNITS, codes.shape[1])), [None] * len(codes)
+        h, kept = np.zeros((UNITS, codes.shape[1]), self.kind), [None] * len(codes)
         for t in ways:
-            x, a = layer.bytes_[:, codes[t]], layer.state @ h
+            x, a = np.take(layer.bytes_, codes[t], 1), layer.state @ h
             raw = x[: 2 * UNITS] + a[: 2 * UNITS]
             gates = np.clip(raw, 0, 1)
             inner = a[2 * UNITS :]
@@ -149,7 +151,7 @@ class _Learner:
     def _back(self, layer: Layer, codes: np.ndarray, there: np.ndarray, ways: range, kept: list[tuple], error: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of one layer; error: steps x languages x rows."""
         out, state = np.zeros_like(layer.out), np.zeros_like(layer.state)
-        inputs, later = np.empty((len(codes), 3 * UNITS, codes.shape[1])), np.zeros((UNITS, codes.shape[1]))
+        inputs, later = np.empty((len(codes), 3 * UNITS, codes.shape[1]), self.kind), np.zeros((UNITS, codes.shape[1]), self.kind)
         for t in reversed(ways):
             h, open_, gates, inner, free, fresh, after = kept[t]
             out += error[t] @ after.T
@@ -162,7 +164,7 @@ class _Learner:
             state += to_state @ h.T
             later = grown * keep + layer.state.T @ to_state
         flat = codes.ravel()
-        bytes_ = np.stack([np.bincount(flat, inputs[:, k].ravel(), 256) for k in range(3 * UNITS)])
+        bytes_ = np.stack([np.bincount(flat, inputs[:, k].ravel(), 256) for k in range(3 * UNITS)]).astype(self.kind)
         return {"bytes_": bytes_, "state": state, "out": out}
 
     def _adam(self, name: str, value: np.ndarray, gradient: np.ndarray) -> None:
@@ -196,7 +198,7 @@ class _Learner:
         return loss
 
 
-def fit(passages: list[bytes], langs: list[str], epochs: int = 14, batch: int = 128, rate: float = 0.02, seed: int = 3) -> Network:
+def fit(passages: list[bytes], langs: list[str], epochs: int = 16, batch: int = 192, rate: float = 0.03, seed: int = 3) -> Network:
     """A network for the languages of the passages; without passages it knows none."""
     known = sorted(set(langs))
     rng = np.random.default_rng(seed)
@@ -205,7 +207,7 @@ def fit(passages: list[bytes], langs: list[str], epochs: int = 14, batch: int =
     labels = np.array([number[x] for x in langs], np.int64)
     longest = max(map(len, passages), default=0)
     codes = np.frombuffer(b"".join(p.ljust(longest, b"\0") for p in passages), np.uint8).reshape(len(passages), -1).T.astype(np.int64)
-    there = (np.arange(longest)[:, None] < np.array([len(p) for p in passages])[None]).astype(np.float64)
+    there = (np.arange(longest)[:, None] < np.array([len(p) for p in passages])[None]).astype(np.float32)
     batches = max(1, len(passages) // batch)
     for epoch in range(epochs if len(known) > 1 else 0):
         learner.rate = rate * (1 - 0.9 * epoch / epochs)
