@@ -128,6 +128,41 @@ def test_comments_and_forms_go(html, lines):
     assert found == (lines or ["Title", re.sub("<[^>]*>", "", BODY).strip()])
 
 
+DATED = "".join(f"<li>202{i}-03-04 The bridge opened to traffic, at last.</li>" for i in range(4))
+TIMES = "".join(f"<li>1{i}:00 Registration, hall {i}</li>" for i in range(4))
+WORDS = "<h2>Heading</h2><p>Text of the article, under a telling name.</p>"
+SIGNED = "".join(f"<div class=c><span class=author>Ann {i}</span> <time>2021</time><p>I agree, all in all, with that.</p></div>" for i in range(3))
+
+
+@pytest.mark.parametrize("outer", ["article", "div", "main"])
+@pytest.mark.parametrize(
+    "part",
+    [
+        f"<ul>{DATED}</ul>", f"<ol>{TIMES}</ol>", f"<section class='discussion'>{WORDS}</section>", f"<section class='search-and-rescue'>{WORDS}</section>", f"<div id='search-algorithms'>{WORDS}</div>",
+        f"<div class='menu-history'>{WORDS}</div>", f"<div class='social-policy'>{WORDS}</div>", f"<div id='response-time'>{WORDS}</div>", "<div>" + "".join(f"<div class=event><span>202{i}-03-04</span><p>The bridge opened, at last.</p></div>" for i in range(3)) + "</div>",
+    ],
+)
+def test_text_that_looks_like_noise_stays(outer, part):
+    """Lists with dates, and sections whose names contain a word of menus or comments."""
+    if outer == "div" and "'discussion'" in part:
+        return  # outside an article the name alone tells
+    plain = [re.sub("<[^>]*>", "", x).strip() for x in re.split("(?<=</p>)|(?<=</li>)|(?<=</h2>)|(?<=</span>)", part)]
+    text = html_extract.main_text(f"<html><body><{outer}><h1>Title</h1>{BODY}{part}{BODY}</{outer}></body></html>")
+    assert [x for x in plain if x] == text.split("\n")[2:-1]
+
+
+@pytest.mark.parametrize("part", ["<div class='notice'><p>Text of a notice, here.</p></div>", "<div class='related'><a href=x>More of it</a> <a href=y>And more</a></div>", f"<div class='discussion'>{SIGNED}</div>", f"<div>{SIGNED}</div>", "<div id='left-sidebar'><p>Aside, it is.</p></div>", "<div class='ad-slot-2'><p>Buy it, now.</p></div>"])
+def test_noise_inside_an_article_goes(part):
+    text = html_extract.main_text(f"<html><body><article><h1>Title</h1>{BODY}{part}{BODY}</article></body></html>")
+    assert text.split("\n") == ["Title", *[re.sub("<[^>]*>", "", BODY).strip()] * 2]
+
+
+@pytest.mark.parametrize("outer", ["div", "main", "section"])
+def test_all_articles_of_a_page_are_kept(outer):
+    text = html_extract.main_text(f"<html><body><nav><a href=x>Home</a></nav><{outer}><article><h2>One</h2>{BODY}</article><article><h2>Two</h2><p>Short, but text.</p></article></{outer}></body></html>")
+    assert [x for x in text.split("\n") if len(x) < 30] == ["One", "Two", "Short, but text."]
+
+
 def test_scores_equal_plain_recursion():
     """Random trees: each paragraph's points reach its ancestors, half at each level."""
     rng = random.Random(8)

@@ -1,9 +1,9 @@
 """Main text of HTML pages by tree scoring.
 
 Paragraphs pass points for their length and commas to their ancestors, half as many at
-each level; a container's points are discounted by its link density. Where the page has
-one <article> or <main> that holds prose, that is the best container, and only paragraphs
-and headings beside it are kept. Elsewhere the text of all that stands beside the best
+each level; a container's points are discounted by its link density. Where the page marks
+its text as <article> or <main>, those that hold prose are the best containers, and only
+paragraphs and headings beside them are kept. Elsewhere the text of all that stands beside the best
 container is kept, level by level, up to where links prevail.
 """
 
@@ -29,13 +29,23 @@ BLOCK = frozenset("html address article aside blockquote body center dd details
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What an open element's start tag ends: a paragraph any block, others their own kind within a list or table.
 ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "tbody": ("tbody thead tfoot tr td th", "table"), "tfoot": ("tbody thead tfoot tr td th", "table")}
-#: Words of a class or id token that mark what may be no main text; of reader comments; and those that count outside an article only.
+#: Words that mark what may be no main text where a class or id token is one of them or ends in one; of reader comments likewise.
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion promoted cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup "
-    "sidebar sidenav aside menu nav navbar navigation topnav breadcrumb breadcrumbs pagination pager footer foot masthead toolbar share sharing social related recommended recommendations trending login search skip".split()
+    "sidebar sidenav aside menu nav navbar navigation topnav breadcrumb breadcrumbs pagination pager footer foot masthead toolbar share sharing social related recommended recommendations trending login search skip notice notices".split()
 )
 COMMENTS = frozenset("comment comments commentlist respond response responses replies disqus opinions reactions discussion guestbook".split())
-SOFT = frozenset("banner notice notices alert widget widgets toc".split())
+#: Those that count outside an article only.
+SOFT = frozenset("banner alert widget widgets toc".split())
+#: Those that may as well be an article's subject: inside one they count for elements of links, or without a sentence.
+SUBJECTS = frozenset("promotion consent overlay subscription aside menu navigation share sharing social related recommended recommendations trending login search skip".split())
+#: Those of comments that may be: inside an article they count only for elements that are lists of comments.
+TALKS = COMMENTS - {"comment", "comments", "commentlist", "disqus", "guestbook"}
+#: Words of layout, which may follow in a token.
+LAYOUT = frozenset("area bar block body bottom box button buttons center column container content field footer form group header holder icons inner item items left link links list main module outer panel posts primary row secondary section slot slots top unit units wrap wrapper".split())
+#: Words of class tokens by which an element tells who wrote a comment, and when.
+WHO = frozenset("author byline by user username name nick nickname commenter poster cite avatar vcard fn".split())
+WHENS = frozenset("date time timestamp datetime posted published ago when meta".split())
 #: Words that turn a token into a statement about the page: has-sidebar, no-ads, comments-open.
 STATES = frozenset("has have no non not with without is are open opened closed on off enabled disabled hide hidden show layout page".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar".split())
@@ -43,19 +53,22 @@ SAFE = frozenset("html body article main".split())
 
 TAG = re.compile(r"""<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?|["'])*+)>""")
 LOOSE_TAG = re.compile(r"<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<attrs>[^>]*+)>")
-ATTR = re.compile(r"""(?P<k>class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?P<v>"[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/"']|$)""", re.I)
+ATTR = re.compile(r"""(?P<k>class|id|role|style|itemprop|aria-hidden|hidden)(?:\s*=\s*(?P<v>"[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/"']|$)""", re.I)
 START = re.compile("<(?=[!?]|/?[A-Za-z])")
 WHITE = re.compile(r"\s+")
-#: How a comment's first line tells when it was written.
-WHEN = re.compile(r"\d{1,2}:\d{2}|\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{2,4}|\b(?:ago|says|wrote|replied)\b")
-#: Levels up to which a paragraph's points reach, each half of the one below; after these they count for nothing.
-LEVELS = 12
+#: How a comment's first line tells when it was written, and who wrote it.
+WHEN = re.compile(r"\d{1,2}:\d{2}|\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{2,4}|\b(?:\d+|an?) (?:second|minute|hour|day|week|month|year)s? ago\b")
+SAYS = re.compile(r"\b(?:says|said|wrote|writes|replied|commented)\b")
+#: Characters of a comment's first line, or of its author's or time's element, at most.
+SIGNED = 60
+#: Nodes of a block among which its first line is looked for.
+HEAD = 200
 #: Characters of prose beside reader comments that make a page more than these.
 LEAST = 25
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "gone", "score", "chars", "linked", "prose", "titles", "suspect", "near", "inside", "shape")
+    __slots__ = ("name", "parent", "children", "gone", "score", "chars", "linked", "prose", "titles", "suspect", "talk", "near", "inside", "shape", "words")
 
     def __init__(self, name: str, parent: Node | None, gone: bool = False):
         self.name, self.parent, self.gone = name, parent, gone
@@ -63,6 +76,8 @@ class Node:
         self.score, self.chars, self.linked, self.prose, self.titles = 0.0, 0, 0, 0, 0
         #: "" or why the node may be no main text: "noise" or "comments".
         self.suspect, self.near, self.inside, self.shape = "", 0, False, ""
+        #: Whether the suspicion needs the proof of links or of a list of comments.
+        self.talk, self.words = False, frozenset()
 
 
 def _text(s: str) -> str:
@@ -76,8 +91,20 @@ def _words(token: str) -> list[str]:
     return re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower())
 
 
+def _marks(token: str) -> str:
+    """The word that a class or id token ends in, but for words of layout and numbers; "" for statements about the page."""
+    low, words = token.lower(), _words(token)
+    if low in NOISE or low in COMMENTS or low in SOFT:
+        return low
+    if not STATES.isdisjoint(words):
+        return ""
+    while len(words) > 1 and (words[-1] in LAYOUT or not words[-1] or words[-1].isdigit()):
+        words.pop()
+    return words[-1]
+
+
 def _judge(node: Node, attrs: str) -> None:
-    """Sets gone, suspect and shape of a node from its name, place and attributes."""
+    """Sets gone, suspect, words and shape of a node from its name, place and attributes."""
     name = node.name
     node.gone = name in GONE or (name == "header" and not node.inside)  # an article's own header holds its title
     if name == "form":
@@ -89,18 +116,18 @@ def _judge(node: Node, attrs: str) -> None:
         low = value.lower()
         if key == "class":
             node.shape = low
+        if key in ("class", "itemprop"):
+            node.words = node.words.union(_words(value))
         if name in SAFE:
             continue
         if key == "hidden" or (key == "aria-hidden" and low == "true") or (key == "role" and low in ROLES) or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", low)):
             node.gone = True
         elif key in ("class", "id"):
-            for token in value.split():
-                words = _words(token)
-                if STATES.isdisjoint(words) or token.lower() in NOISE:
-                    if not COMMENTS.isdisjoint(words):
-                        node.suspect = "comments"
-                    elif not NOISE.isdisjoint(words) or not (node.inside or SOFT.isdisjoint(words)):
-                        node.suspect = node.suspect or "noise"
+            for word in map(_marks, value.split()):
+                if word in COMMENTS:
+                    node.suspect, node.talk = "comments", node.inside and word in TALKS
+                elif (word in NOISE or (word in SOFT and not node.inside)) and not node.suspect:
+                    node.suspect, node.talk = "noise", node.inside and word in SUBJECTS
 
 
 class _Open:
@@ -257,40 +284,52 @@ def _measure(order: list[Node]) -> None:
             node.prose += own * (read > 0.5)
             points = (1 + commas + min(own / 100, 3.0)) * read
             up = node.parent if node.name in ("p", "li", "td", "pre", "blockquote", "dd", "dt") and node.parent is not None else node
-            for _ in range(LEVELS):
-                up.score += points
-                points /= 2
-                if up.parent is None:
-                    break
-                up = up.parent
+            up.score += points
+        if node.parent is not None:
+            node.parent.score += node.score / 2
 
 
 def _kids(node: Node) -> list[Node]:
     return [c for c in node.children if not isinstance(c, str)]
 
 
-def _first_line(node: Node) -> str:
-    """The text before a node's first paragraph, up to a line's length."""
-    out, stack = "", list(reversed(node.children))
-    while stack and len(out) < 80:
+def _head(node: Node) -> tuple[str, bool, bool]:
+    """The text before a block's first paragraph, up to a line's length, and whether elements in it tell who and when."""
+    out, who, when, stack = "", False, False, list(reversed(node.children))
+    for _ in range(HEAD):
+        if not stack or len(out) > SIGNED:
+            break
         c = stack.pop()
         if isinstance(c, str):
             out += c
-        elif c.name == "p" and out.strip():
+            continue
+        if c.name == "p" and (out.strip() or who or when):
             break
-        elif c.name == "time":
-            return "00:00"
-        else:
-            stack.extend(reversed(c.children))
-    return out[:80]
+        short = 0 < c.chars <= SIGNED
+        when = when or c.name == "time" or (short and not WHENS.isdisjoint(c.words))
+        who = who or c.name == "cite" or (short and not WHO.isdisjoint(c.words))
+        stack.extend(reversed(c.children))
+    return WHITE.sub(" ", out).strip(), who, when
+
+
+def _signed(node: Node) -> bool:
+    """Whether a block begins with who wrote it and when: by elements for them, by "wrote" and a time, or, outside an article, by a short line with a name and a time of its own."""
+    line, who, when = _head(node)
+    timed = when or WHEN.search(line)
+    if len(line) > SIGNED or not timed:
+        return False
+    if who or (SAYS.search(line) and not (node.name == "li" and node.inside)):
+        return True
+    more = node.chars > len(line) + 1 and any(c.name in BLOCK for c in _kids(node))
+    return not node.inside and more and any(x.isalpha() for x in WHEN.sub("", line))
 
 
 def _thread(node: Node) -> bool:
-    """Whether a node is a list of comments: several blocks of one shape, each with the time at which it was written."""
+    """Whether a node is a list of comments: several blocks of one shape, most of them signed."""
     items = [c for c in _kids(node) if c.name in ("div", "li", "article", "section", "blockquote", "dd") and c.prose]
     if len(items) < 2 or Counter((c.name, c.shape) for c in items).most_common(1)[0][1] < 2:
         return False
-    return sum(1 for c in items if WHEN.search(_first_line(c))) > len(items) / 2
+    return sum(map(_signed, items)) > len(items) / 2
 
 
 def _settle(root: Node, order: list[Node]) -> None:
@@ -300,8 +339,11 @@ def _settle(root: Node, order: list[Node]) -> None:
     or most of the prose with little outside; what is suspect inside them is judged in turn.
     """
     for node in order:
-        if not node.suspect and node.name not in SAFE and _thread(node):
-            node.suspect = "comments"
+        if node.talk and node.suspect == "noise":
+            node.suspect = "noise" if 2 * node.linked > node.chars or node.prose < LEAST else ""
+        if node.talk or not node.suspect:
+            talk = node.name not in SAFE and _thread(node)
+            node.suspect = "comments" if talk else "" if node.suspect == "comments" else node.suspect
     waiting, held = [], [root]
     while held:
         for c in _kids(held.pop()):
@@ -382,11 +424,12 @@ def _around(best: Node) -> tuple[Node, set[int]]:
     return top, skip
 
 
-def _marked(root: Node, best: Node) -> Node | None:
-    """The article that the page marks: the only one with prose, or the one around the best container."""
+def _marked(root: Node, best: Node) -> list[Node]:
+    """The articles that the page marks, in page order: the only one with prose, or the one around the best container with
+    those beside it that hold prose; elsewhere on the page those that hold half as much as it."""
     found, held = [], [root]
     while held:
-        for c in _kids(held.pop()):
+        for c in reversed(_kids(held.pop())):
             if c.name in ("article", "main"):
                 found += [c] if c.prose else []
             else:
@@ -394,17 +437,21 @@ def _marked(root: Node, best: Node) -> Node | None:
     while len(found) == 1 and found[0].name == "main":
         inner, held = [], [found[0]]
         while held:
-            for c in _kids(held.pop()):
+            for c in reversed(_kids(held.pop())):
                 (inner if c.name == "article" and c.prose else held).append(c)
         if len(inner) != 1 or 2 * inner[0].prose < found[0].prose:
             break
         found = inner
     if len(found) == 1:
-        return found[0]
-    up: Node | None = best
-    while up is not None and up.name not in ("article", "main"):
+        return found
+    known, up = {id(c) for c in found}, best
+    while up is not None and id(up) not in known:
         up = up.parent
-    return up
+    if up is None:
+        return []
+    order = {id(c): k for k, c in enumerate(_order(root))}
+    more = [c for c in found if c is up or (_density(c) < 0.5 and (c.parent is up.parent or 2 * c.prose >= up.prose))]
+    return sorted(more, key=lambda c: order[id(c)])
 
 
 def main_text(html: str | None) -> str:
@@ -423,13 +470,14 @@ def main_text(html: str | None) -> str:
         best = root
     out: list[list[str]] = [[]]
     marked = _marked(root, best)
-    if marked is None:
+    chosen = {id(c) for c in marked}
+    if not marked:
         top, skip = _around(best)
         _blocks(top, out, skip, lists=False)
-    else:
-        for c in marked.parent.children:
+    for parent in dict.fromkeys(c.parent for c in marked):
+        for c in parent.children:
             paragraph = not isinstance(c, str) and (c.name in HEADING or c.name == "p") and _density(c) < 0.25
-            if c is marked or paragraph:
+            if paragraph or id(c) in chosen:
                 out.append([])
                 _blocks(c, out)
     lines = (WHITE.sub(" ", "".join(b)).strip() for b in out)
