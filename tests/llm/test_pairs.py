@@ -95,6 +95,33 @@ def test_candidates_of_a_shared_half_are_linear(spark, percent):
     assert pairs[1] <= 4.5 * pairs[0] + 100, pairs
 
 
+def meetings(spark, docs, percent):
+    """How many pairs of rows meet in buckets, before any other condition."""
+    df = spark.createDataFrame(docs, SCHEMA)
+    sets = df.select("doc_id", F.encode("text", "utf-8").alias("body")).mapInArrow(ngram_join._sets(4), "doc_id long, sid long, sid2 long, n long, tokens array<long>, bits array<long>")
+    return ngram_join._meetings(ngram_join._signatures(sets.withColumnRenamed("doc_id", "node"), df, 4, percent), percent).where("node_a <> node_b").count()
+
+
+@pytest.mark.parametrize(("own", "percent"), [(30, 85), (45, 80), (22, 90)])
+def test_candidates_of_templates_are_linear(spark, own, percent):
+    """Documents of one template share most words and do not link: pairs grow as the documents do."""
+    rng = random.Random(own)
+    common = words(rng, 200, 10**9)
+    docs = [(i, " ".join(common + words(rng, own, 10**9))) for i in range(1200)]
+    pairs = [meetings(spark, docs[:n], percent) for n in (300, 600, 1200)]
+    assert all(b <= 2.5 * a + 300 for a, b in zip(pairs, pairs[1:], strict=False)), pairs
+
+
+@pytest.mark.parametrize("percent", [80, 85, 90])
+def test_join_of_templates(spark, percent):
+    """Own parts of all sizes beside a template, about the limit: some link, some do not, by size too."""
+    rng = random.Random(percent)
+    common = words(rng, 60, 10**9)
+    docs = [(i, " ".join(common[: rng.choice((60, 60, 55))] + words(rng, rng.randrange(16), 10**9))) for i in range(90)]
+    members, _ = ngram_join.similar_classes(spark.createDataFrame(docs, SCHEMA), 4, percent)
+    assert {(r.doc_id, r.n, r.component_id) for r in members.collect()} == set(brute.similar(docs, 4, percent))
+
+
 def test_join_of_long_texts(spark):
     rng = random.Random(7)
     base = words(rng, 60_000, 10**5)

@@ -7,7 +7,9 @@ prefixes of this order, a rare token, or k frequent tokens of one small group: k
 with the frequency class, and each group lengthens the prefix by k - 1. A level is counted
 only for the sets that the levels before it leave with a prefix too short, so most sets
 have a quarter of their tokens counted, and those full of common passages all of them.
-Buckets of equal signatures give candidates, which are verified on the texts.
+A signature also tells how many tokens come before it, and so how large a partner can be
+that meets here first; only members whose sizes allow each other meet in the bucket of
+equal signatures. These candidates are verified on the texts.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ CLASS_ROWS = (16, 1024)
 GROUPS = 0.05
 #: Bands whose sets are smaller than this index frequent tokens singly.
 LEAST_COMBINED = 12
+#: Sizes within a cell differ by less than this factor; in a bucket, members of cells that allow each other meet.
+CELL = 1.01
 #: 64-bit words of the parity bitmap that bounds the difference of two sets.
 BITMAP = 16
 
@@ -72,6 +76,11 @@ def _level(tokens: np.ndarray, level: int) -> np.ndarray:
     return tokens[int(np.searchsorted(tokens, np.uint64(low))) : stop]
 
 
+def _need(n: int, percent: int) -> int:
+    """Tokens of which a similar set of any size shares one: all but those that may differ, and one more."""
+    return n - (n * percent + 99) // 100 + 1
+
+
 def _identity(tokens: np.ndarray, seed: int) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes(), seed) - (1 << 63)
 
@@ -116,9 +125,10 @@ def _combinations(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, owners, sizes = [], [], []
+            out, owners, sizes, before = [], [], [], []
             for node, n, left, frequent in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "left", "frequent")), strict=True):
-                ordered, signatures = sorted((x["class"], x["token"]) for x in frequent), set()
+                ordered, signatures = sorted((x["class"], x["token"]) for x in frequent), {}
+                done = _need(n, percent) - left
                 for band in (_band(n, percent), _band(n, percent) + 1):
                     size, units, groups = _band_size(band, percent), 0, {}
                     for kind, t in ordered:
@@ -126,21 +136,26 @@ def _combinations(percent: int):
                             break
                         k = kind + 1 if size >= LEAST_COMBINED else 1
                         group = groups.setdefault((kind, t % max(1, round(GROUPS * size))), [])
+                        signatures.update((xxhash.xxh3_64_intdigest(f"{band} {others} {t}") - (1 << 63), done + units) for others in combinations(group, k - 1))
                         units += len(group) >= k - 1
-                        signatures.update(xxhash.xxh3_64_intdigest(f"{band} {others} {t}") - (1 << 63) for others in combinations(group, k - 1))
                         group.append(t)
                 out.extend(signatures)
+                before.extend(signatures.values())
                 owners.extend([node] * len(signatures))
                 sizes.extend([n] * len(signatures))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (out, owners, sizes)], ["signature", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (out, owners, sizes, before)], ["signature", "node", "n", "before"])
 
     return run
 
 
 def _signatures(classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """signature, node, n of the classes of sets that may be similar to another one.
+    """signature, node, n and most of the classes of sets that may be similar to another one.
 
-    Sets so small that none but an equal one is similar have none.
+    most is the size of the largest set that may be similar and share none of the tokens
+    before. Where a token (or the last one of k) is the first that two sets share, `before`
+    tokens of each count as not shared, so the intersection is at most n - before, and the
+    sum of both sizes at most (100 + percent) / percent times that. Sets so small that
+    none but an equal one is similar have no signatures.
     """
     pair = "array<struct<class:int,token:bigint>>"
     need = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1
@@ -161,13 +176,29 @@ def _signatures(classes: DataFrame, docs: DataFrame, shingle: int, percent: int)
         rare = F.sort_array(F.transform(F.filter("shared", lambda x: x["class"] == 0), lambda x: x["token"]))
         after = F.greatest(F.col("left") - (F.size("tokens") - F.size("shared")), F.lit(0))
         held = cut(held.select("sid", "node", "n", after.alias("after"), rare.alias("rare"), F.concat("frequent", F.filter("shared", lambda x: x["class"] > 0)).alias("frequent")))
-        found.append(held.select(F.explode(F.slice("rare", F.lit(1), F.col("after").cast("int"))).alias("signature"), "node", "n"))
+        single = held.select(F.posexplode(F.slice("rare", F.lit(1), F.col("after").cast("int"))).alias("at", "signature"), "node", "n", (need - F.col("after")).alias("done"))
+        found.append(single.select("signature", "node", "n", (F.col("done") + F.col("at")).alias("before")))
         left = F.col("after") - F.size("rare")
         open_ = held.where(left > 0).select("sid", "node", "n", left.alias("left"), F.lit(None).cast("array<long>").alias("tokens"), "frequent")
         if not open_.head(1):
             break
-    found.append(open_.select("node", "n", "left", "frequent").mapInArrow(_combinations(percent), "signature long, node long, n long"))
-    return functools.reduce(DataFrame.union, found)
+    found.append(open_.select("node", "n", "left", "frequent").mapInArrow(_combinations(percent), "signature long, node long, n long, before long"))
+    most = F.expr(f"(n - before) * {100 + percent} div {percent} - n")
+    return functools.reduce(DataFrame.union, found).select("signature", "node", "n", most.alias("most"))
+
+
+def _meetings(members: DataFrame, percent: int) -> DataFrame:
+    """Rows of two members of a bucket (signature), columns ending in _a and _b, whose cells of sizes allow each other.
+
+    A member meets those of its own size or larger, cell by cell up to the largest size
+    that its place in the bucket leaves, so a bucket of sets that share much and yet too
+    little costs no more than its members.
+    """
+    cell = lambda size: F.floor(F.log(size.cast("double")) / math.log(CELL))
+    side = lambda s: members.select("signature", *(F.col(x).alias(f"{x}_{s}") for x in members.columns if x != "signature"))
+    largest = F.least(F.col("most_a"), F.expr(f"n_a * 100 div {percent}"))
+    one = side("a").where("most_a >= n_a").withColumn("_cell", F.explode(F.sequence(cell(F.col("n_a")), cell(largest))))
+    return one.join(side("b").withColumn("_cell", cell(F.col("n_b"))), ["signature", "_cell"]).drop("_cell")
 
 
 def _verified(shingle: int, percent: int):
@@ -227,9 +258,9 @@ def similar_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> tup
     ids. Repeated rows are in one class; rows that share a doc_id and differ in text
     connect through it. An empty table gives empty results.
 
-    Candidates come in two rounds. First every member of a bucket meets the bucket's
-    smallest member only, which is linear in the bucket and ties groups of copies
-    together. Then members of different components of a bucket meet, if sizes and
+    Candidates come in two rounds. First every member of a bucket meets the smallest set
+    in it only, which is linear in the bucket and ties groups of copies together. Then
+    members of different components of a bucket meet, if their sizes allow each other and
     parity bitmaps leave similarity possible.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -239,11 +270,14 @@ def similar_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> tup
     classes = cut(known.groupBy("sid", "sid2").agg(F.min("doc_id").alias("node"), *(F.first(x).alias(x) for x in ("n", "bits", "tokens"))))
     since = mark()
     signatures = _signatures(classes, docs, shingle, percent)
-    buckets = signatures.groupBy("signature").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
-    signatures = cut(signatures.join(buckets.select("signature", "first"), "signature"))
+    smaller = lambda x: F.when(F.col("most") >= F.col("n"), x)
+    buckets = signatures.groupBy("signature").agg(F.min("node").alias("_x"), F.max("node").alias("_y"), F.min(smaller(F.struct("n", "node", "most"))).alias("hub"), F.max(smaller(F.col("most"))).alias("far"))
+    buckets = buckets.where("_x < _y and hub is not null").select("signature", "hub", "far")
+    signatures = cut(signatures.join(buckets, "signature").where("most >= n or n between hub.n and far").drop("far"))
     release(spark, since, keep=1)
 
-    stars = signatures.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    ends = F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")
+    stars = signatures.where("node <> hub.node and n between hub.n and hub.most and hub.n <= most").select(*ends).distinct()
     links = cut(_checked(stars, classes, docs, shingle, percent))
     # Rows of one doc_id with different texts are one node of the graph.
     several = known.select("doc_id", "sid", "sid2").distinct().join(classes, ["sid", "sid2"]).where("doc_id <> node").groupBy("doc_id", "node").count()
@@ -251,17 +285,16 @@ def similar_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> tup
     joined = several.join(twice, "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     found = cut(components(links.union(joined)))
 
-    labelled = signatures.select("signature", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = signatures.select("signature", "node", "n", "most").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed_buckets = labelled.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("signature")
     rest = labelled.join(mixed_buckets, "signature").join(classes.select("node", "bits"), "node")
-    one, two = (rest.select("signature", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component", "bits"))) for s in "ab")
     differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
     possible = (
-        (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
-        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        (F.col("component_a") != F.col("component_b")) & F.expr("n_a < n_b or n_a = n_b and node_a < node_b")
+        & (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b")) & (100 * F.col("n_a") >= percent * F.col("n_b"))
         & ((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
     )
-    cross = one.join(two, "signature").where(possible).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    cross = _meetings(rest, percent).where(possible).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     more = cut(_checked(cross, classes, docs, shingle, percent, bounded=True))
     links = links.union(more)
     if more.head(1):
