@@ -258,8 +258,7 @@ def similar_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> tup
     ids. Repeated rows are in one class; rows that share a doc_id and differ in text
     connect through it. An empty table gives empty results.
 
-    Candidates come in two rounds. First every member of a bucket meets the smallest set
-    in it only, which is linear in the bucket and ties groups of copies together. Then
+    Candidates come in two rounds. First every member of a bucket meets one of it only, which is linear in the bucket and ties groups of copies together. Then
     members of different components of a bucket meet, if their sizes allow each other and
     parity bitmaps leave similarity possible.
     """
@@ -271,13 +270,13 @@ def similar_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> tup
     since = mark()
     signatures = _signatures(classes, docs, shingle, percent)
     smaller = lambda x: F.when(F.col("most") >= F.col("n"), x)
-    buckets = signatures.groupBy("signature").agg(F.min("node").alias("_x"), F.max("node").alias("_y"), F.min(smaller(F.struct("n", "node", "most"))).alias("hub"), F.max(smaller(F.col("most"))).alias("far"))
-    buckets = buckets.where("_x < _y and hub is not null").select("signature", "hub", "far")
-    signatures = cut(signatures.join(buckets, "signature").where("most >= n or n between hub.n and far").drop("far"))
+    buckets = signatures.groupBy("signature").agg(F.min("node").alias("_x"), F.max("node").alias("_y"), F.min(smaller(F.struct("node", "n", "most"))).alias("hub"), F.min(smaller(F.col("n"))).alias("near"), F.max(smaller(F.col("most"))).alias("far"))
+    buckets = buckets.where("_x < _y and hub is not null").drop("_x", "_y")
+    signatures = cut(signatures.join(buckets, "signature").where("most >= n or n between near and far").drop("near", "far"))
     release(spark, since, keep=1)
 
     ends = F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")
-    stars = signatures.where("node <> hub.node and n between hub.n and hub.most and hub.n <= most").select(*ends).distinct()
+    stars = signatures.where("node <> hub.node and n <= hub.most and hub.n <= most").select(*ends).distinct()
     links = cut(_checked(stars, classes, docs, shingle, percent))
     # Rows of one doc_id with different texts are one node of the graph.
     several = known.select("doc_id", "sid", "sid2").distinct().join(classes, ["sid", "sid2"]).where("doc_id <> node").groupBy("doc_id", "node").count()
