@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import definitions
 from tidewell.functions import rolling as R
-from tidewell.operators import backtest, eventstudy, factcheck, filings, graph, indicators, ordered, patterns, portfolio, stats, text, vectors
+from tidewell.operators import backtest, claims, eventstudy, filings, graph, indicators, ordered, patterns, portfolio, stats, text, vectors
 from tidewell.sources.views import candles
 
 
@@ -232,12 +232,6 @@ def test_grid_spans():
     assert filings.grid("") == []
 
 
-def test_periods_in_sentences():
-    today = date(2026, 8, 14)
-    assert [p[2] for p in factcheck.periods_in("작년 4분기와 2분기, 2025년 상반기", today)] == ["2025Q4", "2026Q2", "2025H1"]
-    assert factcheck.periods_in("", today) == []
-
-
 def test_definitions():
     assert definitions.checksum({"a": 1, "b": ""}) == definitions.checksum({"b": None, "a": 1.0})
     for n in (0, 501, 1.5):
@@ -276,15 +270,8 @@ def test_warm_up_days():
     assert warm_up_days("hold") == warm_up_days("instalments") == 0 and warm_up_days("momentum", 60) > 60
 
 
-def test_rows_of_tables_carry_what_stands_above_them():
-    body = "<P>Intro.</P><P>(단위: 억원)</P><TABLE><TR><TH></TH><TH>2024</TH></TR><TR><TD>a<TD>1</TR><TR><TD>b</TD></TR></TABLE><TITLE>Two</TITLE><TABLE><TR><TD>just one</TD><TD>row</TD></TR></TABLE><TABLE><TR><TD>Sales</TD><TD>(단위 : 원)</TD></TR></TABLE><TABLE><TR><TH>k</TH></TR><TR><TD>7</TD></TR></TABLE>"
-    found = list(text.section_blocks(body))
-    assert found == [("para", "Intro."), ("row", "[표, 단위 억원] a | 2024: 1"), ("row", "[표, 단위 억원] b"), ("title", "Two"), ("para", "just one | row"), ("row", "[Two 표, Sales, 단위 원] k: 7")]
-    assert text.packed([("title", "T"), ("para", "One. Two two."), ("row", "[x] r"), ("title", "U"), ("para", "z")], 12) == ["[T] One.", "[T] Two two.", "[x] r", "[U] z"]
-
-
 @pytest.mark.parametrize(
-    ("said", "claims"),
+    ("said", "wanted"),
     [
         ("매출과 영업이익은 333.6조원, 43.6조원", [("revenue", 333_600 * 10**9, False), ("operating_income", 43_600 * 10**9, False)]),
         ("매출은 각각 1조, 2조 원", [("revenue", 10**12, False), ("revenue", 2 * 10**12, False)]), ("매출 5억 원에서 7억 원으로", [("revenue", 7 * 10**8, False)]),
@@ -292,6 +279,6 @@ def test_rows_of_tables_carry_what_stands_above_them():
         ("영업이익률과 매출은 3억 원", [("revenue", 3 * 10**8, False)]), ("매출, 영업이익은 3억 원", []), ("2024년 매출", []), ("", []), (None, []),
     ],
 )
-def test_amount_claims(spark, said, claims):
-    found = spark.createDataFrame([(said,)], "t string").select(factcheck.amount_claims(F.col("t")).alias("c")).first().c
-    assert [tuple(x) for x in found] == [(a, Decimal(v), p) for a, v, p in claims]
+def test_amount_claims(spark, said, wanted):
+    found = spark.createDataFrame([(said,)], "t string").select(claims.amount_claims(F.col("t")).alias("c")).first().c
+    assert [tuple(x) for x in found] == [(a, Decimal(v), p) for a, v, p in wanted]

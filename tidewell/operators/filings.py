@@ -1,112 +1,34 @@
-"""Filed tables and names: grids with spans, labelled rows, figures of result forms, mentions of companies."""
+"""Filed tables: cells and rows with their labels."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-c = F.col
-_ROW = re.compile(r"<TR\b[^>]*>(.*?)(?=<TR\b|</TABLE|\Z)", re.S | re.I)
-_CELL = re.compile(r"<T[DHEU]\b([^>]*)>(.*?)(?=<T[DHEU]\b|</TR|\Z)", re.S | re.I)
-_TAG = re.compile(r"<[^>]*>")
-
+from .markup import pieces, read
+from .passages import carried_tables
 
-def _span(attributes: str, name: str) -> int:
-    m = re.search(rf"{name}\s*=\s*[\"']?(\d+)", attributes, re.I)
-    return max(1, min(int(m[1]), 1000)) if m else 1
+c = F.col
 
 
 def grid(table: str) -> list[list[str]]:
-    """Cells of a table with spans filled: every row has the text of all cells that cover it."""
-    filled: dict[tuple[int, int], str] = {}
-    for r, row in enumerate(_ROW.findall(table or "")):
-        at = 0
-        for attributes, body in _CELL.findall(row):
-            while (r, at) in filled:
-                at += 1
-            text = re.sub(r"\s+", " ", _TAG.sub(" ", body)).strip()
-            for dr in range(_span(attributes, "ROWSPAN")):
-                for dc in range(_span(attributes, "COLSPAN")):
-                    filled[r + dr, at + dc] = text
-            at += _span(attributes, "COLSPAN")
-    height = 1 + max((r for r, _ in filled), default=-1)
-    width = 1 + max((k for _, k in filled), default=-1)
-    return [[filled.get((r, k), "") for k in range(width)] for r in range(height)]
+    """Cells of a table with spans filled: every row has the text of all cells that cover it; spans end with the table."""
+    return next(([[text for text, _ in row] for row in rows] for kind, _, _, _, _, rows in read(table) if kind == "table"), [])
 
 
 def table_cells(docs: DataFrame) -> DataFrame:
-    """doc_id, tab, row, label, head, value of every filled cell of tables with a header row; docs has doc_id and xml.
+    """doc_id, tab, row, col, label, head, value of every filled cell of tables with a header; docs has doc_id and xml.
 
-    The first column labels its row and the first row its columns.
+    The first column labels its row; a column's head is the texts of the header rows above
+    it, with the periods that the table or its cover names. tab is the table's place among
+    the filing's pieces; a cell that covers columns stands in the first of them.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for doc_id, xml in zip(pdf["doc_id"], pdf["xml"], strict=True):
-                for t, table in enumerate(re.findall(r"<TABLE\b.*?</TABLE>", xml or "", re.S | re.I)):
-                    rows = grid(table)
-                    for r, row in enumerate(rows[1:], 1):
-                        out += [(doc_id, t, r, row[0], rows[0][k], v) for k, v in enumerate(row) if k and v]
-            yield pd.DataFrame(out, columns=["doc_id", "tab", "row", "label", "head", "value"])
-
-    return docs.select("doc_id", "xml").mapInPandas(run, "doc_id long, tab int, row int, label string, head string, value string")
+    rows = carried_tables(pieces(docs))
+    each = rows.select("doc_id", c("pos").alias("tab"), (c("row") + 1).alias("row"), F.get("values", F.lit(0)).alias("label"), "labels", F.posexplode("values").alias("col", "value"))
+    return each.where("col > 0 and value <> ''").select("doc_id", "tab", "row", "col", "label", F.get("labels", "col").alias("head"), "value")
 
 
 def labelled_rows(cells: DataFrame) -> DataFrame:
-    """doc_id, tab, row, text: a table row as `label: head value; head value`."""
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("head", "value"))), lambda x: F.concat(x["head"], F.lit(" "), x["value"]))
+    """doc_id, tab, row, text: a table row as `label: head value; head value`, columns in their order."""
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("col", "head", "value"))), lambda x: F.concat(x["head"], F.lit(" "), x["value"]))
     return cells.groupBy("doc_id", "tab", "row", "label").agg(F.concat(c("label"), F.lit(": "), F.array_join(parts, "; ")).alias("text")).drop("label")
-
-
-def figures(cells: DataFrame, names: dict[str, str]) -> DataFrame:
-    """doc_id, figure, head, amount of a result form's rows whose label matches a figure's pattern."""
-    kind = None
-    for figure, pattern in names.items():
-        test = c("label").rlike(pattern)
-        kind = F.when(test, figure) if kind is None else kind.when(test, figure)
-    digits = F.regexp_replace("value", r"[,\s]", "")
-    amount = F.when(digits.rlike(r"^\(\d+\)$"), -F.regexp_replace(digits, r"[()]", "").try_cast("bigint")).otherwise(digits.try_cast("bigint"))
-    return cells.select("doc_id", kind.alias("figure"), "head", amount.alias("amount")).where("figure is not null and amount is not null")
-
-
-def mentions(texts: DataFrame, names: DataFrame, key: str, longest: int = 3) -> DataFrame:
-    """key, at, name, company of dictionary names in a text: runs of up to `longest` words, longest first.
-
-    texts has key and text, names has name and company. A word's trailing punctuation and
-    Korean particle are cut before the look-up, which is an equi-join on the run. A
-    mention inside a longer one is left out.
-    """
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    clean = F.transform(words, lambda w: F.regexp_replace(F.regexp_replace(w, r"^[^\w가-힣]+|[^\w가-힣]+$", ""), r"(?<=[가-힣]{2})(으로|에서|은|는|이|가|을|를|의|와|과|도)$", ""))
-    df = texts.select(key, clean.alias("w")).select(key, "w", F.posexplode("w").alias("at", "first"))
-    runs = F.array(*[F.when(F.size("w") >= c("at") + n, F.struct(F.lit(n).alias("n"), F.array_join(F.slice("w", c("at") + 1, F.lit(n)), " ").alias("name"))) for n in range(1, longest + 1)])
-    each = df.select(key, "at", F.explode(F.array_compact(runs)).alias("r")).select(key, "at", "r.*")
-    found = each.join(names, "name")
-    before = Window.partitionBy(key).orderBy("at", F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.coalesce(F.max(c("at") + c("n")).over(before), F.lit(0))
-    return found.withColumn("_reach", reach).where(c("at") + c("n") > c("_reach")).drop("_reach", "n")
-
-
-def subjects(found: DataFrame, key: str) -> DataFrame:
-    """key, company: the first company a text mentions, and whether it names another."""
-    return found.groupBy(key).agg(F.min_by("company", "at").alias("company"), (F.count_distinct("company") > 1).alias("others"))
-
-
-# Words that may stand beside a matched amount without changing what is claimed.
-HARMLESS = ("매출", "매출액", "영업이익", "순이익", "원", "이다", "입니다", "기록했다", "분기", "년", "은", "는", "the", "of", "was", "is", "revenue")
-
-
-def residue(text: Column) -> Column:
-    """Words of a sentence that are neither numbers nor harmless: what a matched amount does not cover."""
-    words = F.filter(F.split(F.lower(F.regexp_replace(text, r"[\d.,%()~:]+[조억만천]*", " ")), r"\s+"), lambda w: w != "")
-    return F.array_except(words, F.array(*map(F.lit, HARMLESS)))
-
-
-def supported(same: Column, digits: Column, left: Column) -> Column:
-    """A claim supported without a judge: equal amounts of two or more significant digits and nothing left unread."""
-    return same & (digits >= 2) & (F.size(left) == 0)

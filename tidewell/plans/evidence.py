@@ -6,6 +6,8 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tidewell.catalog import query
+from tidewell.operators import companies, subjects
+from tidewell.operators import passages as P
 from tidewell.operators import text as X
 from tidewell.sources.views import CLAIMS, RUNS, claims, runs, table
 
@@ -17,18 +19,18 @@ def _filings(spark, d):
     """Documents dressed as filings: the text as paragraphs of the second section."""
     docs = table(spark, d, "documents")
     body = F.regexp_replace(F.regexp_replace("text", "[<>]", " "), r"\n+", "</P><P>")
-    xml = F.concat(F.lit("<SECTION-1><TITLE>I. One</TITLE><P>first</P><SECTION-1><TITLE> Ⅱ. Two </TITLE><P>"), body, F.lit("</P><TITLE>Figures</TITLE><TABLE><TR><TD>By kind</TD><TD>(단위: 백만원)</TD></TR></TABLE><TABLE><TR><TH>name</TH><TH>amount</TH></TR><TR><TD>first<TD>"), "doc_id", F.lit("</TR><TR><TD>second</TD><TD>"), F.length("text"), F.lit("</TD></TR></TABLE></SECTION-1><SECTION-1><TITLE>III. Three</TITLE><P>last</P></SECTION-1>"))
+    xml = F.concat(F.lit("<SECTION-1><TITLE>I. One</TITLE><P>first</P><SECTION-1><TITLE> Ⅱ. Two </TITLE><P>"), body, F.lit("</P><TITLE>Figures</TITLE><TABLE><TR><TD>By kind</TD><TD>(단위: 백만원)</TD></TR></TABLE><TABLE><TR><TH>name</TH><TH>amount</TH></TR><TR><TD>first<TD>"), "doc_id", F.lit("</TR><TR><TD>second</TD><TD>"), F.length("text"), F.lit("</TD></TR></TABLE></SECTION-1><SECTION-1><TITLE>III. Three</TITLE><P>last &amp; least</P><SECTION-2><TITLE>3. 주석</TITLE><P>a note</P></SECTION-1>"))
     return docs.select("doc_id", xml.alias("xml"))
 
 
 @query("tx01_filing_section")
 def tx01(spark, d):
-    return X.filing_passages(_filings(spark, d), "II.Two").groupBy("doc_id").agg(F.count("*").alias("passages"), F.max(F.length("text")).alias("longest"))
+    return P.filing_passages(_filings(spark, d), "II.Two").groupBy("doc_id").agg(F.count("*").alias("passages"), F.max(F.length("text")).alias("longest"))
 
 
 @query("tx03_packed_passages")
 def tx03(spark, d):
-    return X.filing_passages(_filings(spark, d), "II.Two").select("doc_id", "idx", "text")
+    return P.filing_passages(_filings(spark, d), "II.Two").select("doc_id", "idx", "text")
 
 
 @query("tx04_passage_ids", "SELECT doc_id, 'd-' || lpad(i::VARCHAR, 4, '0') AS id, sha256(l) AS sha FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)")
@@ -158,9 +160,18 @@ def tx15(spark, d):
     return parsed.select("o_orderkey", X.numbers_agree(c("w"), c("h")).alias("ok"))
 
 
-@query("tx16_name_bounds", "SELECT doc_id, regexp_matches(text, '(^|[^A-Za-z0-9])The([^A-Za-z0-9]|$)') AS found FROM documents")
+_NAMED = r"""f AS (SELECT doc_id, string_split(text, chr(10))[1] AS claim, array_to_string(string_split(text, chr(10))[2:], chr(10)) AS passage FROM documents),
+t AS (SELECT doc_id, passage, claim, unnest(regexp_split_to_array(claim, '\s+')) AS raw FROM f),
+n AS (SELECT DISTINCT doc_id, passage, regexp_replace(raw, '^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$', '', 'g') AS name FROM t WHERE regexp_matches(raw, '[A-Z]')
+  UNION SELECT doc_id, passage, trim(unnest(regexp_extract_all(claim, '[''‘"“「『]([^''’"”」』]{2,})[''’"”」』]', 1))) FROM f)"""
+
+
+@query("tx16_name_bounds", f"WITH {_NAMED}, h AS (SELECT doc_id, bool_and(regexp_matches(passage, '(^|[^가-힣A-Za-z0-9])' || regexp_escape(name) || '($|[^가-힣A-Za-z0-9])')) AS ok FROM n WHERE name <> '' GROUP BY 1) SELECT doc_id, coalesce(ok, true) AS found FROM f LEFT JOIN h USING (doc_id)")
 def tx16(spark, d):
-    return table(spark, d, "documents").select("doc_id", c("text").rlike(r"(?<![A-Za-z0-9])The(?![A-Za-z0-9])").alias("found"))
+    """All names of a document's first line stand in the lines after it, at the bounds of words."""
+    lines = table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("l"))
+    rest = F.array_join(F.slice("l", F.lit(2), F.greatest(F.size("l") - 1, F.lit(0))), "\n")
+    return lines.select("doc_id", subjects.names_in_passage(c("l")[0], rest, F.lit("")).alias("found"))
 
 
 @query("tx17_tiers", f"WITH {CLAIMS} SELECT run_id, idx, part, CASE WHEN s < 0.2::DOUBLE THEN 'low' WHEN s >= 0.7::DOUBLE AND c < 0.4::DOUBLE THEN 'high' ELSE 'judge' END AS tier, latency_ms FROM claims")
@@ -274,18 +285,19 @@ def tx32(spark, d):
     return table(spark, d, "documents").select("doc_id", F.exists(F.array(*map(F.lit, BLOCKED)), lambda t: low.contains(t)).alias("blocked"))
 
 
-@query("tx33_mentioned_symbols", "SELECT p_partkey, list_sort(list(w))::VARCHAR AS found FROM part JOIN (VALUES ('red'), ('small'), ('ring'), ('widget')) t(w) ON contains(p_name, w) GROUP BY 1")
+@query("tx33_mentioned_symbols", "SELECT p_partkey, list_sort(list(w))::VARCHAR AS found FROM part JOIN (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part) t ON contains(p_name, w) GROUP BY 1")
 def tx33(spark, d):
-    names = spark.createDataFrame([("red",), ("small",), ("ring",), ("widget",)], "w string")
-    hits = table(spark, d, "part").join(F.broadcast(names), c("p_name").contains(c("w"))).groupBy("p_partkey").agg(F.array_sort(F.collect_list("w")).alias("f"))
+    """Which of all words of part names each part's name contains."""
+    part = table(spark, d, "part")
+    names = part.select(F.explode(F.split("p_name", " ")).alias("name")).distinct()
+    hits = companies.contained(part.select("p_partkey", c("p_name").alias("text")), "p_partkey", names).groupBy("p_partkey").agg(F.array_sort(F.collect_list("name")).alias("f"))
     return hits.select("p_partkey", F.concat(F.lit("["), F.array_join("f", ", "), F.lit("]")).alias("found"))
 
 
-@query("jon16_mention_clusters", "WITH t AS (SELECT source, string_agg(lower(text), ' ') AS t FROM documents GROUP BY 1), n AS (SELECT * FROM (VALUES ('and'), ('est'), ('the'), ('und')) v(w)) SELECT source, w, (length(t) - length(replace(t, w, ''))) // length(w) AS n FROM t, n WHERE (length(t) - length(replace(t, w, ''))) // length(w) >= 10")
+@query("jon16_mention_clusters", "WITH w AS (SELECT DISTINCT lower(n_name) AS w FROM nation UNION SELECT unnest(['and', 'est', 'the', 'und'])), h AS (SELECT source, w, (length(lower(text)) - length(replace(lower(text), w, ''))) // length(w) AS n FROM documents, w WHERE contains(lower(text), w)) SELECT source, w, sum(n)::BIGINT AS n FROM h GROUP BY 1, 2 HAVING sum(n) >= 10")
 def jon16(spark, d):
     """Sources that mention a name ten times or more; counted by document and summed, so no text is put together."""
-    names = spark.createDataFrame([("and",), ("est",), ("the",), ("und",)], "w string")
-    low = F.lower("text")
-    count = ((F.length(low) - F.length(F.replace(low, c("w"), F.lit("")))) / F.length("w")).cast("long")
-    hits = table(spark, d, "documents").join(F.broadcast(names), low.contains(c("w"))).groupBy("source", "w").agg(F.sum(count).alias("n"))
-    return hits.where("n >= 10")
+    names = table(spark, d, "nation").select(F.lower("n_name").alias("name")).union(spark.createDataFrame([("and",), ("est",), ("the",), ("und",)], "name string"))
+    docs = table(spark, d, "documents")
+    hits = companies.contained(docs.select("doc_id", F.lower("text").alias("text")), "doc_id", names)
+    return hits.join(docs.select("doc_id", "source"), "doc_id").groupBy("source", c("name").alias("w")).agg(F.sum("n").alias("n")).where("n >= 10")

@@ -1,12 +1,13 @@
-"""FC01-FC05, FC15, FC16, FC18, FC19, FC29, TX02, TX20: filed tables and companies in sentences."""
+"""FC01-FC05, FC15, FC16, FC18, FC19, TX02, TX20: filed tables and companies in sentences."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewell.catalog import query
 from tidewell.operators import filings as X
-from tidewell.operators import text as T
+from tidewell.operators import claims, companies, forms, passages, periods, subjects
 from tidewell.sources.views import table
 
 from .evidence import _filings
@@ -14,81 +15,150 @@ from .evidence import _filings
 c = F.col
 
 
+def _joined(*parts):
+    return F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+
+
 def _tables(spark, d):
-    """Parts as result forms: a header, a spanning label and two rows of figures."""
-    p = table(spark, d, "part")
-    cell = lambda *x: F.concat(F.lit("<TD>"), *x, F.lit("</TD>"))
-    head = F.lit("<TABLE><TR><TH>kind</TH><TH COLSPAN=2>now</TH></TR>")
-    one = F.concat(F.lit("<TR><TD ROWSPAN='2'>Revenue</TD>"), cell(F.format_number(c("p_partkey") * 1000, 0)), cell(F.lit("")), F.lit("</TR>"))
-    two = F.concat(F.lit("<TR>"), cell(F.lit("("), F.format_number(c("p_size"), 0), F.lit(")")), cell(F.lit("n/a")), F.lit("</TR></TABLE>"))
-    return p.select(c("p_partkey").alias("doc_id"), F.concat(head, one, two).alias("xml"))
+    """Parts as filed statements: a cover with its span, a header of two rows, a label that reaches beyond the table."""
+    cover = "<TABLE><TR><TD>Income</TD></TR><TR><TD>제 5 기 2024.01.01 부터 2024.06.30 까지</TD></TR><TR><TD>(단위 : 원)</TD></TR></TABLE>"
+    head = "<TABLE><THEAD><TR><TH ROWSPAN=2>kind</TH><TH COLSPAN=2>제 5 기</TH></TR><TR><TH>3개월</TH><TH>누적</TH></TR></THEAD><TR><TD ROWSPAN='9'>Revenue &amp; sales</TD><TD>"
+    xml = _joined(cover, head, F.format_number(c("p_partkey") * 1000, 0), "<TD>n/a</TR><TR><TD>(", c("p_size"), ")</TD><TD>", c("p_partkey"), "</TD></TR></TABLE>")
+    return table(spark, d, "part").select(c("p_partkey").alias("doc_id"), xml.alias("xml"))
+
+
+_QUARTER, _HALF = "제 5 기 3개월(2024.04.01~2024.06.30)", "제 5 기 누적(2024.01.01~2024.06.30)"
+_KEYED = "format('{:,}', p_partkey * 1000)"
 
 
-@query("fc01_report_sections", "SELECT doc_id, 'III.Three' AS section, 1::BIGINT AS n FROM documents")
+@query("fc01_report_sections", "SELECT doc_id, 'III.Three' AS section, '[III. Three] last & least' AS text FROM documents")
 def fc01(spark, d):
-    return T.filing_passages(_filings(spark, d), "III.Three").groupBy("doc_id", "section").agg(F.count("*").alias("n"))
+    """The third section without its notes."""
+    return passages.filing_passages(_filings(spark, d), "III.Three", without=("주석",)).select("doc_id", "section", "text")
 
 
-@query("fc02_table_grid", "SELECT p_partkey AS doc_id, 1 AS row, 'Revenue' AS label, 'now' AS head, format('{:,}', p_partkey * 1000) AS value FROM part UNION ALL SELECT p_partkey, 2, 'Revenue', 'now', '(' || p_size || ')' FROM part UNION ALL SELECT p_partkey, 2, 'Revenue', 'now', 'n/a' FROM part")
+@query("fc02_table_grid", f"WITH x AS (SELECT p_partkey AS doc_id, unnest([{{'row': 1, 'col': 1, 'value': {_KEYED}}}, {{'row': 1, 'col': 2, 'value': 'n/a'}}, {{'row': 2, 'col': 1, 'value': '(' || p_size || ')'}}, {{'row': 2, 'col': 2, 'value': p_partkey::VARCHAR}}]) AS x FROM part) SELECT doc_id, x.row, x.col, 'Revenue & sales' AS label, CASE x.col WHEN 1 THEN '{_QUARTER}' ELSE '{_HALF}' END AS head, x.value FROM x")
 def fc02(spark, d):
     return X.table_cells(_tables(spark, d)).drop("tab")
 
 
-@query("fc03_labelled_rows", "SELECT p_partkey AS doc_id, 1 AS row, 'Revenue: now ' || format('{:,}', p_partkey * 1000) AS text FROM part UNION ALL SELECT p_partkey, 2, 'Revenue: now (' || p_size || '); now n/a' FROM part")
+@query("fc03_labelled_rows", f"SELECT p_partkey AS doc_id, 1 AS row, 'Revenue & sales: {_QUARTER} ' || {_KEYED} || '; {_HALF} n/a' AS text FROM part UNION ALL SELECT p_partkey, 2, 'Revenue & sales: {_QUARTER} (' || p_size || '); {_HALF} ' || p_partkey FROM part")
 def fc03(spark, d):
     return X.labelled_rows(X.table_cells(_tables(spark, d))).drop("tab")
 
 
 @query("fc04_section_passages")
 def fc04(spark, d):
-    return T.filing_passages(_filings(spark, d), "II.Two").select("id", "sha")
+    return passages.filing_passages(_filings(spark, d), "II.Two").select("id", "sha")
+
+
+def _forms(spark, d):
+    """Parts as forms of preliminary results: even keys in the newer layout, odd ones in the older, every third a correction."""
+    k, size = c("p_partkey"), c("p_size")
+    row = lambda *cells: _joined("<tr>", *(x for v in cells for x in ("<td>", v, "</td>")), "</tr>")
+    days = lambda name, a: _joined(f"<tr><td>{name}</td><td>{a}</td><td>2026-06-30</td></tr>")
+    new = _joined(
+        "<table>", days("당기실적", "2026-04-01"), days("당기누계실적", "2026-01-01"), "</table><table><tr><td>(단위 : 억원, %)</td></tr></table><table>",
+        "<tr><td>구분</td><td>당기실적</td><td>전기실적</td><td colspan=2>전기대비 증감율(%)</td><td>전년동기실적</td><td colspan=2>전년동기대비 증감율(%)</td></tr><tr><td rowspan=2>매출액</td>",
+        "<td>당해실적</td><td>", k, ".5</td><td>-</td><td>-1.5</td><td>-</td><td>", size, "</td><td>-</td><td>흑자전환</td></tr>", row("누계실적", F.format_number(k * 2000, 0), "-", "-", "-", "-", "-", "-"), "</table>",
+    )
+    old = _joined(
+        "<table><tr><td>(단위 : 백만원, %)</td></tr><tr><td rowspan=2>구분</td><td>당기실적</td><td>전기실적</td><td rowspan=2>전기대비증감율(%)</td><td>전년동기실적</td><td rowspan=2>전년동기대비증감율(%)</td></tr>",
+        row("('25.2Q)", "('25.1Q)", "(2024년 2분기)"), "<tr><td rowspan=2>매출액</td>", "<td>당해실적</td><td>-", k, "</td><td>1</td><td>적자전환</td><td>", size, "</td><td>2.5</td></tr>", row("누계실적", "-", "-", "-", "-", "-"), "</table>",
+    )
+    corrected = _joined(
+        "<table>", row("정정일자", "2026-07-30"), row("2. 정정관련 공시서류제출일", "2026년 07월 07일"), "</table><table>", row("정정항목", "정정전", "정정후"),
+        row("·당기실적('26.2Q)<br>- 매출액(당해실적)<br>- 매출액(누계실적)", _joined(k, "<br>", size), _joined(k, ".5<br>", F.format_number(k * 2000, 0))), row("기타", "a", "b"), "</table>",
+    )
+    body = F.when(k % 2 == 0, new).otherwise(old)
+    return table(spark, d, "part").select(k.alias("doc_id"), F.when(k % 3 == 0, F.concat(corrected, body)).otherwise(body).alias("xml"))
+
+
+@query("fc05_form_figures", """WITH n AS (SELECT p_partkey AS doc_id, p_partkey AS k, p_size AS z, p_partkey % 3 = 0 AS is_correction FROM part)
+SELECT doc_id, '당해실적' AS basis, (k + 0.5)::DECIMAL(28,4) AS current, NULL::DECIMAL(28,4) AS prior, -1.5::DECIMAL(28,4) AS prior_change, NULL AS prior_turn, z::DECIMAL(28,4) AS prior_year, NULL::DECIMAL(28,4) AS year_change, '흑자전환' AS year_turn, DATE '2026-04-01' AS first, DATE '2026-06-30' AS last, (k * 100000000 + 50000000)::DECIMAL(28,0) AS amount, 10000000::DECIMAL(28,4) AS rounding_unit, is_correction, CASE WHEN is_correction THEN DATE '2026-07-07' END AS original_day FROM n WHERE k % 2 = 0
+UNION ALL SELECT doc_id, '누계실적', (k * 2000)::DECIMAL(28,4), NULL, NULL, NULL, NULL, NULL, NULL, DATE '2026-01-01', DATE '2026-06-30', (k * 2000 * 100000000)::DECIMAL(28,0), 100000000, is_correction, CASE WHEN is_correction THEN DATE '2026-07-07' END FROM n WHERE k % 2 = 0
+UNION ALL SELECT doc_id, '당해실적', -k::DECIMAL(28,4), 1, NULL, '적자전환', z, 2.5, NULL, DATE '2025-04-01', DATE '2025-06-30', (-k * 1000000)::DECIMAL(28,0), 1000000, is_correction, CASE WHEN is_correction THEN DATE '2026-07-07' END FROM n WHERE k % 2 = 1""")
+def fc05(spark, d):
+    return forms.preliminary(_forms(spark, d)).drop("account", "unit")
 
 
-@query("fc05_form_figures", "SELECT p_partkey AS doc_id, 'revenue' AS figure, p_partkey * 1000 AS amount FROM part UNION ALL SELECT p_partkey, 'revenue', -p_size FROM part")
-def fc05(spark, d):
-    return X.figures(X.table_cells(_tables(spark, d)), {"revenue": "(?i)revenue|매출", "profit": "(?i)profit|이익"}).select("doc_id", "figure", "amount")
+@query("fc05_form_corrections", "SELECT p_partkey AS doc_id, '당기실적' AS heading, '매출액' AS item, '당해실적' AS basis, p_partkey::DECIMAL(28,4) AS before, (p_partkey + 0.5)::DECIMAL(28,4) AS after FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, '당기실적', '매출액', '누계실적', p_size, p_partkey * 2000 FROM part WHERE p_partkey % 3 = 0")
+def fc05b(spark, d):
+    return forms.corrections(forms.form_rows(_forms(spark, d)))
 
 
 @query("tx02_flat_blocks", "SELECT doc_id, '[Figures 표, By kind, 단위 백만원] name: first | amount: ' || doc_id || ' [Figures 표, By kind, 단위 백만원] name: second | amount: ' || length(text) AS text FROM documents")
 def tx02(spark, d):
     """Rows of each filing's table as lines with its title, caption, unit and headers, packed apart from the text before."""
-    return T.filing_passages(_filings(spark, d), "II.Two").where(c("text").startswith("[Figures 표")).select("doc_id", "text")
+    return passages.filing_passages(_filings(spark, d), "II.Two").where(c("text").startswith("[Figures 표")).select("doc_id", "text")
+
 
+def _names(spark, d):
+    """Suppliers and nations as listed companies; supplier 9's name passes for an everyday word."""
+    suppliers = table(spark, d, "supplier").select(c("s_name").alias("name"), c("s_suppkey").cast("long").alias("company"), (c("s_suppkey") == 9).alias("common"))
+    return suppliers.union(table(spark, d, "nation").select(F.concat(F.lit("Global "), "n_name"), (c("n_nationkey") + 1000).cast("long"), F.lit(False)))
 
-NAMES = [("red", 1), ("red widget", 2), ("small ring", 3), ("ring", 4)]
 
+def _supplier(n):
+    return F.format_string("Supplier#%09d", n)
 
-def _mentions(spark, d):
-    names = spark.createDataFrame(NAMES, "name string, company int")
-    parts = table(spark, d, "part").select("p_partkey", c("p_name").alias("text"))
-    return X.mentions(parts, F.broadcast(names), "p_partkey")
 
+def _company_sentences(spark, d):
+    """A sentence for each order, of seven kinds in turn, about one of ten suppliers or a nation."""
+    k = c("o_orderkey")
+    one, two = _supplier(k % 10), _supplier(F.floor(k / 7) % 10)
+    said = (
+        _joined(one, "는 2분기 매출을 늘렸다."), _joined("(주)", one, "와 ", two, "의 실적은 좋다."), _joined(F.lower(one), "㈜ 실적이 올랐다, ", two, "보다"), _joined("좋은 ", one, "x 값"),
+        _joined(one, "대비 ", two, "는 올랐다."), F.lit("값이 올랐다."), _joined("Global ", c("n_name"), "의 실적과 ", c("n_name")),
+    )
+    o = table(spark, d, "orders").join(F.broadcast(table(spark, d, "nation")), k % 25 == c("n_nationkey"))  # 25 nations by definition
+    return o.select("o_orderkey", F.element_at(F.array(*said), (k % 7 + 1).cast("int")).alias("text"), (c("o_custkey") % 10).cast("long").alias("company"))
 
-@query("fc15_company_mentions", "SELECT p_partkey, 2 AS company FROM part WHERE p_name = 'red widget' UNION ALL SELECT p_partkey, 3 FROM part WHERE p_name = 'small ring' UNION ALL SELECT p_partkey, 1 FROM part WHERE p_name LIKE 'red %' AND p_name <> 'red widget' UNION ALL SELECT p_partkey, 4 FROM part WHERE p_name LIKE '% ring' AND p_name <> 'small ring'")
+
+_MENTIONED = """o AS (SELECT o_orderkey AS k, o_orderkey % 7 AS kind, o_orderkey % 10 AS a, (o_orderkey // 7) % 10 AS b, o_custkey % 10 AS own, n_nationkey + 1000 AS n, len(string_split(n_name, ' ')) AS nw, n_name FROM orders JOIN nation ON n_nationkey = o_orderkey % 25),
+m AS (SELECT k, own, 0 AS place, 1 AS words, a AS company, true AS subject, true AS topic FROM o WHERE kind = 0 AND (a <> 9 OR own = 9)
+  UNION ALL SELECT k, own, 0, 1, a, true, false FROM o WHERE kind IN (1, 2) UNION ALL SELECT k, own, 1, 1, b, true, false FROM o WHERE kind = 1 AND (b <> 9 OR own = 9)
+  UNION ALL SELECT k, own, 3, 1, b, false, false FROM o WHERE kind = 2 AND (b <> 9 OR own = 9)
+  UNION ALL SELECT k, own, 0, 1, a, true, false FROM o WHERE kind = 4 AND (a <> 9 OR own = 9) UNION ALL SELECT k, own, 1, 1, b, true, true FROM o WHERE kind = 4 AND (b <> 9 OR own = 9)
+  UNION ALL SELECT k, own, 0, 1 + nw, n, true, false FROM o WHERE kind = 6)"""
+
+
+@query("fc15_company_mentions", f"WITH {_MENTIONED} SELECT k AS o_orderkey, place AS at, words, company, subject, topic FROM m")
 def fc15(spark, d):
-    return _mentions(spark, d).select("p_partkey", "company")
+    return companies.mentions(_company_sentences(spark, d), _names(spark, d), "o_orderkey").select("o_orderkey", "at", "words", "company", "subject", "topic")
 
 
-@query("fc16_subject_company", "SELECT p_partkey, CASE WHEN p_name = 'red widget' THEN 2 WHEN p_name = 'small ring' THEN 3 WHEN p_name LIKE 'red %' THEN 1 ELSE 4 END AS company, p_name = 'red ring' AS others FROM part WHERE p_name LIKE 'red %' OR p_name LIKE '% ring'")
+@query("fc16_subject_company", f"WITH {_MENTIONED}, n AS (SELECT s_suppkey AS company, s_name AS name FROM supplier UNION ALL SELECT n_nationkey + 1000, 'Global ' || n_name FROM nation) SELECT k AS o_orderkey, arg_min(company, place) FILTER (subject) AS company, arg_min(company, place) FILTER (topic) AS topic, CASE WHEN NOT bool_or(subject AND company = own) THEN arg_min(name, place) FILTER (subject) END AS other FROM m JOIN n USING (company) GROUP BY k")
 def fc16(spark, d):
-    return X.subjects(_mentions(spark, d), "p_partkey")
+    return companies.subjects(companies.mentions(_company_sentences(spark, d), _names(spark, d), "o_orderkey"), "o_orderkey")
 
 
-@query("tx20_subject_validity", "SELECT doc_id, source = 'src1' OR contains(lower(text), 'the') AS valid FROM documents")
+@query("tx20_subject_validity", "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 1 THEN false WHEN 5 THEN o_orderkey % 10 = (o_orderkey // 7) % 10 ELSE true END AS valid FROM orders")
 def tx20(spark, d):
-    """A passage is about the subject if it is its own filing or names one of its aliases."""
-    aliases = F.array(F.lit("the"))
-    low = F.lower("text")
-    return table(spark, d, "documents").select("doc_id", ((c("source") == "src1") | F.exists(aliases, lambda a: low.contains(a))).alias("valid"))
-
-
-@query("fc18_list_leads", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'lead' WHEN 1 THEN 'header' WHEN 2 THEN 'intro' END AS kind FROM orders")
+    """Claims and passages of six kinds: marked names in either case, names in capitals, short forms defined elsewhere, none, the own company's, swapped ones."""
+    k = c("o_orderkey")
+    one, two = _supplier(k % 10), _supplier(F.floor(k / 7) % 10)
+    pick = lambda *x: F.element_at(F.array(*(y if isinstance(y, Column) else F.lit(y) for y in x)), (k % 6 + 1).cast("int"))
+    claim = pick(_joined("㈜", one, "와 계약했다."), "SYSTEM과 거래한다.", _joined("'Beta", k, "'를 판다."), "값이 올랐다.", "OWNCO는 늘었다.", _joined("㈜", one, "은 컸다."))
+    passage = pick(_joined(F.lower(one), "(주)와 계약을 체결"), _joined("System", k, "을 쓴다"), _joined("Alpha", k, "를 판다"), "다른 문단", "당사는 늘었다.", _joined(two, "은 컸다."))
+    elsewhere = _joined("Alpha", k, "(이하 'Beta", k, "')는 제품이다.")
+    o = table(spark, d, "orders").select("o_orderkey", claim.alias("claim"), passage.alias("passage"), F.array(passage, elsewhere).alias("all"))
+    return o.select("o_orderkey", subjects.subject_valid(subjects.claimed_names(c("claim"), F.array(F.lit("Ownco"))), c("passage"), subjects.aliases(c("all"))).alias("valid"))
+
+
+@query("fc18_list_leads", "SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'lead' WHEN 1 THEN 'intro' WHEN 2 THEN 'header' WHEN 5 THEN 'header' END AS kind FROM orders")
 def fc18(spark, d):
-    """Lines of reports, of four kinds in turn, with numbers from each order."""
-    k = (c("o_orderkey") % 9 + 1).cast("int")
-    s = F.element_at(F.array(F.lit("다음과 같습니다:"), F.format_string("%d. 개요", k), F.format_string("이 글은 %d분기 실적을 다룬다.", k), F.format_string("매출은 %d조 원이다.", k)), (c("o_orderkey") % 4 + 1).cast("int"))
-    kind = F.when(c("s").rlike("(같습니다|같다)?[:：]\\s*$"), "lead").when(c("s").rlike("^\\s*\\d+[.)]\\s*\\S{1,12}$"), "header").when(c("s").rlike("^(이|본) (글|보고서)"), "intro")
-    return table(spark, d, "orders").select("o_orderkey", s.alias("s")).select("o_orderkey", kind.alias("kind"))
+    """Lines of reports, of seven kinds in turn: leads of lists, introductions, headers with a period or company, and what only looks like them."""
+    y, n, k = F.year("o_orderdate"), (c("o_orderkey") % 4 + 1).cast("int"), (c("o_orderkey") % 9 + 1).cast("int")
+    said = (
+        F.lit("정리하면 아래 표와 같다:"), F.format_string("다음은 %d분기 실적에 대해 정리한 메모다.", n), F.format_string("%d년 %d분기 실적 리뷰: 좋다", y, n), F.format_string("%d년 %d분기 매출 %d조 리뷰:", y, n, k),
+        F.lit("실적 리뷰"), F.lit("BUILDING 실적 점검"), F.format_string("매출은 %d조 원이다.", k),
+    )
+    s = table(spark, d, "orders").select("o_orderkey", F.element_at(F.array(*said), (c("o_orderkey") % 7 + 1).cast("int")).alias("text"))
+    names = table(spark, d, "customer").select(c("c_mktsegment").alias("name"), c("c_mktsegment").alias("company")).distinct()
+    found = companies.mentions(s, names, "o_orderkey").select("o_orderkey", F.lit(True).alias("named")).distinct()
+    named = F.coalesce(c("named"), F.lit(False)) | (F.size(periods.periods(c("text"), periods.as_of_label(F.lit("2030")))) > 0)
+    return s.join(found, "o_orderkey", "left").select("o_orderkey", claims.line_kind(c("text"), named).alias("kind"))
 
 
 @query("fc19_relative_units", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'year' WHEN o_orderkey % 3 = 1 THEN 'quarter' END AS unit, o_orderkey % 3 = 0 OR (o_orderkey % 3 = 1 AND month(o_orderdate) % 3 = 0) AS accepted FROM orders")
@@ -98,10 +168,3 @@ def fc19(spark, d):
     unit = F.when(word.rlike("년|해"), "year").when(word.contains("분기"), "quarter")
     accepted = (F.coalesce(unit, F.lit("")) == "year") | ((F.coalesce(unit, F.lit("")) == "quarter") & (F.month("o_orderdate") % 3 == 0))
     return table(spark, d, "orders").select("o_orderkey", unit.alias("unit"), accepted.alias("accepted"))
-
-
-@query("fc29_support_gate", "SELECT p_partkey, p_partkey >= 10 AND p_size % 2 = 0 AS supported FROM part")
-def fc29(spark, d):
-    text = F.concat(F.lit("Revenue of "), "p_partkey", F.lit(" was "), F.element_at(F.array(F.lit("the"), F.lit("doubtful")), (c("p_size") % 2 + 1).cast("int")))
-    digits = F.length(c("p_partkey").cast("string"))
-    return table(spark, d, "part").select("p_partkey", X.supported(F.lit(True), digits, X.residue(text)).alias("supported"))
