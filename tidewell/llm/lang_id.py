@@ -206,7 +206,7 @@ def fit(passages: list[bytes], langs: list[str], epochs: int = 16, batch: int =
     number = {x: k for k, x in enumerate(known)}
     labels = np.array([number[x] for x in langs], np.int64)
     longest = max(map(len, passages), default=0)
-    codes = np.frombuffer(b"".join(p.ljust(longest, b"\0") for p in passages), np.uint8).reshape(len(passages), -1).T.astype(np.int64)
+    codes = np.frombuffer(b"".join(p.ljust(longest, b"\0") for p in passages), np.uint8).reshape(len(passages), longest).T.astype(np.int64)
     there = (np.arange(longest)[:, None] < np.array([len(p) for p in passages])[None]).astype(np.float32)
     batches = max(1, len(passages) // batch)
     for epoch in range(epochs if len(known) > 1 else 0):
@@ -255,11 +255,11 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = held.value
         for piece in pieces(batches, size=2 << 20):
-            means, _ = net.run([b or b"" for b in piece.column("body").to_pylist()])
-            known = [b is not None and bool(net.langs) for b in piece.column("body").to_pylist()]
-            best = means.argmax(1) if net.langs else np.zeros(len(known), int)
-            langs = [net.langs[k] if there else UNKNOWN for k, there in zip(best, known, strict=True)]
-            scores = [min(1.0, float(m[k])) if there else 0.0 for m, k, there in zip(means, best, known, strict=True)]
+            bodies = piece.column("body").to_pylist() if net.langs else [None] * piece.num_rows
+            means = net.run([b or b"" for b in bodies])[0] if net.langs else np.zeros((len(bodies), 1))
+            best = means.argmax(1)
+            langs = [UNKNOWN if b is None else net.langs[k] for k, b in zip(best, bodies, strict=True)]
+            scores = [0.0 if b is None else min(1.0, float(m[k])) for m, k, b in zip(means, best, bodies, strict=True)]
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
