@@ -142,6 +142,29 @@ def test_bootstrap_covers_the_mean(spark):
     assert out.low <= 0.5 <= out.high and out.reps == 200
 
 
+def test_resamples_draw_exactly_as_many(spark):
+    df = spark.createDataFrame([(f"k{i % 7}", f"u{i % 3}", float(i % 5)) for i in range(100)], "k string, u string, x double")
+    per = stats.draws(df, "k", 50, 3).groupBy("rep").agg(F.sum("w").alias("w"), F.count("*").alias("units")).collect()
+    assert len(per) == 50 and {r.w for r in per} == {7} and min(r.units for r in per) < 7
+    assert sorted(map(str, stats.draws(df, "k", 5, 3).collect())) == sorted(map(str, stats.draws(df.repartition(9), "k", 5, 3).collect()))
+    one = stats.bootstrap_mean(df, "k", "u", "x", 100).first()
+    assert one.reps == 100 and one.low < 2.0 < one.high and stats.bootstrap_mean(df.limit(0), "k", "u", "x", 10).first().reps == 0
+
+
+@pytest.mark.parametrize(("symbols", "days"), [(64, 256), (3, 5), (1, 1)])
+def test_blocked_covariances(spark, symbols, days):
+    """Blocks of any size give the pairwise covariances over common times."""
+    rows = [(f"s{i}", t, ((i * 37 + t * t * 11) % 23 - 11) / 100 if (i + t) % 4 else None) for i in range(9) for t in range(20)]
+    df = spark.createDataFrame(rows, "symbol string, time int, ret double")
+    found = {(r.symbol, r.other): (r.cov, r.n) for r in portfolio.covariances(df, symbols, days).collect()}
+    pairs = df.join(df.select("time", F.col("symbol").alias("other"), F.col("ret").alias("y")), "time").where("ret is not null and y is not null")
+    want = pairs.groupBy("symbol", "other").agg(F.covar_samp("ret", "y").alias("cov"), F.count("*").alias("n")).collect()
+    assert {(r.symbol, r.other): r.n for r in want} == {k: n for k, (_, n) in found.items()}
+    assert all(found[r.symbol, r.other][0] == pytest.approx(r.cov, abs=1e-12) for r in want if r.n > 1)
+    plan = portfolio.covariances(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (5, 5)] + [(i, i + 1) for i in range(20, 60)], "a long, b long")
     found = {r.node: r.component for r in stats.components(e).collect()}

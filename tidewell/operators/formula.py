@@ -340,25 +340,28 @@ def run(bars: DataFrame, indicator: str, buy: str | None = None, sell: str | Non
     return B.staged_regime(df, F.col("_buy"), F.col("_sell"), entry_wins=True).drop("_buy", "_sell")
 
 
-# Names of the charting language's functions.
-CHART = {"sma": "ta.sma", "mean": "ta.sma", "ema": "ta.ema", "rsi": "ta.rsi", "std": "ta.stdev", "highest": "ta.highest", "lowest": "ta.lowest", "crossover": "ta.crossover", "crossunder": "ta.crossunder", "change": "ta.change", "barssince": "ta.barssince", "atr": "ta.atr", "sum": "math.sum", "abs": "math.abs", "log": "math.log", "sqrt": "math.sqrt", "sign": "math.sign", "max": "math.max", "min": "math.min"}
+# Forms of the functions in the charting language, by the names of their parameters.
+CHART = {
+    "sma": "ta.sma({x}, {n})", "mean": "ta.sma({x}, {n})", "ema": "ta.ema({x}, {n})", "rsi": "ta.rsi({x}, {n})", "std": "ta.stdev({x}, {n})", "highest": "ta.highest({x}, {n})", "lowest": "ta.lowest({x}, {n})", "sum": "math.sum({x}, {n})",
+    "shift": "{x}[{n}]", "change": "ta.change({x}, {n})", "pct_change": "({x} / {x}[{n}] - 1)", "crossover": "ta.crossover({a}, {b})", "crossunder": "ta.crossunder({a}, {b})", "barssince": "ta.barssince({condition})", "atr": "ta.atr({n})", "obv": "ta.obv",
+    "typical": "hlc3", "vwap": "(math.sum(hlc3 * volume, {n}) / math.sum(volume, {n}))", "abs": "math.abs({x})", "log": "math.log({x})", "sqrt": "math.sqrt({x})", "sign": "math.sign({x})", "max": "math.max({a}, {b})", "min": "math.min({a}, {b})",
+    "clip": "math.max(math.min({x}, {high}), {low})", "nz": "nz({x}, {value})", "where": "({condition} ? {a} : {b})", "zscore": "(({x} - ta.sma({x}, {n})) / ta.stdev({x}, {n}))", "normalize": "(({x} - ta.lowest({x}, {n})) / (ta.highest({x}, {n}) - ta.lowest({x}, {n})))",
+    "rank": "(ta.percentrank({x}, {n}) / 100)", "bb_mid": "ta.sma({x}, {n})", "bb_upper": "(ta.sma({x}, {n}) + {k} * ta.stdev({x}, {n}))", "bb_lower": "(ta.sma({x}, {n}) - {k} * ta.stdev({x}, {n}))", "macd": "(ta.ema({x}, {fast}) - ta.ema({x}, {slow}))",
+    "macd_signal": "ta.ema(ta.ema({x}, {fast}) - ta.ema({x}, {slow}), {signal})",
+}
+CHART["macd_hist"] = f"({CHART['macd']} - {CHART['macd_signal']})"
 
 
 def _charted(node: ast.expr) -> str:
-    """An expression in the charting language; what it lacks is written out."""
+    """An expression in the charting language, with every default written out; a function without a form in it is an error."""
     c = _charted
     match node:
         case ast.Call(func=ast.Name(id=name), args=args):
-            a = [c(x) for x in args] + [c(k.value) for k in node.keywords]
-            x, n = (a + ["close", "20"])[0], (a + ["20"])[1] if len(a) > 1 else "20"
-            k = a[2] if len(a) > 2 else "2"
-            written = {
-                "shift": f"{x}[{a[1] if len(a) > 1 else 1}]", "pct_change": f"({x} / {x}[{a[1] if len(a) > 1 else 1}] - 1)", "zscore": f"(({x} - ta.sma({x}, {n})) / ta.stdev({x}, {n}))",
-                "normalize": f"(({x} - ta.lowest({x}, {n})) / (ta.highest({x}, {n}) - ta.lowest({x}, {n})))", "rank": f"(ta.percentrank({x}, {n}) / 100)", "bb_mid": f"ta.sma({x}, {n})", "bb_upper": f"(ta.sma({x}, {n}) + {k} * ta.stdev({x}, {n}))",
-                "bb_lower": f"(ta.sma({x}, {n}) - {k} * ta.stdev({x}, {n}))", "where": f"({' ? '.join(a[:2])} : {a[-1] if a else ''})", "nz": f"nz({', '.join(a)})", "typical": "hlc3", "obv": "ta.obv", "vwap": f"(math.sum(hlc3 * volume, {a[0] if a else 20}) / math.sum(volume, {a[0] if a else 20}))",
-                "clip": f"math.max(math.min({x}, {k}), {n})", "macd": f"(ta.ema({x}, {a[1] if len(a) > 1 else 12}) - ta.ema({x}, {a[2] if len(a) > 2 else 26}))",
-            }
-            return written.get(name) or f"{CHART.get(name, name)}({', '.join(a)})"
+            if name not in CHART:
+                raise FormulaError(f"{name} has no form in the charting language")
+            bound = inspect.signature(FUNCTIONS[name]).bind(None, *map(c, args), **{k.arg: c(k.value) for k in node.keywords})
+            bound.apply_defaults()
+            return CHART[name].format(**{k: v if isinstance(v, str) else f"{v:g}" for k, v in bound.arguments.items() if k != "f"})
         case ast.BinOp(left=left, op=ast.Pow(), right=right):
             return f"math.pow({c(left)}, {c(right)})"
         case ast.BinOp(left=left, op=op, right=right):
@@ -379,16 +382,17 @@ def _charted(node: ast.expr) -> str:
 
 
 def to_chart(name: str, indicator: str, buy: str | None = None, sell: str | None = None, parameters: dict | None = None) -> str:
-    """A definition as a script of the charting language."""
+    """A definition as a script of the charting language; what it cannot say is an error."""
+    validate(indicator, buy, sell, parameters)
     lines = ["//@version=5", f"indicator({json.dumps(name, ensure_ascii=False)}, overlay=false)"]
     lines += [f'{k} = input.float({float(v)}, "{k}")' for k, v in (parameters or {}).items()]
-    lines += [f"value = {_charted(parse(indicator))}", 'plot(value, "indicator", color=color.blue)']
-    for side, text, shape in (("buy", buy, "triangleup, location=location.bottom, color=color.green"), ("sell", sell, "triangledown, location=location.top, color=color.red")):
+    lines += [f"value = {_charted(parse(indicator))}", 'plot(value, title="value", linewidth=2)']
+    for side, text in (("buy", buy), ("sell", sell)):
         if (text or "").strip():
-            lines += [f"{side}_signal = {_charted(parse(text))}", f"plotshape({side}_signal, style=shape.{shape})"]
+            lines += [f"{side} = {_charted(parse(text))}", f'plotchar({side}, title="{side}", char="{side[0].upper()}", location=location.{"bottom" if side == "buy" else "top"})']
     return "\n".join(lines)
 
 
 def to_python(name: str, indicator: str, buy: str | None = None, sell: str | None = None, parameters: dict | None = None) -> str:
-    """A definition as a script that runs it on bars."""
-    return f"# {name}\nfrom tidewell.operators.formula import run\n\nDEFINITION = {dict(indicator=indicator, buy=buy, sell=sell, parameters=parameters or {})!r}\n\nresult = run(bars, **DEFINITION)  # bars: symbol, time, open, high, low, close, volume\n"
+    """A definition as a script that runs it on bars; every text in it is a literal."""
+    return f"from tidewell.operators.formula import run\n\nNAME = {name!r}\nDEFINITION = {dict(indicator=indicator, buy=buy, sell=sell, parameters=parameters or {})!r}\n\nresult = run(bars, **DEFINITION)  # bars: symbol, time, open, high, low, close, volume\n"

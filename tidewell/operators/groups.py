@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def unique_match(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
     """left with the value of its key's only match; null where a key has several values or none."""
@@ -84,3 +86,16 @@ def assert_unique(df: DataFrame, key: str) -> DataFrame:
     twice = df.groupBy(key).count().agg(F.max("count").alias("_most"))
     checked = twice.select(F.when(F.coalesce("_most", F.lit(0)) <= 1, F.lit(True)).otherwise(F.raise_error(F.lit(f"{key} is not unique")).cast("boolean")).alias("_ok"))
     return df.crossJoin(F.broadcast(checked)).where("_ok").drop("_ok")
+
+
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """df with number: 0, 1, ... in the given order, over all rows; rows are dealt out by ranges, so no task orders all.
+
+    Rows that are equal in the order are numbered arbitrarily.
+    """
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_at", 33)
+    runs = placed.groupBy(part.alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    shifts = runs.select("_part", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return placed.withColumn("_part", part).join(shifts, "_part").withColumn("number", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -109,6 +110,46 @@ def buy_cap(qty: Column, price: Column, held: Column, equity: Column, percent: f
     return F.greatest(F.least(qty, room), F.lit(0)).cast("long")
 
 
+#: Symbols in a block of the matrix, and days in a block of one of its products.
+BLOCK_SYMBOLS, BLOCK_DAYS = 64, 256
+
+
+def covariances(returns: DataFrame, symbols: int = BLOCK_SYMBOLS, days: int = BLOCK_DAYS) -> DataFrame:
+    """symbol, other, cov and n of all pairs of symbols over their common times; returns: symbol, time, ret, a row for each.
+
+    A blocked Gram matrix: symbols and times fall into blocks, a task multiplies two
+    blocks of symbols over one block of times, and the sums of the products are added up.
+    So a row is sent once for each block of symbols and not once for each symbol, and a
+    task holds two blocks. Times with a null return count as missing.
+    """
+    known = returns.where("ret is not null").select("symbol", "time", c("ret").cast("double").alias("ret"))
+    sizes = known.agg(F.count_distinct("symbol").alias("s"), F.count_distinct("time").alias("t")).first()
+    across, along = max(1, -(-sizes["s"] // symbols)), max(1, -(-sizes["t"] // days))
+    block = F.pmod(F.xxhash64("symbol"), F.lit(across)).cast("int")
+    placed = known.withColumns({"_b": block, "_t": F.pmod(F.xxhash64("time"), F.lit(along)).cast("int")})
+    others = F.transform(F.sequence(F.lit(0), F.lit(across - 1)), lambda o: F.struct(F.least("_b", o).alias("i"), F.greatest("_b", o).alias("j")))
+    sent = placed.withColumn("_p", F.explode(others)).select("symbol", "time", "ret", "_b", "_t", c("_p.i").alias("_i"), c("_p.j").alias("_j"))
+
+    def products(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        i, j, _ = key
+        wide = {k: rows[rows["_b"] == k].pivot(index="symbol", columns="time", values="ret") for k in {i, j}}
+        times = sorted(set(rows["time"]))
+        a, b = (wide[k].reindex(columns=times) for k in (i, j))
+        x, y, m, w = a.fillna(0).to_numpy(), b.fillna(0).to_numpy(), a.notna().to_numpy(float), b.notna().to_numpy(float)
+        n = m @ w.T
+        r, k = np.nonzero(np.triu(n) if i == j else n)  # a pair of one block once
+        sums = {"n": n, "x": x @ w.T, "y": m @ y.T, "xy": x @ y.T}
+        return pd.DataFrame({"symbol": a.index.to_numpy()[r], "other": b.index.to_numpy()[k]} | {name: v[r, k] for name, v in sums.items()})
+
+    kind = returns.schema["symbol"].dataType.simpleString()
+    parts = sent.groupBy("_i", "_j", "_t").applyInPandas(products, f"symbol {kind}, other {kind}, n double, x double, y double, xy double")
+    both = parts.where("symbol <= other").unionByName(parts.where("symbol > other").select(c("other").alias("symbol"), c("symbol").alias("other"), "n", c("y").alias("x"), c("x").alias("y"), "xy"))
+    once = both.groupBy("symbol", "other").agg(*(F.sum(f).alias(f) for f in ("n", "x", "y", "xy")))
+    cov = F.when(c("n") > 1, (c("xy") - c("x") * c("y") / c("n")) / (c("n") - 1))
+    half = once.select("symbol", "other", cov.alias("cov"), c("n").cast("long").alias("n"))
+    return half.unionByName(half.where("symbol <> other").select(c("other").alias("symbol"), c("symbol").alias("other"), "cov", "n"))
+
+
 def allocate(returns: DataFrame, days: int = 756, prior: float = 0.07, most: int = 500) -> DataFrame:
     """symbol, weight, expected and volatility of a long-only blend of least variance and shrunk means.
 
@@ -122,7 +163,7 @@ def allocate(returns: DataFrame, days: int = 756, prior: float = 0.07, most: int
         raise ValueError(f"a universe of {n} symbols is more than the {most} that one matrix is solved for")
     common = returns.groupBy("time").agg(F.count("*").alias("k")).where(c("k") == n).select("time").orderBy(F.desc("time")).limit(days)
     rows = returns.join(common, "time", "left_semi").select("time", "symbol", "ret")
-    pairs = rows.join(rows.select("time", c("symbol").alias("other"), c("ret").alias("ret2")), "time").groupBy("symbol", "other").agg(F.covar_samp("ret", "ret2").alias("cov"), F.avg("ret").alias("mean"))
+    pairs = covariances(rows).join(rows.groupBy("symbol").agg(F.avg("ret").alias("mean")), "symbol")
     found = pairs.toPandas()
     if found.empty:
         return spark.createDataFrame([], "symbol string, weight double, expected double, volatility double")

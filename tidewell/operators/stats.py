@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut, mark, release
+from . import graph
+from .groups import numbered
 
 
 def counts_by_score(df: DataFrame, *keys: str, p: str = "p", y: str = "y", w: Column | None = None) -> DataFrame:
@@ -102,26 +103,23 @@ def precise_enough(swept: DataFrame, precision: float, least: int = 0) -> DataFr
     return swept.agg(F.coalesce(F.min(F.when(fit, F.col("threshold"))), F.max_by("threshold", F.struct(F.round("f1", 9), "threshold"))).alias("threshold"))
 
 
-def draws(spark, units: DataFrame, unit: str, reps: int, seed: int) -> DataFrame:
-    """rep, unit, w: how often each of `reps` resamples with replacement draws each unit.
+def draws(units: DataFrame, unit: str, reps: int, seed: int) -> DataFrame:
+    """rep, unit, w: how often each of `reps` resamples with replacement draws each unit; every resample draws as many as there are.
 
-    Multinomial counts over the units are drawn as independent Poisson(1) weights, each
-    from a hash of seed, repetition and unit, so the table needs no driver and repeats.
+    Units are numbered, and each draw of each repetition takes the number that its hash
+    names, so totals are exact, counts combine before they are shuffled, and results repeat.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), "rep", unit), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    steps = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(12)]
-    w = F.lit(0)
-    for s in steps:
-        w = w + F.when(F.col("_u") >= s, 1).otherwise(0)
-    reps_ = spark.range(reps).withColumnRenamed("id", "rep")
-    return units.select(unit).distinct().crossJoin(F.broadcast(reps_)).withColumn("_u", u).withColumn("w", w).drop("_u").where("w > 0")
+    known = numbered(units.select(unit).distinct(), unit)
+    n = known.count()
+    drawn = units.sparkSession.range(reps * n).select((F.col("id") / max(n, 1)).cast("long").alias("rep"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(n, 1))).alias("number"))
+    return drawn.groupBy("rep", "number").agg(F.count("*").alias("w")).join(known, "number").select("rep", unit, "w")
 
 
 def bootstrap_auc_difference(df: DataFrame, unit: str, a: str, b: str, reps: int = 200, seed: int = 7, level: float = 0.95) -> DataFrame:
     """Percentile interval and standard error of auc(a) - auc(b) over resampled units (days, clusters)."""
     spark = df.sparkSession
     both = df.select(unit, "y", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.round(F.col(a), 6).alias("p")), F.struct(F.lit("b").alias("side"), F.round(F.col(b), 6).alias("p")))).alias("s")).select(unit, "y", "s.*")
-    units = counts_by_score(both, unit, "side").join(draws(spark, df, unit, reps, seed), unit)
+    units = counts_by_score(both, unit, "side").join(draws(df, unit, reps, seed), unit)
     resampled = units.groupBy("rep", "side", "p").agg(F.sum(F.col("pos") * F.col("w")).alias("pos"), F.sum(F.col("neg") * F.col("w")).alias("neg"))
     below = F.coalesce(F.sum("neg").over(Window.partitionBy("rep", "side").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     per = resampled.withColumn("_won", F.col("pos") * (below + F.col("neg") / 2)).groupBy("rep").pivot("side", ["a", "b"]).agg(F.try_divide(F.sum("_won"), F.sum("pos") * F.sum("neg")))
@@ -131,15 +129,23 @@ def bootstrap_auc_difference(df: DataFrame, unit: str, a: str, b: str, reps: int
 
 
 def bootstrap_mean(df: DataFrame, cluster: str, inner: str | None, x: str, reps: int = 200, seed: int = 7) -> DataFrame:
-    """Percentile interval and error of the mean of x when clusters, and within them inner units, are resampled."""
-    spark = df.sparkSession
-    keys = [cluster] + ([inner] if inner else [])
-    sums = df.groupBy(*keys).agg(F.sum(x).alias("s"), F.count(x).alias("n"))
-    rows = sums.join(draws(spark, df, cluster, reps, seed), cluster)
+    """Percentile interval and error of the mean of x when clusters, and within each drawn one its inner units, are resampled.
+
+    Clusters and inner units are drawn exactly as often as there are, the inner ones anew
+    each time their cluster is drawn.
+    """
+    rows = draws(df, cluster, reps, seed)
     if inner:
-        second = draws(spark, sums.select(F.concat_ws("|", cluster, inner).alias("pair")), "pair", reps, seed + 1).withColumnRenamed("w", "w2")
-        rows = rows.withColumn("pair", F.concat_ws("|", cluster, inner)).join(second, ["pair", "rep"]).withColumn("w", F.col("w") * F.col("w2"))
-    means = rows.groupBy("rep").agg((F.sum(F.col("s") * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("m"))
+        sums = df.groupBy(cluster, inner).agg(F.sum(x).alias("_s"), F.count(x).alias("_n"))
+        listed = sums.withColumn("_number", F.row_number().over(Window.partitionBy(cluster).orderBy(inner)) - 1)
+        sizes = listed.groupBy(cluster).agg(F.count("*").alias("_k"))
+        one = F.lit(1).cast("long")
+        each = rows.join(sizes, cluster).withColumn("_time", F.explode(F.sequence(one, "w"))).withColumn("_draw", F.explode(F.sequence(one, "_k")))
+        taken = each.withColumn("_number", F.pmod(F.xxhash64(F.lit(seed + 1), "rep", cluster, "_time", "_draw"), F.col("_k"))).groupBy("rep", cluster, "_number").agg(F.count("*").alias("w"))
+        weighted = taken.join(listed, [cluster, "_number"])
+    else:
+        weighted = rows.join(df.groupBy(cluster).agg(F.sum(x).alias("_s"), F.count(x).alias("_n")), cluster)
+    means = weighted.groupBy("rep").agg(F.try_divide(F.sum(F.col("_s") * F.col("w")), F.sum(F.col("_n") * F.col("w"))).alias("m"))
     return means.agg(F.count("m").alias("reps"), F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.stddev_samp("m").alias("se"))
 
 
@@ -169,26 +175,10 @@ def verdict(low: Column, high: Column, margin: float) -> Column:
     return F.when(low > 0, "superior").when((low >= -margin) & (high <= margin), "equivalent").when(high < 0, "inferior").otherwise("open")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component) of the nodes in edges (a, b): the smallest node reachable.
-
-    Labels spread with pointer jumping; each round is a shuffle by node and a written
-    table, of which the one before is deleted.
-    """
-    spark, both = edges.sparkSession, cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    since = mark()
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")))
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        step = labels.join(near, "node").select("node", F.least("component", "m").alias("c"))
-        jump = step.alias("s").join(step.select(F.col("node").alias("c"), F.col("c").alias("cc")), "c").select("node", F.least("c", "cc").alias("component"))
-        after = cut(jump)
-        changed = after.alias("n").join(labels.alias("o"), "node").where("n.component <> o.component").limit(1).count()
-        release(spark, since, keep=1)
-        labels = after
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes in edges (a, b), edges to itself included: the smallest node reachable."""
+    alone = edges.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
+    return graph.components(edges).unionByName(alone).groupBy("node").agg(F.min("component").alias("component"))
 
 
 def capped_assignment(sizes: list[tuple[str, int]], caps: dict[str, int], seed: int) -> dict[str, str]:

@@ -266,5 +266,4 @@ def gs02b(spark, d):
 @query("pf08_covariance", f"WITH {CANDLES}, r AS (SELECT symbol, time, close / {O.lag('close')} - 1 AS ret FROM candles) SELECT a.symbol AS one, b.symbol AS two, round(covar_samp(a.ret, b.ret), 10) AS cov FROM r a JOIN r b USING (time) WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2")
 def pf08b(spark, d):
     r = candles(spark, d).select("symbol", "time", R.pct_change("close").alias("ret")).where("ret is not null")
-    pairs = r.withColumnRenamed("symbol", "one").join(r.select("time", c("symbol").alias("two"), c("ret").alias("ret2")), "time")
-    return pairs.groupBy("one", "two").agg(F.round(F.covar_samp("ret", "ret2"), 10).alias("cov"))
+    return P.covariances(r).select(c("symbol").alias("one"), c("other").alias("two"), F.round("cov", 10).alias("cov"))
