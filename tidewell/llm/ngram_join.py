@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.operators.graph import components
+
 from .common import Rolling, WordHashes, cut, encoded, mark, may_be_in, mixed, pieces, release, table
 
 LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -217,33 +219,6 @@ def _verified(shingle: int, percent: int):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of the nodes in edges (a, b): component is the smallest reachable node.
-
-    Alternating large and small stars; every round is a few shuffles and a written
-    table, and the number of rounds grows with the logarithm of the longest path.
-    """
-    since = mark()
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-    before = state(edges)
-    while True:
-        both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.union(least.where("m < a").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", "m")).where("a > b").distinct()
-        after = cut(small)
-        now = state(after)
-        if now == before:
-            break
-        release(edges.sparkSession, since, keep=1)
-        edges, before = after, now
-    pairs = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
-    return pairs.union(edges.select("b", "b").distinct()).groupBy("node").agg(F.min("component").alias("component"))
-
-
 def similar_classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(members, links) of the documents whose shingle sets are alike.
 
