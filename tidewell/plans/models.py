@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from tidewell.catalog import query
 from tidewell.functions import rolling as R
 from tidewell.operators import indicators as I
+from tidewell.operators import explain as X
 from tidewell.operators import learning as L
+from tidewell.operators import modelmatch as M
 from tidewell.sources.views import candles
 
 from . import oracle as O
@@ -34,17 +37,8 @@ def ml02(spark, d):
 
 @query("ml03_model_comparison")
 def ml03(spark, d):
-    """Test accuracy of each learner and of their majority, ranked."""
-    df = _features(spark, d)
-    votes, rows = None, None
-    for name in L.learners(len(NAMES)):
-        scored = L.classify(df, NAMES, "target", name).select("symbol", "time", "target", "prediction")
-        one = L.accuracy(scored, "target").withColumn("model", F.lit(name))
-        rows = one if rows is None else rows.unionByName(one)
-        votes = scored if votes is None else votes.union(scored)
-    voted = votes.groupBy("symbol", "time", "target").agg(F.mode("prediction", True).alias("prediction"))
-    rows = rows.unionByName(L.accuracy(voted, "target").withColumn("model", F.lit("majority")))
-    return rows.select("model", "n", "accuracy", F.row_number().over(Window.orderBy(F.desc("accuracy"), "model")).alias("place"))
+    """Each learner, their vote and their stack: accuracy on the training and the test part, mean and deviation over folds, ranked."""
+    return M.compared(I.features(candles(spark, d)).select("symbol", "time", "target", *NAMES).dropna(), NAMES, "target")
 
 
 @query("ml04_grid_search")
@@ -107,6 +101,32 @@ def ml10(spark, d):
     return last.select("symbol", "time", "feature", F.round("value", 8).alias("value"), F.round("share", 6).alias("share"))
 
 
+#: What a reader calls the features that are explained.
+_LABELS = {"ret_5": "return of five bars", "rsi": "relative strength", "bb_pos": "place in the band", "bb_width": "width of the band"}
+
+
+def _directed(spark, d):
+    rows = I.features(candles(spark, d)).select("symbol", "time", "target", *_LABELS).dropna(subset=["target"])
+    return L.ordered_split(rows).withColumn("label", (c("target") + 1).cast("double"))
+
+
+@query("ml10_tree_contributions")
+def ml10b(spark, d):
+    """Shapley values of boosted trees that forecast the return of five bars, for all bars."""
+    rows = _future(spark, d).dropna(subset=[*_LABELS, "future"])
+    assembled = VectorAssembler(inputCols=list(_LABELS), outputCol="features").transform(rows)
+    model = GBTRegressor(labelCol="future", maxIter=5, maxDepth=3, seed=1).fit(assembled)
+    return X.tree_contributions(rows, model, list(_LABELS), ["symbol", "time"])
+
+
+@query("ml10_explanations")
+def ml10c(spark, d):
+    """The signal of boosted trees for each bar of the test part, with reasons for and against it and a sentence."""
+    rows = _directed(spark, d)
+    classes = X.fitted_directions(rows.where("train"), list(_LABELS), "label")
+    return X.explained(rows.where("not train"), classes, list(_LABELS), _LABELS, ["symbol", "time"])
+
+
 @query("ml11_ordered_split", f"{C}, n AS (SELECT symbol, time, row_number() OVER ({O.W}) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM candles) SELECT symbol, time, i <= floor(n * 0.8::DOUBLE) AS train FROM n")
 def ml11(spark, d):
     return L.ordered_split(candles(spark, d)).select("symbol", "time", "train")
