@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.catalog import query
 from tidewell.sources.views import RUNS, runs, table
+from tidewell.streaming import status as T
 from tidewell.streaming import windows as S
 
 c = F.col
@@ -48,3 +49,14 @@ def ss07(spark, d):
 def ss08(spark, d):
     old = (c("status") == "running") & F.expr("started < timestamp_ntz '2001-01-01' - interval 60 seconds")
     return runs(spark, d).select("run_id", F.when(old, "failed").otherwise(c("status")).alias("status"))
+
+
+@query("ss08_ended_runs", """WITH e AS (SELECT user_id::VARCHAR || '-' || strftime(ts, '%Y%m%d') AS run_id, ts, event_type AS status FROM events),
+g AS (SELECT run_id, min(ts) AS created, min(ts) FILTER (WHERE status IN ('purchase', 'error')) AS ended, arg_min(status, row(ts, status)) FILTER (WHERE status IN ('purchase', 'error')) AS word FROM e GROUP BY 1)
+SELECT run_id, CASE WHEN ended < created + INTERVAL 6 HOUR THEN word ELSE 'failed' END AS status, CASE WHEN ended < created + INTERVAL 6 HOUR THEN NULL ELSE 'stale' END AS error, created,
+CASE WHEN ended < created + INTERVAL 6 HOUR THEN ended ELSE created + INTERVAL 6 HOUR END AS finished FROM g WHERE created + INTERVAL 6 HOUR <= (SELECT max(ts) FROM e)""")
+def ss08b(spark, d):
+    """A user's day as a run that a purchase or an error ends within six hours."""
+    run = F.concat(c("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMdd"))
+    out = T.ended_runs(_events(spark, d).select(run.alias("run_id"), "ts", c("event_type").alias("status")), ("purchase", "error"), 6 * 3600)
+    return out.withColumns({x: c(x).cast("timestamp_ntz") for x in ("created", "finished")})
