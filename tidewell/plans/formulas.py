@@ -137,7 +137,7 @@ USER = {
 CONDITIONS = {
     "calm": ("-300 < change(close) / 2 ** 2 < 300 or volume % 7 == 0", f"coalesce((close - {O.lag('close')}) / 4 > -300 AND (close - {O.lag('close')}) / 4 < 300, false) OR volume % 7 = 0"),
     "recent": ("barssince(close > open) <= m", f"coalesce(bar - last_value(CASE WHEN close > open THEN bar END IGNORE NULLS) OVER ({O.W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= 2, false)"),
-    "other": ("change(close, 2) != shift(close, 3) | (close >= typical()) & True", f"coalesce(close - {O.lag('close', 2)} <> {O.lag('close', 3)}, true) OR close >= {_TY}"),
+    "other": ("(change(close, 2) != shift(close, 3)) | (close >= typical()) & True", f"coalesce(close - {O.lag('close', 2)} <> {O.lag('close', 3)}, true) OR close >= {_TY}"),
 }
 _SIGNED = f"mv AS (SELECT *, sum(coalesce(sign(close - before), 0) * volume) OVER ({O.W}) AS obv FROM (SELECT *, {O.lag('close')} AS before, row_number() OVER ({O.W}) AS bar FROM candles))"
 
