@@ -190,3 +190,8 @@ def test_evaluated_claims(spark):
         ("a", 0): ("match", "CFS", "restated_exists"), ("b", 0): ("match", "CFS", "restated"), ("c", 0): ("mismatch", "CFS", "restated_exists"), ("d", 0): ("match", "OFS", "separate_only"), ("d", 1): ("match", "OFS", "separate_only"),
         ("e", 0): ("mismatch", "CFS", "restated_exists"), ("e", 1): ("match", "CFS", None), ("f", 0): ("unknown", "CFS", "candidate_missing"), ("g", 0): ("match", "CFS", None), ("h", 0): ("unknown", None, None),
     }
+
+
+def test_filings_of_one_partition_are_read_by_many_tasks(spark):
+    docs = spark.range(100).coalesce(1).select(F.col("id").alias("doc_id"), F.lit("<P>a</P>").alias("xml"))
+    assert markup.pieces(docs).select(F.spark_partition_id()).distinct().count() > 1
