@@ -195,3 +195,10 @@ def test_evaluated_claims(spark):
 def test_filings_of_one_partition_are_read_by_many_tasks(spark):
     docs = spark.range(100).coalesce(1).select(F.col("id").alias("doc_id"), F.lit("<P>a</P>").alias("xml"))
     assert markup.pieces(docs).select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_forms_are_read_once(spark):
+    docs = filed(spark, "<TABLE><TR><TD>a</TD></TR></TABLE>")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(forms.corrections(forms.form_rows(docs))).count("MapIn") == 1
+    assert plan(forms.preliminary(docs)).count("MapIn") == 0

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .markup import pieces
 
 c = F.col
@@ -96,8 +97,9 @@ def corrections(rows: DataFrame) -> DataFrame:
 
     A row whose lines do not all pair up with numbers is text and is left out.
     """
-    start = rows.where(c("flat") == F.array(*map(F.lit, CORRECTED))).select("doc_id", "pos", c("row").alias("_start"))
-    body = rows.join(start, ["doc_id", "pos"]).where((c("row") > c("_start")) & (F.size("cells") == 3))
+    table = Window.partitionBy("doc_id", "pos")
+    starts = F.collect_list(F.when(c("flat") == F.array(*map(F.lit, CORRECTED)), c("row"))).over(table)
+    body = rows.where(F.size("cells") == 3).withColumn("_start", starts).withColumn("_start", F.explode("_start")).where(c("row") > c("_start"))
     cut = lambda k: F.split(F.get("cells", F.lit(k)), "\n")
     empty = F.struct(F.lit("").alias("heading"), F.array().cast("array<struct<heading:string,item:string,basis:string>>").alias("out"))
 
@@ -118,7 +120,7 @@ def preliminary(docs: DataFrame) -> DataFrame:
     amount is the current value; it is known to rounding_unit, the unit of its last digit.
     Forms without a known unit or span of the current results give no rows.
     """
-    rows = form_rows(docs).select("doc_id", "pos", "row", "cells", "flat")
+    rows = cut(form_rows(docs).select("doc_id", "pos", "row", "flat"))  # each form is read once, and its rows are used five times
     unit = F.regexp_extract(F.array_join("flat", " "), UNIT_CELL, 1)
     day = F.regexp_extract(_cell(1), KOREAN_DAY, 0)
     noted = rows.groupBy("doc_id").agg(
