@@ -202,3 +202,8 @@ def test_forms_are_read_once(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert plan(forms.corrections(forms.form_rows(docs))).count("MapIn") == 1
     assert plan(forms.preliminary(docs)).count("MapIn") == 0
+
+
+def test_pieces_are_read_once_for_their_lines(spark):
+    found = passages.lines(markup.pieces(filed(spark, "<P>a</P>")))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapIn") == 0

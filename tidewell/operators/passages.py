@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .markup import pieces
 from .ordered import by_row, fold
 from .text import held
@@ -162,7 +163,8 @@ def _marked(heading: Column, caption: Column, unit: Column) -> Column:
 
 def lines(found: DataFrame) -> DataFrame:
     """doc_id, outer, inner, pos, row, kind (title, para or row), title and text of the pieces, tables as their rows."""
-    carried = _carried(_classified(found))
+    # Three selections follow; the pieces are read, classified and carried once for them all.
+    carried = cut(_carried(_classified(found)).where("what in ('title', 'sub', 'para', 'paras', 'data')").select("doc_id", "outer", "inner", "pos", "what", "title", "sub", "said", "own", "heads", "rows", "spans", "caption", "unit"))
     plain = carried.where("what in ('title', 'sub', 'para')").select(
         "doc_id", "outer", "inner", "pos", F.lit(0).alias("row"), F.when(c("what") == "para", "para").otherwise("title").alias("kind"), _heading(c("title"), c("sub")).alias("title"), F.when(c("what") == "sub", _heading(c("title"), c("sub"))).otherwise(c("said")).alias("text")
     )
