@@ -305,3 +305,13 @@ def test_warm_up_days():
 def test_amount_claims(spark, said, wanted):
     found = spark.createDataFrame([(said,)], "t string").select(claims.amount_claims(F.col("t")).alias("c")).first().c
     assert [tuple(x) for x in found] == [(a, Decimal(v), p) for a, v, p in wanted]
+
+
+def test_recall_by_search_equals_recall_by_lists(spark):
+    """Claims of few and of very many bigrams, blanks, marks of four bytes, empty passages; jon10 takes bigrams once a line."""
+    long = "".join(chr(0x4E00 + i) for i in range(text.SEARCHED + 40))
+    rows = [(1, "a b c\U0001f600d", ["abc", "\U0001f600 d", "", "ABC", "b\tc"]), (2, long, [long[50:200], "x", ""]), (3, "", ["abc"]), (4, "aa aaa", [])]
+    df = spark.createDataFrame(rows, "id int, q string, ps array<string>")
+    plain = F.transform("ps", lambda t: text.recall(text.bigrams(F.col("q")), text.bigrams(t)))
+    got = df.select(text.recalls(F.col("q"), F.col("ps")).alias("new"), plain.alias("old")).collect()
+    assert all(r.new == r.old for r in got) and [x > 0 for x in got[0].new] == [True, True, False, False, True]

@@ -9,6 +9,7 @@ from tidewell.catalog import query
 from tidewell.operators import companies, subjects
 from tidewell.operators import passages as P
 from tidewell.operators import text as X
+from tidewell.operators.markup import spread
 from tidewell.sources.views import CLAIMS, RUNS, claims, runs, table
 
 c = F.col
@@ -93,11 +94,11 @@ def tx10(spark, d):
 
 def _pairs(spark, d):
     """Each document's first line as a claim, with the document's other lines as its passages: a claim meets its own ones only."""
-    docs = table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
-    # The claim's bigrams are taken once a document and go with its lines: nothing is joined or shuffled.
-    claimed = docs.select("doc_id", "lines", X.bigrams(c("lines")[0]).alias("q"))
-    each = claimed.select("doc_id", "q", F.posexplode("lines").alias("line", "t")).where("line > 0")
-    return each.select("doc_id", "line", F.round(X.recall(c("q"), X.bigrams(c("t"))), 8).alias("score"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.split("text", "\n").alias("lines"))
+    # The claim's bigrams are taken once a document and meet its lines there: nothing is joined, and they are not copied to each line.
+    rest = F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))
+    each = docs.select("doc_id", F.posexplode(X.recalls(c("lines")[0], rest)).alias("at", "score"))
+    return each.select("doc_id", (c("at") + 1).alias("line"), F.round("score", 8).alias("score"))
 
 
 @query("tx11_lexical_best", f"WITH {_PAIRS}, top AS (SELECT doc_id, max(score) AS score, arg_max(line, row(score, -line)) AS best FROM pr GROUP BY 1) SELECT doc_id, score, CASE WHEN score > 0 THEN best END AS best FROM top")
