@@ -92,3 +92,13 @@ def test_comparison(spark):
     assert {r.n_test for r in out.values()} == {48}
     assert min(out["forest"].cv_mean, out["stack"].cv_mean, out["stack"].test_accuracy, out["radial_machine"].test_accuracy) > 0.9
     assert all(0 <= r.cv_std < 0.5 and 0 <= r.cv_mean <= 1 for r in out.values())
+
+
+@pytest.mark.parametrize("classes", [(0,), (-1, 1)])
+def test_comparison_of_learners_with_classes_that_do_not_occur(spark, classes):
+    """Steady prices move by less than two percent, so a large table may have one class only; a machine then has no other side."""
+    rows = [(s, i, classes[i // 2 % len(classes)]) for s in "ab" for i in range(40)]
+    df = spark.createDataFrame(rows, "symbol string, time int, target int").withColumns({"x": F.col("target") + F.randn(1) / 9, "y": F.randn(2)})
+    found = M.compared(df, ["x", "y"], "target", folds=2).collect()
+    assert len(found) == 7 and all(r.n_test == 16 for r in found)
+    assert all(r.test_accuracy >= 0.9 for r in found if len(classes) == 1 or r.model in ("linear_machine", "boosting"))

@@ -50,23 +50,40 @@ def contestants(width: int) -> dict:
     }
 
 
+def _fitted(learner, rows: DataFrame, present: list[float]):
+    """The function that adds a fitted learner's prediction; present: the labels in the rows, in order.
+
+    One class against the rest needs rows of both sides, so such a learner meets only the
+    classes that are present; with a single one, that is the prediction.
+    """
+    if not isinstance(learner, OneVsRest) or len(present) == CLASSES:
+        return learner.fit(rows).transform
+    if len(present) == 1:
+        return lambda df: df.withColumn("prediction", F.lit(present[0]))
+    labels = F.array(*map(F.lit, present))
+    model = learner.fit(rows.withColumn("label", (F.array_position(labels, c("label")) - 1).cast("double")))
+    return lambda df: model.transform(df).withColumn("prediction", F.element_at(labels, (c("prediction") + 1).cast("int")))
+
+
 def out_of_fold(df: DataFrame, features: list[str], target: str, folds: int, key: tuple[str, ...]) -> DataFrame:
     """key, label, part, fold, model and prediction of every row by each contestant.
 
     Part `fold` holds the ordered training rows as predicted by a learner that did not see their
     fold, `train` the same rows as predicted by one that saw them all, and `test` the rest. Folds
-    go by a hash of the key. Target is -1, 0 or 1; labels are one more. Rows have no nulls.
+    go by a hash of the key. Target is -1, 0 or 1; labels are one more; not all need to occur. Rows have no nulls.
     """
     data = ordered_split(df).withColumn("label", (c(target) + 1).cast("double"))
     data = data.withColumn("fold", F.when(c("train"), F.pmod(F.xxhash64(*key), F.lit(folds))).otherwise(-1).cast("int"))
     scaling = Pipeline(stages=prepared(features)).fit(data.where("train"))
     data = cut(scaling.transform(data).select(*key, "label", "train", "fold", "features", waves("features", len(features)).alias("waves")))
     learnt = data.where("train")
+    cells = learnt.select("fold", "label").distinct().collect()  # folds x classes at most
+    present = lambda without=None: sorted({x.label for x in cells if x.fold != without})
     said = []
     for name, learner in contestants(len(features)).items():
-        tell = lambda model, rows, part, name=name: model.transform(rows).select(*key, "label", F.lit(part).alias("part"), "fold", F.lit(name).alias("model"), "prediction")
-        said += [tell(learner.fit(learnt.where(c("fold") != k)), learnt.where(c("fold") == k), "fold", name) for k in range(folds)]
-        whole = learner.fit(learnt)
+        tell = lambda predicted, rows, part, name=name: predicted(rows).select(*key, "label", F.lit(part).alias("part"), "fold", F.lit(name).alias("model"), "prediction")
+        said += [tell(_fitted(learner, learnt.where(c("fold") != k), present(k)), learnt.where(c("fold") == k), "fold", name) for k in range(folds)]
+        whole = _fitted(learner, learnt, present())
         said += [tell(whole, learnt, "train", name), tell(whole, data.where("not train"), "test", name)]
     return cut(reduce(DataFrame.unionByName, said))
 
