@@ -257,3 +257,11 @@ def test_pipeline_edges(spark, tmp_path):
         assert {r.doc_id for r in some.collect()} <= want
         out = corpus_pipeline.STAGES[-1][1](spark, some, sf).collect()
         assert len(out) == some.count()
+
+
+def test_permutation_with_given_rounds_is_the_same(spark):
+    """A run of numbers shares the keys of its rounds, which are not hashed anew for each number."""
+    n, key = F.lit(97).cast("long"), F.lit(5)
+    df = spark.range(97).withColumn("rounds", mixing.rounds_of(n, key))
+    rows = df.select(mixing.permuted(F.col("id"), n, key).alias("a"), mixing.permuted(F.col("id"), n, key, rounds=F.col("rounds")).alias("b")).collect()
+    assert all(r.a == r.b for r in rows) and {r.b for r in rows} == set(range(97))

@@ -23,18 +23,24 @@ ROUNDS = 24
 BROADCAST_SOURCES = 50_000
 
 
-def permuted(x: Column, n: Column, *keys: Column) -> Column:
+def rounds_of(n: Column, *keys: Column) -> Column:
+    """Array of (r, k): each round of a permutation with its key."""
+    return F.transform(F.sequence(F.lit(1), F.lit(ROUNDS)), lambda r: F.struct(r.alias("r"), F.pmod(F.xxhash64(r, n, *keys), n).alias("k")))
+
+
+def permuted(x: Column, n: Column, *keys: Column, rounds: Column | None = None) -> Column:
     """A keyed pseudorandom permutation of 0 .. n - 1: a swap-or-not shuffle, exact for every n.
 
     Each round pairs x with (k - x) mod n, and a hash of round and pair's larger
-    member decides whether they change places.
+    member decides whether they change places. rounds: rounds_of the same n and keys,
+    where many numbers share them.
     """
 
     def step(at: Column, r: Column) -> Column:
-        other = F.pmod(F.pmod(F.xxhash64(r, n, *keys), n) - at, n)
-        return F.when(F.pmod(F.xxhash64(F.greatest(at, other), r, n, *keys), F.lit(2)) == 1, other).otherwise(at)
+        other = F.pmod(r["k"] - at, n)
+        return F.when(F.pmod(F.xxhash64(F.greatest(at, other), r["r"], n, *keys), F.lit(2)) == 1, other).otherwise(at)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x.cast("long"), step)
+    return F.aggregate(rounds_of(n, *keys) if rounds is None else rounds, x.cast("long"), step)
 
 
 def with_targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
@@ -186,8 +192,15 @@ class Mix:
         # A fixed number of tasks: few bytes stand for many slots, so sizes must not merge them.
         counts = counts.withColumn("kept", kept).repartition(max(1, min(4 * self.shards, MOST_TASKS)), "shard", "source_id")
         span = lambda a, b: F.explode(F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))).alias("i")
-        own = counts.select("shard", "source_id", "blocks", "place", "first", span(F.lit(0).cast("long"), F.col("kept")))
-        own = own.select("shard", "source_id", "blocks", (F.col("place") + F.col("i")).alias("place"), (F.col("first") + F.col("i")).alias("q"))
+        # Slots of one source and epoch share a permutation; its rounds' keys are taken once for a run of them.
+        seed = F.lit(self.seed).cast("long")
+        key = (F.col("blocks"), seed, F.col("source_id"), F.col("epoch"))
+        runs = counts.where("kept > 0").withColumn("epoch", F.explode(F.sequence(F.expr("first div blocks"), F.expr("(first + kept - 1) div blocks"))))
+        low, high = F.greatest(F.col("first"), F.col("epoch") * F.col("blocks")), F.least(F.col("first") + F.col("kept"), (F.col("epoch") + 1) * F.col("blocks"))
+        runs = runs.select("shard", "source_id", "blocks", "epoch", (F.col("place") - F.col("first")).alias("ahead"), low.alias("low"), high.alias("high"), rounds_of(*key).alias("rounds"))
+        own = runs.select("shard", "source_id", "blocks", "epoch", "ahead", "rounds", span(F.col("low"), F.col("high")))
+        block = permuted(F.col("i") - F.col("epoch") * F.col("blocks"), *key, rounds=F.col("rounds"))
+        own = own.select("shard", "source_id", block.alias("block"), "epoch", (F.col("ahead") + F.col("i")).alias("place"))
 
         # Draws beyond a source's slots, and the slots that draws left open, both numbered in the order of sources.
         totals = self.sources.where("slots > 0").join(self.drawn.groupBy("source_id").agg(F.sum("n").alias("drawn")), "source_id", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
@@ -201,9 +214,9 @@ class Mix:
         open_ = repeated(totals.where("short > 0"), F.col("short"), "i").select("source_id", "blocks", (F.col("short_before") + F.col("i")).alias("j"), (F.col("drawn") + F.col("i")).alias("q"))
         moved = beyond.join(open_.hint("merge"), "j").select("shard", "source_id", "blocks", "place", "q")
 
-        each = own.unionByName(moved).withColumns({"epoch": F.expr("q div blocks"), "_i": F.expr("q % blocks")})
-        seed = F.lit(self.seed).cast("long")
-        each = each.withColumns({"block": permuted(F.col("_i"), F.col("blocks"), seed, F.col("source_id"), F.col("epoch")), "slot": permuted(F.col("place"), self._shard_size(), seed, F.col("shard"))})
+        moved = moved.withColumns({"epoch": F.expr("q div blocks"), "_i": F.expr("q % blocks")})
+        moved = moved.select("shard", "source_id", permuted(F.col("_i"), *key).alias("block"), "epoch", "place")
+        each = own.unionByName(moved).withColumn("slot", permuted(F.col("place"), self._shard_size(), seed, F.col("shard")))
         return each.select("source_id", "block", "epoch", "shard", "slot")
 
     @property
