@@ -207,3 +207,20 @@ def test_forms_are_read_once(spark):
 def test_pieces_are_read_once_for_their_lines(spark):
     found = passages.lines(markup.pieces(filed(spark, "<P>a</P>")))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapIn") == 0
+
+
+def test_words_at_which_no_name_begins_are_not_looked_up(spark):
+    """Two plain first characters decide; what keys leave out (marks, suffixes, blanks, dots) keeps a word in."""
+    known = companies.dictionary(spark.createDataFrame([("Apex Tool", 1), ("삼성전자", 2), ("Co. Foo", 3)], "name string, company int"))
+    words = ["apex", "ARROW", "삼성전자는", "삼일은", "2분기", "co.", "주식회사", "A", "C-Com", "매출은"]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    kept = {r.word for r in companies._promising(df, F.upper("word"), known).collect()}
+    assert kept == {"apex", "삼성전자는", "co.", "주식회사", "A", "C-Com"}
+
+
+def test_mentions_after_marks_and_suffixes(spark):
+    """Names whose first characters keys leave out are found as before."""
+    names = spark.createDataFrame([("Foo Works", 1), ("삼성전자", 2), ("A. Bee", 3)], "name string, company int")
+    texts = spark.createDataFrame([(1, "Co. Foo Works는 좋다"), (2, "㈜삼성전자와 주식회사 삼성전자"), (3, "A Bee의 값")], "k int, text string")
+    found = companies.mentions(texts, names, "k").select("k", "company").collect()
+    assert sorted(tuple(r) for r in found) == [(1, 1), (2, 2), (2, 2), (3, 3)]

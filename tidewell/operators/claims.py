@@ -66,8 +66,9 @@ def line_kind(text: Column, named: Column) -> Column:
     """
     parts = F.split(F.trim(text), HEADER_CUT, 2)
     head = F.trim(parts[0])
-    header = ~has_amount(text) & head.rlike(HEADER_KINDS) & named & ((F.size(parts) == 2) | (F.length(head) <= HEADER_LENGTH))
-    return F.when(~text.rlike(r"\d") & text.rlike(LIST_LEAD), "lead").when(~has_amount(text) & text.rlike(INTRO), "intro").when(header, "header")
+    # Amounts are looked for last: that blanks all periods first.
+    header = head.rlike(HEADER_KINDS) & named & ((F.size(parts) == 2) | (F.length(head) <= HEADER_LENGTH)) & ~has_amount(text)
+    return F.when(~text.rlike(r"\d") & text.rlike(LIST_LEAD), "lead").when(text.rlike(INTRO) & ~has_amount(text), "intro").when(header, "header")
 
 
 def triage(text: Column, company: Column, period: Column) -> Column:

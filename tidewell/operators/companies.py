@@ -31,6 +31,8 @@ PARTICLES = (
 SUBJECT_PARTICLES = "은는이가"
 PARTING = r"[\s,·/()\[\]\"“”‘’'「」]+"
 ENDING = r"[.!?。:;…]+$"
+#: The first two characters of a word (upper case) that are also those of its key: nothing that keys leave out begins there.
+PLAIN = r"^(?:[ABD-HJKM-Z0-9가-힣&&[^주]]{2}|[ABD-HJKM-Z0-9][CIL])"
 #: Words that one name has at most.
 RUN = 3
 #: Names in one automaton, and rows of a dictionary up to which it is broadcast.
@@ -77,6 +79,15 @@ def _forms(surface: Column) -> Column:
     return F.concat(F.array(surface), F.transform(fits, lambda p: F.substr(surface, F.lit(1), F.length(surface) - F.length(p))))
 
 
+def _promising(words: DataFrame, word: Column, known: DataFrame) -> DataFrame:
+    """words without those at which no known name can begin, by its first two characters; the rest is looked up exactly."""
+    starts = known.select(F.substring("_key", 1, 2).alias("_start")).distinct().withColumn("_begins", F.lit(True))
+    if starts.limit(MOST_NAMES + 1).count() > MOST_NAMES:
+        return words
+    marked = words.withColumn("_start", F.when(word.rlike(PLAIN), F.substring(word, 1, 2)))
+    return marked.join(F.broadcast(starts), "_start", "left").where("_start is null or _begins").drop("_start", "_begins")
+
+
 def mentions(texts: DataFrame, names: DataFrame, key: str) -> DataFrame:
     """key, at, words, name, company, subject and topic of the companies that texts mention, longest names first.
 
@@ -97,7 +108,8 @@ def mentions(texts: DataFrame, names: DataFrame, key: str) -> DataFrame:
             for n in range(1, RUN + 1)
         ]
     )
-    each = df.select(key, "_own", "_end", "w", F.posexplode("w").alias("at", "_x")).select(key, "_own", "_end", "at", F.explode(F.array_compact(runs)).alias("r"))
+    each = _promising(df.select(key, "_own", "_end", "w", F.posexplode("w").alias("at", "_x")), F.upper("_x.word"), known)
+    each = each.select(key, "_own", "_end", "at", F.explode(F.array_compact(runs)).alias("r"))
     surface = F.regexp_replace(F.array_join("r.ws", " "), ENDING, "")
     forms = each.select(key, "_own", "_end", "at", c("r.n").alias("n"), "r.marked", surface.alias("surface")).select("*", F.posexplode(_forms(c("surface"))).alias("rank", "form"))
     forms = forms.withColumn("_key", name_key(c("form"))).where(F.length("_key") >= 2)

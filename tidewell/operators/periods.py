@@ -118,18 +118,19 @@ def stretches(text: Column) -> Column:
 
 def _part(text: Column, year: Column) -> Column:
     """The period within a year that a stretch names: cumulative quarters, a quarter, a half, a quarter's last month, or the year."""
-    text = F.regexp_replace(text, _YEAR4, " ")  # its last digit is no quarter
-    first = lambda *patterns: F.coalesce(*(F.regexp_extract(text, p, 1).try_cast("int") for p in patterns))
-    upto = first(r"1\s*[~∼\-]\s*([2-4])\s*분기")
-    quarter = first(r"([1-4])\s*(?:분기|Q)", r"Q([1-4])(?!\d)")
-    half = F.coalesce(F.when(text.contains("상반기"), 1).when(text.contains("하반기"), 2), first(r"([12])H", r"H([12])(?!\d)"))
-    month = first(r"(\d{1,2})\s*월")
-    cumulative = text.rlike(_words(CUMULATIVE))
     made = lambda kind, n, whole: F.struct(year.cast("int").alias("year"), F.lit(kind).alias("kind"), n.cast("int").alias("n"), whole.alias("cumulative"))
-    return (
-        F.when(upto.isNotNull(), made("quarter", upto, F.lit(True))).when(quarter.isNotNull(), made("quarter", quarter, cumulative & (quarter != 1))).when(half.isNotNull(), made("half", half, F.lit(False)))
-        .when(month % 3 == 0, made("quarter", month / 3, F.lit(False))).otherwise(made("year", F.lit(0), F.lit(False)))
-    )
+
+    def read(text):
+        first = lambda *patterns: F.coalesce(*(F.regexp_extract(text, p, 1).try_cast("int") for p in patterns))
+        # Each part is read once, and only where those before it were not found.
+        either = lambda n, found, otherwise: held(n, lambda n: F.when(n.isNotNull(), found(n)).otherwise(otherwise))
+        month = held(first(r"(\d{1,2})\s*월"), lambda n: F.when(n % 3 == 0, made("quarter", n / 3, F.lit(False))).otherwise(made("year", F.lit(0), F.lit(False))))
+        half = F.coalesce(F.when(text.contains("상반기"), 1).when(text.contains("하반기"), 2), first(r"([12])H", r"H([12])(?!\d)"))
+        half = either(half, lambda n: made("half", n, F.lit(False)), month)
+        quarter = either(first(r"([1-4])\s*(?:분기|Q)", r"Q([1-4])(?!\d)"), lambda n: made("quarter", n, (n != 1) & text.rlike(_words(CUMULATIVE))), half)
+        return either(first(r"1\s*[~∼\-]\s*([2-4])\s*분기"), lambda n: made("quarter", n, F.lit(True)), quarter)
+
+    return held(F.regexp_replace(text, _YEAR4, " "), read)  # its last digit is no quarter
 
 
 def _year(text: Column) -> Column:
@@ -157,24 +158,25 @@ def resolved(found: Column, as_of: Column) -> Column:
 
     def all_of(ps):
         of = lambda s: held(_part(s["text"], _year(s["text"])), lambda p: F.struct(s["start"].alias("start"), s["end"].alias("end"), p["year"].alias("year"), p["kind"].alias("kind"), p["n"].alias("n"), p["cumulative"].alias("cumulative")))
-        named = F.transform(F.filter(ps, lambda s: (s["kind"] == "named") & ~s["base"]), of)
+        # Only "same period of last year" looks at the named ones.
+        named = F.when(F.exists(ps, lambda s: s["kind"] == "same"), F.transform(F.filter(ps, lambda s: (s["kind"] == "named") & ~s["base"]), of)).otherwise(F.array().cast(f"array<{_NAMED}>"))
 
         def walk(named):
             def one(s, before):
                 word = F.regexp_replace(s["text"], r"\s+", "")
                 away = lambda table: F.coalesce(*(F.when(word.startswith(w.replace(" ", "")), F.lit(n)) for w, n in sorted(table.items(), key=lambda x: -len(x[0]))))
+                made = lambda year, kind, n, cumulative, shifted=F.lit(False): F.struct(year.cast("int").alias("year"), kind.alias("kind"), n.cast("int").alias("n"), cumulative.alias("cumulative"), shifted.alias("shifted"))
+                plain = lambda part: held(part, lambda x: made(x["year"], x["kind"], x["n"], x["cumulative"]))
                 nearest = F.element_at(F.array_sort(F.transform(named, lambda x: F.struct(F.abs(x["start"] - s["start"]).alias("far"), x.alias("p")))), 1)["p"]
-                now = F.struct((as_of["year"] - 1).alias("year"), F.lit("quarter").alias("kind"), as_of["quarter"].cast("int").alias("n"), F.lit(False).alias("cumulative"))
-                same = F.when(F.size(named) > 0, F.struct((nearest["year"] - 1).alias("year"), nearest["kind"].alias("kind"), nearest["n"].alias("n"), nearest["cumulative"].alias("cumulative"))).otherwise(now)
-                at = moved(as_of["year"], as_of["quarter"], away(QUARTERS_AWAY))
-                quarter = F.struct(F.floor(at / 4).cast("int").alias("year"), F.lit("quarter").alias("kind"), (at % 4 + 1).cast("int").alias("n"), F.lit(False).alias("cumulative"))
+                now = made(as_of["year"] - 1, F.lit("quarter"), as_of["quarter"], F.lit(False))
+                same = F.when(F.size(named) > 0, held(nearest, lambda x: made(x["year"] - 1, x["kind"], x["n"], x["cumulative"]))).otherwise(now)
+                quarter = held(moved(as_of["year"], as_of["quarter"], away(QUARTERS_AWAY)), lambda at: made(F.floor(at / 4), F.lit("quarter"), at % 4 + 1, F.lit(False)))
                 alone = before.isNull()
-                open_ = _part(s["text"], F.coalesce(before, as_of["year"]))
-                late = alone & (moved(open_["year"], last_quarter(open_["kind"], open_["n"]), 0) > moved(as_of["year"], as_of["quarter"], 0))
-                bare_one = F.struct((open_["year"] - late.cast("int")).alias("year"), open_["kind"].alias("kind"), open_["n"].alias("n"), open_["cumulative"].alias("cumulative"))
-                p = F.when(s["kind"] == "named", _part(s["text"], _year(s["text"]))).when(s["kind"] == "same", same).when(s["kind"] == "year", _part(F.regexp_replace(s["text"], f"^(?:{_words(YEARS_AWAY)})", ""), as_of["year"] + away(YEARS_AWAY))).when(s["kind"] == "quarter", quarter).otherwise(bare_one)
+                late = lambda x: alone & (moved(x["year"], last_quarter(x["kind"], x["n"]), 0) > moved(as_of["year"], as_of["quarter"], 0))
+                bare_one = held(_part(s["text"], F.coalesce(before, as_of["year"])), lambda x: held(late(x), lambda l: made(x["year"] - l.cast("int"), x["kind"], x["n"], x["cumulative"], l)))
+                p = F.when(s["kind"] == "named", plain(_part(s["text"], _year(s["text"])))).when(s["kind"] == "same", same).when(s["kind"] == "year", plain(_part(F.regexp_replace(s["text"], f"^(?:{_words(YEARS_AWAY)})", ""), as_of["year"] + away(YEARS_AWAY)))).when(s["kind"] == "quarter", quarter).otherwise(bare_one)
                 relative = s["kind"].isin("year", "quarter") | ((s["kind"] == "same") & (F.size(named) == 0)) | ((s["kind"] == "bare") & alone)
-                return held(p, lambda p: F.struct(s["start"].alias("start"), s["end"].alias("end"), label(p["year"], p["kind"], p["n"]).alias("label"), p["year"].alias("year"), p["kind"].alias("kind"), p["n"].alias("n"), p["cumulative"].alias("cumulative"), relative.alias("relative"), ((s["kind"] == "bare") & late).alias("shifted")))
+                return held(p, lambda p: F.struct(s["start"].alias("start"), s["end"].alias("end"), label(p["year"], p["kind"], p["n"]).alias("label"), p["year"].alias("year"), p["kind"].alias("kind"), p["n"].alias("n"), p["cumulative"].alias("cumulative"), relative.alias("relative"), p["shifted"].alias("shifted")))
 
             def step(acc, s):
                 return held(one(s, acc["year"]), lambda p: F.struct(p["year"].alias("year"), F.concat(acc["out"], F.array(p)).alias("out")))

@@ -10,6 +10,7 @@ from tidewell.operators import claims as K
 from tidewell.operators import companies
 from tidewell.operators import factcheck as X
 from tidewell.operators import periods as P
+from tidewell.operators.markup import spread
 from tidewell.sources.views import CLAIMS, FACTS, claims, facts, table
 
 c = F.col
@@ -109,9 +110,13 @@ def _sentences(spark, d):
         F.format_string("영업이익률은 %d%%다.", k), F.format_string("매출은 전년 동기 대비 %d%% 늘었다.", k), F.format_string("제품 비중은 %d%%p 올랐다.", k), F.format_string("순이익은 %d%% 증가했다.", k),
     )
     o = table(spark, d, "orders").join(table(spark, d, "customer").select(c("c_custkey").alias("o_custkey"), c("c_mktsegment").alias("seg")), "o_custkey")
+    o = spread(o.select("o_orderkey", "o_custkey", "o_orderdate", "seg"), "o_orderkey")
     text = F.when(c("o_custkey") % 3 == 0, F.concat("seg", F.lit("는 "), said)).otherwise(said)
-    made = o.select("o_orderkey", text.alias("text"), F.lit("BUILDING").alias("company"), P.as_of_day(F.to_date("o_orderdate")).alias("as_of"))
-    return made.withColumn("periods", P.periods(c("text"), c("as_of")))
+    return o.select("o_orderkey", text.alias("text"), F.lit("BUILDING").alias("company"), P.as_of_day(F.to_date("o_orderdate")).alias("as_of"))
+
+
+def _dated(sentences):
+    return sentences.withColumn("periods", P.periods(c("text"), c("as_of")))
 
 
 def _mentioned(spark, d, texts):
@@ -133,7 +138,7 @@ _RELATIVE = _case("false", "true", "true", *["false"] * 9, "true", "true", *["fa
 def fc12(spark, d):
     """Periods of each sentence: bases of comparison are none, quarters without year are read from the day."""
     has = lambda f: F.exists("periods", lambda p: p[f]).alias(f)
-    return _sentences(spark, d).select("o_orderkey", F.array_join(F.transform("periods", lambda p: p["label"]), ",").alias("labels"), has("cumulative"), has("shifted"), has("relative"))
+    return _dated(_sentences(spark, d)).select("o_orderkey", F.array_join(F.transform("periods", lambda p: p["label"]), ",").alias("labels"), has("cumulative"), has("shifted"), has("relative"))
 
 
 @query("fc14_search_periods", """WITH o AS (SELECT o_orderkey, last_day(make_date(year(o_orderdate), 3 * (o_orderkey % 4 + 1)::INT, 1)) AS low FROM orders),
@@ -162,7 +167,7 @@ def fc20(spark, d):
     """Scope by subject, words and periods: a sentence about another company comes first."""
     s = _sentences(spark, d)
     other = companies.subjects(_mentioned(spark, d, s), "o_orderkey").select("o_orderkey", "other")
-    joined = s.join(other, "o_orderkey", "left")
+    joined = _dated(s.join(other, "o_orderkey", "left"))
     return joined.select("o_orderkey", K.scope(c("text"), c("other"), c("periods"), c("as_of")).alias("s")).select("o_orderkey", "s.*")
 
 
@@ -174,7 +179,7 @@ def fc21(spark, d):
     """Whether each sentence is checked: by numbers, companies and periods that it names."""
     s = _sentences(spark, d)
     found = _mentioned(spark, d, s).select("o_orderkey", F.lit(True).alias("named")).distinct()
-    joined = s.join(found, "o_orderkey", "left").withColumn("named", F.coalesce("named", F.lit(False)))
+    joined = _dated(s.join(found, "o_orderkey", "left")).withColumn("named", F.coalesce("named", F.lit(False)))
     return joined.select("o_orderkey", K.triage(c("text"), c("named"), F.size("periods") > 0).alias("t")).select("o_orderkey", "t.*")
 
 
