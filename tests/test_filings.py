@@ -3,11 +3,16 @@
 from datetime import date
 from decimal import Decimal
 
+import compare
 import pytest
 from pyspark.sql import functions as F
 
+from tidewell import catalog, plans
 from tidewell.operators import claims, companies, filings, forms, markup, passages, periods, subjects
 
+assert plans
+
+
 def now():
     return periods.as_of_label(F.lit("2026H1"))
 
@@ -209,6 +214,14 @@ def test_pieces_are_read_once_for_their_lines(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapIn") == 0
 
 
+@pytest.mark.parametrize("name", ["tx02_flat_blocks", "fc01_report_sections"])
+def test_documents_without_text_stay(spark, tmp_path, name):
+    texts = spark.createDataFrame([(1, None), (2, ""), (3, "가. a\n\nb & <c>"), (4, "\n")], "doc_id long, text string")
+    texts.write.parquet(f"{tmp_path}/documents.parquet")
+    said = compare.difference(spark, compare.views(str(tmp_path)), catalog.QUERIES[name], catalog.ORACLE_SQL[name], str(tmp_path))
+    assert said is None
+
+
 def test_words_at_which_no_name_begins_are_not_looked_up(spark):
     """Two plain first characters decide; what keys leave out (marks, suffixes, blanks, dots) keeps a word in."""
     known = companies.dictionary(spark.createDataFrame([("Apex Tool", 1), ("삼성전자", 2), ("Co. Foo", 3)], "name string, company int"))

@@ -4,6 +4,7 @@ from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import definitions
@@ -108,6 +109,24 @@ def test_ewm_skips_leading_nulls(spark):
     assert [r.e for r in ordered.ewm(df, {"e": ("x", 0.5)}).orderBy("time").collect()] == [None, 7.0, 8.0]
 
 
+def test_folds_keep_a_key_in_one_task_above_a_union(spark):
+    """Both sides are dealt by the key already, and are so uneven that adaptive execution merges their partitions apart."""
+    settings = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        side = lambda at, text: spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"), F.lit(at).alias("at"), text.alias("text")).withColumn("n", F.count("*").over(Window.partitionBy("k")))
+        wide = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.sha2(F.concat_ws(" ", "id", i), 256)), "")
+        step = lambda state, row: ((state or 0) + 1, ((state or 0) + 1,))
+        counted = ordered.fold(side(1, wide).union(side(2, F.lit(""))), ["k"], ["at"], "nth int", ordered.by_row(step, ["nth"]))
+        assert counted.count() == 2000 and counted.where("nth <> at").count() == 0
+        assert counted.columns == ["k", "at", "text", "n", "nth"]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_future_changes_nothing(spark):
     """Cut or changed later bars leave every earlier value as it was."""
     df = candles(spark, "/root/testdata/sf0.001")

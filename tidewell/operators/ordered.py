@@ -1,8 +1,8 @@
 """Ordered folds: work on the rows of each key in order, with a state carried along.
 
 For recurrences that no window frame can express. Rows are partitioned by key and
-sorted; a task then streams them in Arrow batches and keeps one state, so a key of
-any length needs the memory of one batch. A key is worked through by one task, as its
+sorted, by a window that spills; a task then streams them in Arrow batches and keeps one
+state, so a key of any length needs the memory of one batch. A key is worked through by one task, as its
 recurrence asks.
 """
 
@@ -13,7 +13,8 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Segment = Callable[[Any, pd.DataFrame], tuple[Any, pd.DataFrame]]
@@ -50,6 +51,7 @@ def fold(df: DataFrame, keys: list[str], order: list[str], added: str, segment:
         for rows in batches:
             if rows.empty:
                 continue
+            rows = rows.drop(columns="_nth")
             values = list(zip(*(rows[k].astype(object).where(rows[k].notna(), None) for k in keys), strict=True))
             if isinstance(segment, RowStep):
                 last, state, added_values = segment.walk(last, state, values, rows)
@@ -62,7 +64,10 @@ def fold(df: DataFrame, keys: list[str], order: list[str], added: str, segment:
                 state, out = segment(state, rows.iloc[a:b])
                 yield out[names]
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    # The number within the key is not used; its window keeps a key's rows in one task. A repartition does not: Spark drops it where the rows
+    # are dealt by the keys already, and adaptive execution, which knows of no demand then, merges the partitions of a union's sides apart.
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_nth", nth).mapInPandas(run, schema)
 
 
 def ewm(df: DataFrame, smooth: dict[str, tuple[str, float] | Callable[[pd.DataFrame], pd.Series]], keys: tuple[str, ...] = ("symbol",), order: tuple[str, ...] = ("time",)) -> DataFrame:

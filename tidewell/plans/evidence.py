@@ -17,11 +17,11 @@ _WORDS = "list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> '')"
 
 
 def _filings(spark, d):
-    """Documents dressed as filings: the text as paragraphs of the second section."""
+    """Documents dressed as filings: the text as paragraphs of the second section; without a text it has none, and its length no figure."""
     docs = table(spark, d, "documents")
-    body = F.regexp_replace(F.regexp_replace("text", "[<>]", " "), r"\n+", "</P><P>")
-    xml = F.concat(F.lit("<SECTION-1><TITLE>I. One</TITLE><P>first</P><SECTION-1><TITLE> Ⅱ. Two </TITLE><P>"), body, F.lit("</P><TITLE>Figures</TITLE><TABLE><TR><TD>By kind</TD><TD>(단위: 백만원)</TD></TR></TABLE><TABLE><TR><TH>name</TH><TH>amount</TH></TR><TR><TD>first<TD>"), "doc_id", F.lit("</TR><TR><TD>second</TD><TD>"), F.length("text"), F.lit("</TD></TR></TABLE></SECTION-1><SECTION-1><TITLE>III. Three</TITLE><P>last &amp; least</P><SECTION-2><TITLE>3. 주석</TITLE><P>a note</P></SECTION-1>"))
-    return docs.select("doc_id", xml.alias("xml"))
+    body = F.coalesce(F.regexp_replace(F.regexp_replace("text", "[<>]", " "), r"\n+", "</P><P>"), F.lit(""))
+    xml = F.concat(F.lit("<SECTION-1><TITLE>I. One</TITLE><P>first</P><SECTION-1><TITLE> Ⅱ. Two </TITLE><P>"), body, F.lit("</P><TITLE>Figures</TITLE><TABLE><TR><TD>By kind</TD><TD>(단위: 백만원)</TD></TR></TABLE><TABLE><TR><TH>name</TH><TH>amount</TH></TR><TR><TD>first<TD>"), "doc_id", F.lit("</TR><TR><TD>second</TD><TD>"), F.coalesce(F.length("text").cast("string"), F.lit("")), F.lit("</TD></TR></TABLE></SECTION-1><SECTION-1><TITLE>III. Three</TITLE><P>last &amp; least</P><SECTION-2><TITLE>3. 주석</TITLE><P>a note</P></SECTION-1>"))
+    return docs.select("doc_id", "text", xml.alias("xml"))
 
 
 @query("tx01_filing_section")
